@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The system this engine re-creates is a batch job (one run per CLI call or
+cron tick); it has no stream source, watermark, stream window or stateful
+stream operator, so there is nothing to express in Structured Streaming.
+New sales arrive as batches and go through the upsert of ``sources.store``.
+"""
