@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import DEFAULT, MOVING_AVERAGE, NAIVE, SEASONAL_NAIVE
+from ..config import DEFAULT
 from ..functions import calendar as cal
 from ..operators import baselines as B
 from ..operators import evaluation as E
@@ -371,4 +371,74 @@ def q_run_totals(spark, sf):
                       F.count(F.lit(1)).alias("forecasts_generated"))
 
 
-_ = (NAIVE, MOVING_AVERAGE, SEASONAL_NAIVE)
+
+# --- boosted model (results depend on a fitted model: checked on rows only) --
+
+def _features(spark, sf):
+    from .forecast_run import eligible_features
+    return eligible_features(_sales(spark, sf), DEFAULT)
+
+
+@register("boosted_cv")
+def q_boosted_cv(spark, sf):
+    from ..operators import boosted as BO
+    return round_doubles(BO.walk_forward_validate(_features(spark, sf), DEFAULT))
+
+
+@register("boosted_fit_summary")
+def q_boosted_fit_summary(spark, sf):
+    from .forecast_run import train_production
+    from ..operators import boosted as BO
+    return round_doubles(BO.feature_importances(train_production(_features(spark, sf)), spark))
+
+
+@register("leaf_quantiles")
+def q_leaf_quantiles(spark, sf):
+    from ..operators import boosted as BO
+    split = FO.train_test_split(_features(spark, sf), DEFAULT.test_days).filter("is_train")
+    _, leaves = BO.fit_interval_model(split, DEFAULT)
+    return leaves
+
+
+@register("boosted_predict")
+def q_boosted_predict(spark, sf):
+    from .forecast_run import train_production
+    from ..operators import boosted as BO
+    feats = _features(spark, sf)
+    models = train_production(feats)
+    test = FO.train_test_split(feats, DEFAULT.test_days).filter(~F.col("is_train"))
+    return round_doubles(BO.predict(models, test).select(
+        "drug_code", "date", "quantity_sold", "predicted_demand", "lower_ci", "upper_ci"))
+
+
+@register("interval_coverage")
+def q_interval_coverage(spark, sf):
+    scored = q_boosted_predict(spark, sf)
+    inside = ((F.col("quantity_sold") >= F.col("lower_ci"))
+              & (F.col("quantity_sold") <= F.col("upper_ci"))).cast("double")
+    return round_doubles(scored.groupBy("drug_code").agg(
+        F.avg(inside).alias("coverage"), F.count(F.lit(1)).alias("n_rows")))
+
+
+@register("recursive_forecast")
+def q_recursive_forecast(spark, sf):
+    from .forecast_run import train_production
+    from ..operators import recursive as RC
+    feats = _features(spark, sf)
+    return round_doubles(RC.forecast_future(train_production(feats), feats, DEFAULT.horizon))
+
+
+def _full_cv(spark, sf):
+    from .forecast_run import evaluate
+    base, boosted = evaluate(_features(spark, sf), DEFAULT)
+    return base.unionByName(boosted)
+
+
+@register("model_comparison_full")
+def q_model_comparison_full(spark, sf):
+    return round_doubles(E.model_comparison(_full_cv(spark, sf)))
+
+
+@register("ml_improvement")
+def q_ml_improvement(spark, sf):
+    return round_doubles(E.ml_improvement(E.model_summary(_full_cv(spark, sf))))
