@@ -15,6 +15,7 @@ of all rows never lands whole in one task; the leaf table has at most
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
@@ -165,8 +166,9 @@ def walk_forward_validate(features: DataFrame, cfg: ForecastConfig = DEFAULT,
     mt = cfg.min_history_days if min_train is None else min_train
     pos = with_position(features)
     idx, n = F.col("idx"), F.col("n")
-    results = None
-    for k in range(1, nf + 1):
+    cols = feature_names(cfg)
+
+    def fold(k: int):
         test_start = n - k * T
         ok = test_start >= mt
         train = pos.filter(ok & (idx < test_start))
@@ -177,18 +179,24 @@ def walk_forward_validate(features: DataFrame, cfg: ForecastConfig = DEFAULT,
         else:
             fit_on = train.withColumn("__valid", idx >= test_start - T)
         if fit_on.limit(1).count() == 0:
-            continue
-        point = fit_point_model(fit_on, cfg, feature_names(cfg), "__valid")
-        models = BoostedModels(point, None, None, feature_names(cfg))
-        scored = predict(models, test).select(
+            return None
+        point = fit_point_model(fit_on, cfg, cols, "__valid")
+        scored = predict(BoostedModels(point, None, None, cols), test).select(
             "drug_code", F.lit(nf + 1 - k).alias("fold"),
             F.col("quantity_sold").alias("actual"), F.col("predicted_demand").alias("predicted"))
-        part = scored.groupBy("drug_code", "fold").agg(*error_metrics("actual", "predicted"),
+        return scored.groupBy("drug_code", "fold").agg(*error_metrics("actual", "predicted"),
                                                        F.count(F.lit(1)).alias("n_test"))
-        results = part if results is None else results.unionByName(part)
-    if results is None:
+
+    # the fold fits are independent jobs: submit them together
+    with ThreadPoolExecutor(max_workers=nf) as pool:
+        parts = [p for p in pool.map(fold, range(1, nf + 1)) if p is not None]
+    if not parts:
         schema = "drug_code string, fold int, mae double, rmse double, mape double, n_test long"
-        return features.sparkSession.createDataFrame([], schema)
+        return features.sparkSession.createDataFrame([], schema).withColumn(
+            "model_name", F.lit(BOOSTED))
+    results = parts[0]
+    for p in parts[1:]:
+        results = results.unionByName(p)
     return results.withColumn("model_name", F.lit(BOOSTED))
 
 

@@ -50,10 +50,10 @@ def initial_state(features: DataFrame, cfg: ForecastConfig = DEFAULT) -> DataFra
 
 
 def _step_feature_columns(cfg: ForecastConfig, refresh_external: bool) -> list:
-    """Feature columns of the next forecast day, ``date = last_date + size(steps) + 1``.
+    """Feature columns of forecast day ``date`` (a column of the frame).
 
-    Built once and reused by every step: the step number comes from the
-    state itself, so all steps share the same expressions.
+    Built once and reused by every step; lags read the value store by
+    calendar day (0 when the day is missing, as a dict ``get`` with default).
     """
     nd = F.col("date")
     time_cols = dict(zip(TIME_FEATURES, cal.time_feature_columns(nd)))
@@ -80,6 +80,10 @@ def forecast_future(models: BoostedModels, features: DataFrame, horizon: int | N
                     cfg: ForecastConfig = DEFAULT, refresh_external: bool = False) -> DataFrame:
     """``(drug_code, date, predicted_demand, lower_ci, upper_ci)`` for ``horizon`` days.
 
+    The state carries only the value store (one entry added per step), so a
+    checkpoint writes about one map per series. Once the loop is done the
+    store is final, so the feature row of every step can be rebuilt from it
+    (lags only look back) for the interval model, without carrying it along.
     ``refresh_external=True`` recomputes holiday and seasonal features for
     each forecast day; by default they stay frozen at the last known row,
     as the rolling features do (and as the original does).
@@ -87,28 +91,27 @@ def forecast_future(models: BoostedModels, features: DataFrame, horizon: int | N
     h = horizon or cfg.horizon
     cols = feature_names(cfg)
     ensure_checkpoint_dir(features.sparkSession)
-    step_type = ("array<struct<date:date,predicted_demand:double,"
-                 + ",".join(f"{c}:double" for c in cols) + ">>")
-    keep = ["drug_code", "last_date", "last", "store", "steps"]
+    keep = ["drug_code", "last_date", "last", "store"]
     # every expression of a step is built once; a step is three projections
-    next_date = F.date_add(F.col("last_date"), (F.size("steps") + 1).cast("int")).alias("date")
     step_features = _step_feature_columns(cfg, refresh_external)
-    score = F.greatest(F.lit(0.0), ensemble_column(models.point, cols)).alias("predicted_demand")
-    record = F.struct(F.col("date"), F.col("predicted_demand"), *[F.col(c) for c in cols])
-    new_store = F.map_concat("store", F.create_map(F.col("date"), F.col("predicted_demand")))
-    state = initial_state(features, cfg).withColumn("steps", F.array().cast(step_type))
+    score = F.greatest(F.lit(0.0), ensemble_column(models.point, cols)).alias("__pred")
+    state = initial_state(features, cfg).withColumn("__step", F.lit(0))
     for i in range(1, h + 1):
-        x = state.select(*keep, next_date).select(*keep, "date", *step_features)
-        state = x.select(*keep, "date", *cols, score).select(
-            "drug_code", "last_date", "last", new_store.alias("store"),
-            F.array_append("steps", record).alias("steps"))
+        x = state.select(*keep, (F.col("__step") + 1).alias("__step"))
+        x = x.select(*keep, "__step", F.date_add("last_date", F.col("__step")).alias("date"))
+        x = x.select(*keep, "__step", "date", *step_features).select(*keep, "__step", "date", score)
+        state = x.select("drug_code", "last_date", "last", "__step",
+                         F.map_concat("store", F.create_map("date", "__pred")).alias("store"))
         if i % cfg.checkpoint_every == 0 or i == h:
             state = state.checkpoint(eager=True)
-    rows = state.select("drug_code", F.explode("steps").alias("s")).select("drug_code", "s.*")
+    rows = (state.select(*keep, F.explode(F.sequence(F.lit(1), F.lit(h))).alias("__step"))
+            .select(*keep, F.date_add("last_date", F.col("__step")).alias("date"))
+            .select("drug_code", "date", F.col("store")[F.col("date")].alias("__point"),
+                    *step_features))
     if models.has_interval:
-        rows = predict(models, rows.withColumnRenamed("predicted_demand", "__point"))
-        rows = rows.withColumn("predicted_demand", F.col("__point"))
+        rows = predict(models, rows).withColumn("predicted_demand", F.col("__point"))
     else:
-        rows = (rows.withColumn("lower_ci", F.lit(None).cast("double"))
+        rows = (rows.withColumn("predicted_demand", F.col("__point"))
+                .withColumn("lower_ci", F.lit(None).cast("double"))
                 .withColumn("upper_ci", F.lit(None).cast("double")))
     return rows.select("drug_code", "date", "predicted_demand", "lower_ci", "upper_ci")

@@ -9,6 +9,7 @@ all read it); the caller releases it with ``result.features.unpersist()``.
 from __future__ import annotations
 
 import datetime as _dt
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -62,10 +63,13 @@ def train_production(features: DataFrame, cfg: ForecastConfig = DEFAULT) -> BO.B
     """Point + interval model on all but the last ``test_days`` days of each
     series; the held-out days drive early stopping (as in the original)."""
     split = FO.train_test_split(features, cfg.test_days)
-    point = BO.fit_point_model(split.withColumn("__valid", ~F.col("is_train")), cfg,
-                               FE.feature_names(cfg), "__valid")
-    tree, leaves = BO.fit_interval_model(split.filter("is_train"), cfg, FE.feature_names(cfg))
-    return BO.BoostedModels(point, tree, leaves, FE.feature_names(cfg))
+    cols = FE.feature_names(cfg)
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        point = pool.submit(BO.fit_point_model, split.withColumn("__valid", ~F.col("is_train")),
+                            cfg, cols, "__valid")
+        interval = pool.submit(BO.fit_interval_model, split.filter("is_train"), cfg, cols)
+        tree, leaves = interval.result()
+        return BO.BoostedModels(point.result(), tree, leaves, cols)
 
 
 def series_fingerprint(features: DataFrame) -> str:
@@ -100,11 +104,15 @@ def run_forecast(sales: DataFrame, cfg: ForecastConfig = DEFAULT, store: Parquet
         store.upsert_items(item_metadata(sales))
         store.upsert_sales(sales)
     features = eligible_features(sales, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    base_cv, boosted_cv = evaluate(features, cfg)
+    # evaluation fits and production fits are independent jobs: run them together
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        evaluated = pool.submit(evaluate, features, cfg)
+        trained = pool.submit(load_or_train, features, cfg, model_path, retrain)
+        base_cv, boosted_cv = evaluated.result()
+        models = trained.result()
     comparison = E.model_comparison(base_cv.unionByName(boosted_cv))
     summary = E.model_summary(base_cv.unionByName(boosted_cv))
     improvement = E.ml_improvement(summary, BOOSTED)
-    models = load_or_train(features, cfg, model_path, retrain)
     forecasts = RC.forecast_future(models, features, cfg.horizon, cfg)
     if store is not None:
         ts = run_timestamp or _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
