@@ -12,6 +12,8 @@ So all series, all folds and all three models cost one shuffle by series
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,9 +64,36 @@ def _seasonal_lookback(stats: Column, pos: Column, cfg: ForecastConfig, aligned:
     return F.get(hit, 0)["q"].cast("double")
 
 
+Forecaster = Callable[[Column, Column, ForecastConfig], tuple[Column, Column, Column]]
+_EXTRA_FORECASTERS: dict[str, Forecaster] = {}
+BUILT_IN = (NAIVE, MOVING_AVERAGE, SEASONAL_NAIVE)
+
+
+def register_forecaster(name: str, fn: Forecaster) -> None:
+    """Add a forecaster to CV and forecasts (the model extension point).
+
+    ``fn(stats, pos, cfg)`` returns (point, lower, upper) column expressions
+    for forecast step ``pos`` (0-based) from the cutoff struct ``stats``:
+    ``cutoff_date, last_value, ma_mean, ma_std, hist_mean, hist_std`` and
+    ``recent`` (array of ``(d, q)`` for the last ``season_length`` days).
+    Expressions stay inside the same window plan: no extra shuffle, no UDF.
+    """
+    if name in BUILT_IN:
+        raise ValueError(f"{name!r} is a built-in model")
+    _EXTRA_FORECASTERS[name] = fn
+
+
+def unregister_forecaster(name: str) -> None:
+    _EXTRA_FORECASTERS.pop(name, None)
+
+
+def registered_models() -> tuple[str, ...]:
+    return BUILT_IN + tuple(_EXTRA_FORECASTERS)
+
+
 def model_predictions(stats: Column, pos: Column, cfg: ForecastConfig = DEFAULT,
                       aligned: bool = False) -> dict[str, tuple[Column, Column, Column]]:
-    """(point, lower, upper) per baseline, for forecast step ``pos`` (0-based)."""
+    """(point, lower, upper) per model, for forecast step ``pos`` (0-based)."""
     naive = stats["last_value"]
     ma, ma_sd = stats["ma_mean"], stats["ma_std"]
     seas = F.coalesce(_seasonal_lookback(stats, pos, cfg, aligned), stats["hist_mean"])
@@ -76,6 +105,7 @@ def model_predictions(stats: Column, pos: Column, cfg: ForecastConfig = DEFAULT,
         SEASONAL_NAIVE: (seas,
                          F.when(sd.isNotNull(), F.greatest(F.lit(0.0), seas - Z_95 * sd)),
                          seas + Z_95 * sd),
+        **{name: fn(stats, pos, cfg) for name, fn in _EXTRA_FORECASTERS.items()},
     }
 
 
@@ -87,13 +117,14 @@ def _explode_models(preds: dict, models) -> Column:
 
 
 def baseline_forecasts(train: DataFrame, horizon: int | None = None,
-                       cfg: ForecastConfig = DEFAULT, models=(NAIVE, MOVING_AVERAGE, SEASONAL_NAIVE),
+                       cfg: ForecastConfig = DEFAULT, models=None,
                        aligned: bool = False) -> DataFrame:
     """Forecast ``horizon`` days after each series' last date, for each model.
 
     Output ``(drug_code, model_name, date, predicted_demand, lower_ci, upper_ci)``.
     """
     h = horizon or cfg.horizon
+    models = models or registered_models()
     last = (with_cutoff_stats(with_position(train.select("date", "drug_code", "quantity_sold")), cfg)
             .filter(F.col("idx") == F.col("n") - 1)
             .select("drug_code", "stats",
@@ -134,14 +165,14 @@ def _with(cfg: ForecastConfig, **changes) -> ForecastConfig:
 
 def fold_predictions(sales: DataFrame, cfg: ForecastConfig = DEFAULT,
                      n_folds: int | None = None, test_days: int | None = None,
-                     min_train: int | None = None,
-                     models=(NAIVE, MOVING_AVERAGE, SEASONAL_NAIVE)) -> DataFrame:
+                     min_train: int | None = None, models=None) -> DataFrame:
     """Every test row of every fold with every baseline's prediction.
 
     Alignment is by position: step ``pos`` of the forecast is compared with
     the ``pos``-th test row, whatever its date (series may have gaps).
     """
     F_, T = n_folds or cfg.cv_folds, test_days or cfg.test_days
+    models = models or registered_models()
     mt = cfg.baseline_min_train if min_train is None else min_train
     pos = with_cutoff_stats(with_position(sales.select("date", "drug_code", "quantity_sold")), cfg)
     idx, n = F.col("idx"), F.col("n")
@@ -176,6 +207,7 @@ def cv_summary(metrics: DataFrame) -> DataFrame:
 
 
 def evaluate_baselines_cv(sales: DataFrame, n_folds: int = 3, test_days: int = 30,
-                          cfg: ForecastConfig = DEFAULT) -> DataFrame:
-    """All three baselines on walk-forward folds (min 30 training rows)."""
-    return cv_summary(fold_metrics(fold_predictions(sales, cfg, n_folds, test_days)))
+                          cfg: ForecastConfig = DEFAULT, models=None) -> DataFrame:
+    """All registered baselines on walk-forward folds (min 30 training rows)."""
+    return cv_summary(fold_metrics(fold_predictions(sales, cfg, n_folds, test_days,
+                                                    models=models)))

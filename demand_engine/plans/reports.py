@@ -46,10 +46,15 @@ def describe_sales(view: DataFrame, by: str | None = "drug_code") -> DataFrame:
 
 
 def newest_run(forecasts: DataFrame) -> DataFrame:
-    """Forecast rows of each item's newest run (exact timestamp match)."""
-    w = Window.partitionBy("drug_id")
-    return (forecasts.withColumn("__latest", F.max("run_timestamp").over(w))
-            .filter(F.col("run_timestamp") == F.col("__latest")).drop("__latest"))
+    """Forecast rows of each item's newest run (exact timestamp match).
+
+    The newest timestamp per item is a partial (map-side) aggregate, and the
+    rows are kept by a semi-join on (item, timestamp): an item whose history
+    holds a third of all rows is never gathered into one task, because its
+    older runs hash to other partitions.
+    """
+    latest = forecasts.groupBy("drug_id").agg(F.max("run_timestamp").alias("run_timestamp"))
+    return forecasts.join(latest, ["drug_id", "run_timestamp"], "left_semi")
 
 
 def risk_label(avg: Column) -> Column:
@@ -116,10 +121,13 @@ def sales_since(sales: DataFrame, as_of: _dt.date, years_back: int = 10) -> Data
 
 
 def item_forecasts(forecasts: DataFrame) -> DataFrame:
-    """Item page forecasts: runs at or after the newest, one row per date (first by id)."""
-    w = Window.partitionBy("drug_id")
-    newest = (forecasts.withColumn("__latest", F.max("run_timestamp").over(w))
-              .filter(F.col("run_timestamp") >= F.col("__latest")).drop("__latest"))
+    """Item page forecasts: runs at or after the newest, one row per date (first by id).
+
+    "At or after the newest" is the newest run itself (nothing is after the
+    maximum), so this is :func:`newest_run` plus a de-duplication by date,
+    whose groups hold one row per model of that run.
+    """
+    newest = newest_run(forecasts)
     first = Window.partitionBy("drug_id", "forecast_date").orderBy("id")
     return (newest.withColumn("__rn", F.row_number().over(first))
             .filter("__rn = 1").drop("__rn"))

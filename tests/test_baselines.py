@@ -132,3 +132,20 @@ def test_short_series_gets_baseline_folds_only_above_30_rows(multi_sales):
 def test_cv_plan_has_one_shuffle_after_input(multi_sales):
     plan = B.evaluate_baselines_cv(multi_sales)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 1
+
+
+def test_registered_forecaster_joins_cv_and_forecasts(sample_sales):
+    """Extension point: a user model is a column expression over the cutoff stats."""
+    def history_mean(stats, pos, cfg):
+        m = stats["hist_mean"]
+        return m, m - stats["hist_std"], m + stats["hist_std"]
+
+    B.register_forecaster("History Mean", history_mean)
+    try:
+        cv = {r.model_name for r in B.evaluate_baselines_cv(sample_sales, 2, 15).collect()}
+        assert "History Mean" in cv and len(cv) == 4
+        fc = B.baseline_forecasts(sample_sales, 5).filter("model_name = 'History Mean'").collect()
+        assert len(fc) == 5 and fc[0].lower_ci < fc[0].predicted_demand < fc[0].upper_ci
+    finally:
+        B.unregister_forecaster("History Mean")
+    assert "History Mean" not in B.registered_models()
