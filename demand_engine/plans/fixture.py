@@ -13,6 +13,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,8 @@ def forecast_history(sales_long: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def demo_store(spark: SparkSession, sf_dir: str) -> DemoStore:
-    long = sales_daily(spark, sf_dir)
+    # read by the id assignment, the sales facts and both forecast runs
+    long = sales_daily(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     items = store.upsert_items(None, item_metadata(long))
     sales = store.sales_records(long, items)
     return DemoStore(long, items, sales, forecast_history(long, items))

@@ -110,6 +110,9 @@ def run_forecast(sales: DataFrame, cfg: ForecastConfig = DEFAULT, store: Parquet
         trained = pool.submit(load_or_train, features, cfg, model_path, retrain)
         base_cv, boosted_cv = evaluated.result()
         models = trained.result()
+    # three reports read the CV tables (one row per series and model): keep them
+    base_cv = base_cv.persist(StorageLevel.MEMORY_AND_DISK)
+    boosted_cv = boosted_cv.persist(StorageLevel.MEMORY_AND_DISK)
     comparison = E.model_comparison(base_cv.unionByName(boosted_cv))
     summary = E.model_summary(base_cv.unionByName(boosted_cv))
     improvement = E.ml_improvement(summary, BOOSTED)

@@ -309,7 +309,8 @@ UNION ALL SELECT 'sales_daily.quantity_sold >= 0', count(*) FILTER (WHERE quanti
 UNION ALL SELECT 'sales_daily not null', count(*) FILTER (WHERE quantity_sold IS NULL OR date IS NULL OR drug_id IS NULL) FROM sales
 UNION ALL SELECT 'sales_daily.drug_id references drugs', count(*) FROM sales WHERE drug_id NOT IN (SELECT id FROM items)
 UNION ALL SELECT 'forecasts_daily.drug_id references drugs', count(*) FROM forecasts WHERE drug_id NOT IN (SELECT id FROM items)
-UNION ALL SELECT 'forecasts_daily not null', count(*) FILTER (WHERE predicted_demand IS NULL OR model_name IS NULL OR run_timestamp IS NULL) FROM forecasts"""
+UNION ALL SELECT 'forecasts_daily not null', count(*) FILTER (WHERE predicted_demand IS NULL OR model_name IS NULL OR run_timestamp IS NULL) FROM forecasts
+UNION ALL SELECT 'forecasts_daily lower <= predicted <= upper (info)', count(*) FILTER (WHERE NOT coalesce(lower_ci <= predicted_demand AND predicted_demand <= upper_ci, true)) FROM forecasts"""
     q["cascade_delete"] = st + f"""SELECT * FROM forecasts
 WHERE drug_id NOT IN (SELECT id FROM items WHERE drug_code = '{C.DELETED_CODE}')"""
     q["latest_forecasts"] = st + """SELECT id, drug_id, forecast_date, run_timestamp, predicted_demand, lower_ci,

@@ -141,6 +141,26 @@ def forecast_records(forecasts: DataFrame, items: DataFrame, model_name: str | C
 # K-04 constraints, K-05 cascade delete, K-07 latest view
 # ---------------------------------------------------------------------------
 
+def interval_ok() -> Column:
+    """lower <= point <= upper where both bounds exist (NULL bounds are fine)."""
+    p, lo, hi = F.col("predicted_demand"), F.col("lower_ci"), F.col("upper_ci")
+    return F.coalesce((lo <= p) & (p <= hi), F.lit(True))
+
+
+def assert_constraints(dq: DataFrame) -> None:
+    """Fail a write when a hard rule is violated (informational rules excluded)."""
+    bad = (dq.filter((F.col("violations") > 0) & ~F.col("rule").endswith("(info)"))
+           .limit(20).collect())
+    if bad:
+        raise ValueError("constraint violations: " + ", ".join(
+            f"{r.rule}={r.violations}" for r in bad))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """JSON records (one object per line), the format the forecast API returns."""
+    df.write.mode("overwrite").json(path)
+
+
 def dq_constraints(items: DataFrame, sales: DataFrame, forecasts: DataFrame) -> DataFrame:
     """Violation count per rule (one row per rule); a write fails if any > 0."""
     rules = []
@@ -168,6 +188,10 @@ def dq_constraints(items: DataFrame, sales: DataFrame, forecasts: DataFrame) ->
                                           | F.col("model_name").isNull()
                                           | F.col("run_timestamp").isNull()).alias("violations"))
                  .select(F.lit("forecasts_daily not null").alias("rule"), "violations"))
+    # informational (the models do not prevent crossing intervals)
+    rules.append(forecasts.agg(F.count_if(~interval_ok()).alias("violations"))
+                 .select(F.lit("forecasts_daily lower <= predicted <= upper (info)").alias("rule"),
+                         "violations"))
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)
@@ -245,8 +269,14 @@ class ParquetStore:
         items = self.read("drugs")
         new = sales_records(sales, items)
         old = self.read("sales_daily")
+        new = new.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
         merged = new if old is None else upsert_by_key(
-            old.select("drug_id", "date", "quantity_sold"), new, ["drug_id", "date"])
+            old.select("drug_id", "date", "quantity_sold", "created_at"), new, ["drug_id", "date"])
+        now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+        if "created_at" not in merged.columns:
+            merged = merged.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+        merged = merged.withColumn("created_at", F.coalesce(
+            "created_at", F.lit(now).cast("timestamp_ntz")))
         self._write_new_version("sales_daily", merged.withColumn(
             "year_month", F.date_format("date", "yyyy-MM")), partition_by=["year_month"])
         return self.read("sales_daily")
@@ -262,7 +292,8 @@ class ParquetStore:
         if old is not None:
             start = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
         rec = with_sequential_id(rec, ["model_name", "drug_id", "forecast_date"], start)
-        rec = rec.withColumn("run_date", F.to_date("run_timestamp"))
+        rec = (rec.withColumn("created_at", F.lit(ts).cast("timestamp_ntz"))
+               .withColumn("run_date", F.to_date("run_timestamp")))
         vs = self._versions("forecasts_daily")
         target = f"{self.root}/forecasts_daily/v={vs[-1] if vs else 1}"
         rec.write.mode("append").partitionBy("run_date").parquet(target)
