@@ -161,41 +161,49 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def _rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Count violations of several row rules in one aggregation pass."""
+    counts = df.agg(*[F.count_if(cond).alias(f"__r{i}") for i, cond in enumerate(rules.values())])
+    pairs = [F.struct(F.lit(name).alias("rule"), F.col(f"__r{i}").cast("long").alias("violations"))
+             for i, name in enumerate(rules)]
+    return counts.select(F.explode(F.array(*pairs)).alias("r")).select("r.*")
+
+
+def _count_rule(name: str, df: DataFrame) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).cast("long").alias("violations")).select(
+        F.lit(name).alias("rule"), "violations")
+
+
 def dq_constraints(items: DataFrame, sales: DataFrame, forecasts: DataFrame) -> DataFrame:
-    """Violation count per rule (one row per rule); a write fails if any > 0."""
-    rules = []
-    rules.append(items.agg(F.count_if(F.col("drug_code").isNull()).alias("violations"))
-                 .select(F.lit("drugs.drug_code not null").alias("rule"), "violations"))
-    rules.append(items.agg(F.count_if(F.col("drug_name").isNull()).alias("violations"))
-                 .select(F.lit("drugs.drug_name not null").alias("rule"), "violations"))
-    rules.append(items.groupBy("drug_code").count().filter("count > 1")
-                 .agg(F.count(F.lit(1)).alias("violations"))
-                 .select(F.lit("drugs.drug_code unique").alias("rule"), "violations"))
-    rules.append(sales.groupBy("drug_id", "date").count().filter("count > 1")
-                 .agg(F.count(F.lit(1)).alias("violations"))
-                 .select(F.lit("sales_daily (drug_id, date) unique").alias("rule"), "violations"))
-    rules.append(sales.agg(F.count_if(F.col("quantity_sold") < 0).alias("violations"))
-                 .select(F.lit("sales_daily.quantity_sold >= 0").alias("rule"), "violations"))
-    rules.append(sales.agg(F.count_if(F.col("quantity_sold").isNull() | F.col("date").isNull()
-                                      | F.col("drug_id").isNull()).alias("violations"))
-                 .select(F.lit("sales_daily not null").alias("rule"), "violations"))
+    """Violation count per rule (one row per rule); see :func:`assert_constraints`.
+
+    Row rules of a table share one aggregation pass; uniqueness is a
+    group-by on the key, references are anti-joins against the item ids.
+    """
     ids = items.select(F.col("id").alias("drug_id"))
-    rules.append(sales.join(ids, "drug_id", "left_anti").agg(F.count(F.lit(1)).alias("violations"))
-                 .select(F.lit("sales_daily.drug_id references drugs").alias("rule"), "violations"))
-    rules.append(forecasts.join(ids, "drug_id", "left_anti").agg(F.count(F.lit(1)).alias("violations"))
-                 .select(F.lit("forecasts_daily.drug_id references drugs").alias("rule"), "violations"))
-    rules.append(forecasts.agg(F.count_if(F.col("predicted_demand").isNull()
-                                          | F.col("model_name").isNull()
-                                          | F.col("run_timestamp").isNull()).alias("violations"))
-                 .select(F.lit("forecasts_daily not null").alias("rule"), "violations"))
-    # informational (the models do not prevent crossing intervals)
-    rules.append(forecasts.agg(F.count_if(~interval_ok()).alias("violations"))
-                 .select(F.lit("forecasts_daily lower <= predicted <= upper (info)").alias("rule"),
-                         "violations"))
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return out.select("rule", F.col("violations").cast("long").alias("violations"))
+    q = F.col("quantity_sold")
+    parts = [
+        _rules(items, {"drugs.drug_code not null": F.col("drug_code").isNull(),
+                       "drugs.drug_name not null": F.col("drug_name").isNull()}),
+        _count_rule("drugs.drug_code unique",
+                    items.groupBy("drug_code").count().filter("count > 1")),
+        _count_rule("sales_daily (drug_id, date) unique",
+                    sales.groupBy("drug_id", "date").count().filter("count > 1")),
+        _rules(sales, {"sales_daily.quantity_sold >= 0": q < 0,
+                       "sales_daily not null": q.isNull() | F.col("date").isNull()
+                       | F.col("drug_id").isNull()}),
+        _count_rule("sales_daily.drug_id references drugs", sales.join(ids, "drug_id", "left_anti")),
+        _count_rule("forecasts_daily.drug_id references drugs",
+                    forecasts.join(ids, "drug_id", "left_anti")),
+        # the interval rule is informational (the models do not prevent crossing)
+        _rules(forecasts, {"forecasts_daily not null": F.col("predicted_demand").isNull()
+                           | F.col("model_name").isNull() | F.col("run_timestamp").isNull(),
+                           "forecasts_daily lower <= predicted <= upper (info)": ~interval_ok()}),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def cascade_delete(items: DataFrame, facts: DataFrame, deleted_codes: DataFrame) -> tuple:
