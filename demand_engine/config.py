@@ -35,12 +35,12 @@ class ForecastConfig:
     interval_alpha_high: float = 0.9
     zero_fraction_warn: float = 0.10
     # Pooled gradient-boosted trees (Spark ML) standing in for per-series boosting.
-    gbt_max_iter: int = 30
+    gbt_max_iter: int = 50
     gbt_max_depth: int = 5
     gbt_step_size: float = 0.1
     gbt_subsampling_rate: float = 0.8
     gbt_feature_subset: str = "all"
-    gbt_validation_tol: float = 0.01
+    gbt_validation_tol: float = 0.001
     gbt_seed: int = 42
     # Leaf-quantile interval model.
     quantile_tree_depth: int = 5

@@ -20,11 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sales_daily(spark: SparkSession, sf_dir: str, series: str = "p_type") -> DataFrame:
-    """Long frame ``(date DATE, drug_code STRING, quantity_sold INT)``."""
-    li = table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_shipdate")
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col(series).cast("string").alias("drug_code"))
-    return (li.join(part, li.l_partkey == part.p_partkey)
-            .groupBy("drug_code", F.to_date("l_shipdate").alias("date"))
+    """Long frame ``(date DATE, drug_code STRING, quantity_sold INT)``.
+
+    ``series`` is a ``part`` column (joined on the part key) or a ``lineitem``
+    column such as ``l_suppkey`` (no join; about 1,000 series at sf0.1).
+    """
+    li = table(spark, sf_dir, "lineitem")
+    if series.startswith("l_"):
+        keyed = li.select(F.col(series).cast("string").alias("drug_code"), "l_quantity", "l_shipdate")
+    else:
+        part = table(spark, sf_dir, "part").select(
+            "p_partkey", F.col(series).cast("string").alias("drug_code"))
+        keyed = (li.select("l_partkey", "l_quantity", "l_shipdate")
+                 .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    return (keyed.groupBy("drug_code", F.to_date("l_shipdate").alias("date"))
             .agg(F.sum("l_quantity").cast("int").alias("quantity_sold"))
             .select("date", "drug_code", "quantity_sold"))
 
