@@ -40,13 +40,14 @@ class DemoStore:
 
 
 def forecast_history(sales_long: DataFrame, items: DataFrame) -> DataFrame:
-    runs = []
+    runs = None
     for ts, back, models in ((RUN_1, RUN_1_DAYS_BACK, (NAIVE,)),
                              (RUN_2, RUN_2_DAYS_BACK, (MOVING_AVERAGE, SEASONAL_NAIVE))):
         train = train_test_split(sales_long, back).filter("is_train").drop("is_train")
-        fc = baseline_forecasts(train, DEFAULT.horizon, DEFAULT, models=models)
-        runs.append(store.forecast_records(fc, items, F.col("model_name"), ts))
-    hist = runs[0].unionByName(runs[1])
+        fc = (baseline_forecasts(train, DEFAULT.horizon, DEFAULT, models=models)
+              .withColumn("run_timestamp", store.ntz(ts)))
+        runs = fc if runs is None else runs.unionByName(fc)
+    hist = store.forecast_records(runs, items, F.col("model_name"), F.col("run_timestamp"))
     return store.with_sequential_id(
         hist, ["run_timestamp", "model_name", "drug_id", "forecast_date"], 1).select(
         "id", "drug_id", "forecast_date", "run_timestamp", "predicted_demand",

@@ -78,6 +78,12 @@ def upsert_items(existing: DataFrame | None, incoming: DataFrame) -> DataFrame:
     return known.unionByName(new_ids)
 
 
+def ntz(ts: _dt.datetime) -> Column:
+    """A TIMESTAMP_NTZ literal from wall-clock text: independent of the session
+    and process time zones (a naive datetime literal would pass through both)."""
+    return F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
+
+
 def item_ids(items: DataFrame) -> DataFrame:
     """The ``(drug_id, drug_code)`` map used by every fact write."""
     return items.select(F.col("id").alias("drug_id"), "drug_code")
@@ -121,16 +127,17 @@ def sales_records(sales: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def forecast_records(forecasts: DataFrame, items: DataFrame, model_name: str | Column,
-                     run_timestamp: _dt.datetime) -> DataFrame:
+                     run_timestamp: _dt.datetime | Column) -> DataFrame:
     """Forecast rows as stored: ids, forecast_date, run constants, NUMERIC(10,2).
 
     ``run_timestamp`` is one literal per run (UTC), never ``current_timestamp()``
     which a lazy plan would evaluate again at every action.
     """
     model = model_name if isinstance(model_name, Column) else F.lit(model_name)
+    ts = run_timestamp if isinstance(run_timestamp, Column) else ntz(run_timestamp)
     return (attach_item_ids(forecasts, items)
             .select("drug_id", F.col("date").alias("forecast_date"),
-                    F.lit(run_timestamp).cast("timestamp_ntz").alias("run_timestamp"),
+                    ts.cast("timestamp_ntz").alias("run_timestamp"),
                     F.col("predicted_demand").cast(MONEY).alias("predicted_demand"),
                     F.col("lower_ci").cast(MONEY).alias("lower_ci"),
                     F.col("upper_ci").cast(MONEY).alias("upper_ci"),
@@ -269,8 +276,7 @@ class ParquetStore:
     def upsert_items(self, items: DataFrame) -> DataFrame:
         merged = upsert_items(self.read("drugs"), items)
         self._write_new_version("drugs", merged.withColumn(
-            "created_at", F.lit(_dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))
-            .cast("timestamp_ntz")))
+            "created_at", ntz(_dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None))))
         return self.read("drugs")
 
     def upsert_sales(self, sales: DataFrame) -> DataFrame:
@@ -283,8 +289,7 @@ class ParquetStore:
         now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
         if "created_at" not in merged.columns:
             merged = merged.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
-        merged = merged.withColumn("created_at", F.coalesce(
-            "created_at", F.lit(now).cast("timestamp_ntz")))
+        merged = merged.withColumn("created_at", F.coalesce("created_at", ntz(now)))
         self._write_new_version("sales_daily", merged.withColumn(
             "year_month", F.date_format("date", "yyyy-MM")), partition_by=["year_month"])
         return self.read("sales_daily")
@@ -300,7 +305,7 @@ class ParquetStore:
         if old is not None:
             start = old.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0] + 1
         rec = with_sequential_id(rec, ["model_name", "drug_id", "forecast_date"], start)
-        rec = (rec.withColumn("created_at", F.lit(ts).cast("timestamp_ntz"))
+        rec = (rec.withColumn("created_at", ntz(ts))
                .withColumn("run_date", F.to_date("run_timestamp")))
         vs = self._versions("forecasts_daily")
         target = f"{self.root}/forecasts_daily/v={vs[-1] if vs else 1}"
