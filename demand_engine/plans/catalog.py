@@ -308,6 +308,12 @@ def q_risk(spark, sf):
     return R.risk_ranking(st.items, st.forecasts)
 
 
+@register("risk_ranking_sql")
+def q_risk_sql(spark, sf):
+    st = demo_store(spark, sf)
+    return R.risk_ranking_sql(st.items, st.forecasts)
+
+
 @register("item_overview")
 def q_item_overview(spark, sf):
     st = demo_store(spark, sf)
