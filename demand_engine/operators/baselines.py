@@ -19,18 +19,25 @@ from pyspark.sql import functions as F
 
 from ..config import (DEFAULT, MOVING_AVERAGE, NAIVE, SEASONAL_NAIVE, ForecastConfig)
 from ..functions.metrics import error_metrics
-from .features import series_window
+from .features import DAY, ORDER_COL, series_window
 from .folds import fold_of, is_cutoff, with_position
 
 Z_95 = 1.96
 
 
+def _sales_columns(df: DataFrame) -> DataFrame:
+    """The three sales columns (and the order key when the frame has one)."""
+    keep = ["date", "drug_code", "quantity_sold"] + ([ORDER_COL] if ORDER_COL in df.columns else [])
+    return df.select(*keep)
+
+
 def with_cutoff_stats(df: DataFrame, cfg: ForecastConfig = DEFAULT,
                       series: str = "drug_code") -> DataFrame:
     """Add struct ``stats``: what each baseline needs if training ended here."""
     w = series_window(series)
-    recent = (Window.partitionBy(series).orderBy(F.unix_date("date"))
-              .rangeBetween(-cfg.season_length, 0))
+    # every row of the previous season_length days, and the current day (the
+    # frame may also reach into one older day, which no lookup asks for)
+    recent = w.rangeBetween(-(cfg.season_length + 1) * DAY, 0)
     q = F.col("quantity_sold")
     s = df.select(
         "*",
@@ -125,7 +132,7 @@ def baseline_forecasts(train: DataFrame, horizon: int | None = None,
     """
     h = horizon or cfg.horizon
     models = models or registered_models()
-    last = (with_cutoff_stats(with_position(train.select("date", "drug_code", "quantity_sold")), cfg)
+    last = (with_cutoff_stats(with_position(_sales_columns(train)), cfg)
             .filter(F.col("idx") == F.col("n") - 1)
             .select("drug_code", "stats",
                     F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("pos")))
@@ -174,7 +181,7 @@ def fold_predictions(sales: DataFrame, cfg: ForecastConfig = DEFAULT,
     F_, T = n_folds or cfg.cv_folds, test_days or cfg.test_days
     models = models or registered_models()
     mt = cfg.baseline_min_train if min_train is None else min_train
-    pos = with_cutoff_stats(with_position(sales.select("date", "drug_code", "quantity_sold")), cfg)
+    pos = with_cutoff_stats(with_position(_sales_columns(sales)), cfg)
     idx, n = F.col("idx"), F.col("n")
     k, test_start, in_test = fold_of(idx, n, F_, T, mt)
     cut = F.when(is_cutoff(idx, n, F_, T, mt), F.col("stats"))

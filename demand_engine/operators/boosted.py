@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..config import BOOSTED, DEFAULT, ForecastConfig
 from ..functions.metrics import error_metrics
-from .features import feature_names
+from .features import ORDER_COL, feature_names
 from .folds import with_position
 
 LABEL = "__label"
@@ -149,7 +149,8 @@ def ensemble_column(model: GBTRegressionModel, cols: list[str]):
 def with_validation_tail(df: DataFrame, test_days: int, col: str = "is_valid") -> DataFrame:
     """Flag the last ``test_days`` rows of each series (per-series positions)."""
     pos = with_position(df)
-    return pos.withColumn(col, F.col("idx") >= F.col("n") - test_days).drop("idx", "n")
+    return pos.withColumn(col, F.col("idx") >= F.col("n") - test_days).drop(
+        "idx", "n", ORDER_COL)
 
 
 def walk_forward_validate(features: DataFrame, cfg: ForecastConfig = DEFAULT,

@@ -16,12 +16,36 @@ from ..config import DEFAULT, ForecastConfig
 from ..functions import calendar as cal
 
 ID_COLUMNS = ("date", "drug_code", "quantity_sold")
-EXCLUDED_FROM_MODEL = ("date", "drug_code", "quantity_sold", "drug_id")
+EXCLUDED_FROM_MODEL = ("date", "drug_code", "quantity_sold", "drug_id", "__order")
 
 
-def series_window(series: str = "drug_code", date: str = "date") -> Window:
-    # quantity breaks ties among same-day duplicates so results are repeatable
-    return Window.partitionBy(series).orderBy(date, "quantity_sold")
+DAY = 1 << 32  # one day in units of the order key
+
+
+def order_key(date: str = "date", target: str = "quantity_sold") -> Column:
+    """One ``long`` that orders rows like ``(date, quantity)``.
+
+    ``day_number * 2^32 + (quantity + 2^31)``: quantity breaks ties among
+    same-day duplicates so results are repeatable, and because it is a
+    single numeric key, row frames and day-based range frames
+    (``rangeBetween(-k * DAY, 0)``) share one window order, hence one sort.
+    """
+    return (F.unix_date(F.col(date)).cast("long") * DAY
+            + (F.col(target).cast("long") + (1 << 31)))
+
+
+ORDER_COL = "__order"
+
+
+def with_order_key(df: DataFrame) -> DataFrame:
+    """Materialise the order key once: windows that order by the same column
+    (not by equal expressions, which Spark aliases per window) share one sort."""
+    return df if ORDER_COL in df.columns else df.withColumn(ORDER_COL, order_key())
+
+
+def series_window(series: str = "drug_code") -> Window:
+    """Series window in (date, quantity) order; the frame needs ``with_order_key``."""
+    return Window.partitionBy(series).orderBy(F.col(ORDER_COL))
 
 
 def lag_columns(lags, target: str = "quantity_sold", w: Window | None = None) -> list[Column]:
@@ -61,7 +85,8 @@ def feature_names(cfg: ForecastConfig = DEFAULT) -> list[str]:
 
 
 def engineer_features(sales: DataFrame, cfg: ForecastConfig = DEFAULT,
-                      extra_holidays: DataFrame | None = None) -> DataFrame:
+                      extra_holidays: DataFrame | None = None,
+                      keep_order_key: bool = False) -> DataFrame:
     """The 27-column feature frame (plus date, drug_code, quantity_sold).
 
     Missing lag/rolling values (warm-up rows) are filled with 0, as the
@@ -69,7 +94,7 @@ def engineer_features(sales: DataFrame, cfg: ForecastConfig = DEFAULT,
     """
     date = F.col("date")
     w = series_window()
-    base = sales.select(*ID_COLUMNS)
+    base = with_order_key(sales.select(*ID_COLUMNS))
     if extra_holidays is not None:
         base = cal.with_holiday_flag(base, cfg.holiday_country, extra_holidays=extra_holidays)
         holiday = [F.col("is_holiday")]
@@ -77,13 +102,14 @@ def engineer_features(sales: DataFrame, cfg: ForecastConfig = DEFAULT,
         holiday = [cal.is_holiday(date, cfg.holiday_country).alias("is_holiday")]
     feats = base.select(
         *ID_COLUMNS,
+        *([ORDER_COL] if keep_order_key else []),
         *cal.time_feature_columns(date),
         *holiday,
         *cal.seasonal_columns(date),
         *lag_columns(cfg.lags, w=w),
         *rolling_columns(cfg.rolling_windows, w=w),
     )
-    model_cols = [c for c in feats.columns if c not in ID_COLUMNS]
+    model_cols = [c for c in feats.columns if c not in ID_COLUMNS and c != ORDER_COL]
     return feats.fillna(0, subset=model_cols)
 
 

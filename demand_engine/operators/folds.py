@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .features import series_window
+from .features import ORDER_COL, series_window, with_order_key
 
 
 def with_position(df: DataFrame, series: str = "drug_code") -> DataFrame:
     """Add ``idx`` (0-based row number by date) and ``n`` (rows in the series)."""
-    return df.select("*",
+    return with_order_key(df).select("*",
                      (F.row_number().over(series_window(series)) - 1).alias("idx"),
                      F.count(F.lit(1)).over(Window.partitionBy(series)).cast("int").alias("n"))
 
@@ -28,9 +28,14 @@ def train_test_split(df: DataFrame, test_days: int = 30, series: str = "drug_cod
 
 
 def min_history(df: DataFrame, min_rows: int = 90, series: str = "drug_code") -> DataFrame:
-    """Keep series with at least ``min_rows`` rows (rows, not days)."""
-    n = F.count(F.lit(1)).over(Window.partitionBy(series))
-    return df.withColumn("__n", n).filter(F.col("__n") >= min_rows).drop("__n")
+    """Keep series with at least ``min_rows`` rows (rows, not days).
+
+    The count uses the ordered series window with a whole-series frame, so a
+    following row-ordered window reuses its sort.
+    """
+    n = F.count(F.lit(1)).over(series_window(series).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing))
+    return with_order_key(df).withColumn("__n", n).filter(F.col("__n") >= min_rows).drop("__n")
 
 
 def fold_of(idx: Column, n: Column, n_folds: int, test_days: int, min_train: int):
@@ -55,5 +60,5 @@ def walk_forward_folds(df: DataFrame, n_folds: int = 3, test_days: int = 30,
     k, test_start, in_test = fold_of(F.col("idx"), F.col("n"), n_folds, test_days, min_train)
     return (pos.select("*", (F.lit(n_folds) + 1 - k).alias("fold"),
                        test_start.alias("test_start"), in_test.alias("__in"))
-            .filter("__in").drop("__in")
+            .filter("__in").drop("__in", ORDER_COL)
             .withColumn("pos", (F.col("idx") - F.col("test_start")).cast("int")))

@@ -22,6 +22,7 @@ from ..functions import calendar as cal
 from ..session import ensure_checkpoint_dir
 from .boosted import BoostedModels, ensemble_column, predict
 from .features import feature_names
+from .folds import with_position
 
 TIME_FEATURES = ("day_of_week", "day_of_month", "month", "quarter", "week_of_year",
                  "is_weekend", "is_month_start", "is_month_end")
@@ -35,16 +36,14 @@ def initial_state(features: DataFrame, cfg: ForecastConfig = DEFAULT) -> DataFra
     """
     k = max(cfg.lags)
     cols = feature_names(cfg)
-    newest_first = Window.partitionBy("drug_code").orderBy(
-        F.col("date").desc(), F.col("quantity_sold").desc())
-    tail = features.withColumn("__rd", F.row_number().over(newest_first)).filter(F.col("__rd") <= k)
+    tail = with_position(features).filter(F.col("idx") >= F.col("n") - k)
     # one value per calendar day (the later of same-day duplicates wins, like a dict)
     per_day = (tail.withColumn("__dup", F.row_number().over(
-        Window.partitionBy("drug_code", "date").orderBy(F.col("__rd"))))
+        Window.partitionBy("drug_code", "date").orderBy(F.col("idx").desc())))
         .filter("__dup = 1"))
     return per_day.groupBy("drug_code").agg(
         F.max("date").alias("last_date"),
-        F.min_by(F.struct(*[F.col(c) for c in cols]), F.col("__rd")).alias("last"),
+        F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("idx")).alias("last"),
         F.map_from_entries(F.collect_list(F.struct(
             F.col("date"), F.col("quantity_sold").cast("double")))).alias("store"))
 

@@ -96,13 +96,13 @@ def q_holiday_flag(spark, sf):
 
 @register("lag_features")
 def q_lag_features(spark, sf):
-    return _sales(spark, sf).select("drug_code", "date", "quantity_sold",
-                                    *FE.lag_columns(DEFAULT.lags))
+    return FE.with_order_key(_sales(spark, sf)).select("drug_code", "date", "quantity_sold",
+                                                       *FE.lag_columns(DEFAULT.lags))
 
 
 def _rolling(stat):
     def q(spark, sf):
-        return round_doubles(_sales(spark, sf).select(
+        return round_doubles(FE.with_order_key(_sales(spark, sf)).select(
             "drug_code", "date", *FE.rolling_columns(DEFAULT.rolling_windows, stats=(stat,))))
     return q
 
@@ -125,7 +125,8 @@ def q_train_test_split(spark, sf):
 
 @register("min_history")
 def q_min_history(spark, sf):
-    return FO.min_history(_sales(spark, sf), DEFAULT.min_history_days)
+    return FO.min_history(_sales(spark, sf), DEFAULT.min_history_days).select(
+        "date", "drug_code", "quantity_sold")
 
 
 @register("walk_forward_folds")
@@ -202,7 +203,7 @@ def _pipeline_series_cv(spark, sf):
     """Baseline CV of the series the forecasting run evaluates: at least
     ``min_history_days`` rows and one boosted fold (``n - test_days >= 90``)."""
     s = FO.min_history(_sales(spark, sf), DEFAULT.min_history_days + DEFAULT.test_days)
-    return B.evaluate_baselines_cv(s, DEFAULT.cv_folds, DEFAULT.test_days)
+    return B.evaluate_baselines_cv(s, DEFAULT.cv_folds, DEFAULT.test_days)  # keeps the sort
 
 
 @register("model_comparison")

@@ -41,8 +41,13 @@ class RunResult:
 
 
 def eligible_features(sales: DataFrame, cfg: ForecastConfig = DEFAULT) -> DataFrame:
-    """Feature frame of the series with at least ``min_history_days`` rows."""
-    return FO.min_history(FE.engineer_features(sales, cfg), cfg.min_history_days)
+    """Feature frame of the series with at least ``min_history_days`` rows.
+
+    It keeps the series order key, so the folds, CV windows and the forecast
+    tail computed from it reuse its partitioning and sort order.
+    """
+    return FO.min_history(FE.engineer_features(sales, cfg, keep_order_key=True),
+                          cfg.min_history_days)
 
 
 def evaluate(features: DataFrame, cfg: ForecastConfig = DEFAULT):
@@ -53,8 +58,7 @@ def evaluate(features: DataFrame, cfg: ForecastConfig = DEFAULT):
     """
     boosted_folds = BO.walk_forward_validate(features, cfg)
     boosted = BO.boosted_cv_summary(boosted_folds)
-    base = B.evaluate_baselines_cv(features.select("date", "drug_code", "quantity_sold"),
-                                   cfg.cv_folds, cfg.test_days, cfg)
+    base = B.evaluate_baselines_cv(features, cfg.cv_folds, cfg.test_days, cfg)
     base = base.join(boosted.select("drug_code"), "drug_code", "left_semi")
     return base, boosted
 

@@ -30,7 +30,7 @@ def test_iso_week_at_year_boundary(spark):
 
 
 def test_lag_columns(sample_sales, sample_pdf):
-    out = (sample_sales.select("date", "quantity_sold", *FE.lag_columns([1, 7]))
+    out = (FE.with_order_key(sample_sales).select("date", "quantity_sold", *FE.lag_columns([1, 7]))
            .orderBy("date").toPandas())
     assert out.loc[5, "lag_1"] == out.loc[4, "quantity_sold"]
     assert pd.isna(out.loc[0, "lag_1"]) and pd.isna(out.loc[6, "lag_7"])
@@ -43,7 +43,7 @@ def _pandas_rolling(q: pd.Series, n: int):
 
 
 def test_rolling_matches_shifted_pandas_rolling(sample_sales, sample_pdf):
-    out = (sample_sales.select("date", "quantity_sold", *FE.rolling_columns([7, 14, 30]))
+    out = (FE.with_order_key(sample_sales).select("date", "quantity_sold", *FE.rolling_columns([7, 14, 30]))
            .orderBy("date").toPandas())
     q = sample_pdf["quantity_sold"].astype(float)
     for n in (7, 14, 30):
@@ -75,7 +75,7 @@ def test_warmup_zero_fill_is_kept(sample_sales):
 
 def test_lags_are_by_row_not_by_day(multi_sales):
     """Trap T-05: training lags follow rows, so a gap shifts them."""
-    out = (multi_sales.filter("drug_code = 'GAPS'").select("date", "quantity_sold",
+    out = (FE.with_order_key(multi_sales.filter("drug_code = 'GAPS'")).select("date", "quantity_sold",
                                                             *FE.lag_columns([1])).orderBy("date").collect())
     gap = next(i for i in range(1, len(out)) if (out[i].date - out[i - 1].date).days > 1)
     assert out[gap].lag_1 == out[gap - 1].quantity_sold
