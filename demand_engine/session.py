@@ -14,6 +14,8 @@ _SESSION_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # remove reliable-checkpoint files once their datasets are out of scope
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
