@@ -1,6 +1,6 @@
 """Daily sales series derived from the given parquet tables.
 
-The driver tables stand in for a pharmacy's sales file: an item series is a
+The driver tables stand in for a shop's daily sales file: an item series is a
 ``part`` attribute (``p_type`` by default: 6 series; ``p_brand``: 25;
 ``p_partkey``: thousands), the day is the ship date and the demand is the
 summed line quantity. The join is left to the optimizer (broadcast while
