@@ -36,9 +36,12 @@ def main() -> None:
     from demand_engine.plans.forecast_run import run_forecast
     from demand_engine.sources.tables import sales_daily
 
-    spark = get_spark(f"local[{CPUS}]", int(CPUS),
-                      extra_conf={"spark.driver.memory": "16g",
-                                  "spark.eventLog.enabled": "false"})
+    conf = {"spark.driver.memory": "16g", "spark.eventLog.enabled": "false"}
+    if os.environ.get("BENCH_EVENTLOG") == "1":   # stage times: tools/stage_times.py
+        log_dir = tempfile.mkdtemp(prefix="run-events-", dir="/tmp")
+        conf.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir})
+        print(f"event log: {log_dir}", file=sys.stderr)
+    spark = get_spark(f"local[{CPUS}]", int(CPUS), extra_conf=conf)
     times = {}
     # warm-up: JVM, parquet footers, codegen caches
     _run(QUERIES["load_summary"](spark, SF_DIR))

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (DecisionTreeRegressionModel, DecisionTreeRegressor,
                                    GBTRegressionModel, GBTRegressor)
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,10 +66,28 @@ def fit_point_model(train: DataFrame, cfg: ForecastConfig = DEFAULT,
                        featureSubsetStrategy=cfg.gbt_feature_subset, seed=cfg.gbt_seed,
                        maxBins=32, validationTol=cfg.gbt_validation_tol)
     data = assembler(cols).transform(_with_label(train))
+    keep = ["features", LABEL]
     if validation_col:
         gbt = gbt.setValidationIndicatorCol(validation_col)
         data = data.withColumn(validation_col, F.col(validation_col).cast("boolean"))
-    return gbt.fit(data)
+        keep.append(validation_col)
+    return _fit_persisted(gbt, data.select(*keep))
+
+
+def _fit_persisted(estimator, data: DataFrame):
+    """Fit on a persisted copy of the (vector, label) frame.
+
+    The tree learner reads its input several times before it caches its own
+    binned copy (feature metadata, split candidates, binning); persisting the
+    narrow training frame keeps those passes from re-running the feature
+    lineage. MEMORY_AND_DISK spills instead of failing; the copy is released
+    after the fit.
+    """
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(data)
+    finally:
+        data.unpersist()
 
 
 def fit_interval_model(train: DataFrame, cfg: ForecastConfig = DEFAULT,
@@ -80,7 +99,8 @@ def fit_interval_model(train: DataFrame, cfg: ForecastConfig = DEFAULT,
                                maxDepth=cfg.quantile_tree_depth,
                                minInstancesPerNode=cfg.quantile_min_instances,
                                leafCol="leaf", seed=cfg.gbt_seed)
-    tree = dt.fit(data)
+    data = data.select("features", LABEL)
+    tree = _fit_persisted(dt, data)
     leaves = (tree.transform(data).groupBy("leaf")
               .agg(F.percentile_approx(LABEL, [cfg.interval_alpha_low, cfg.interval_alpha_high],
                                        10000).alias("__q"),
