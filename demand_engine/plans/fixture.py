@@ -47,6 +47,8 @@ def forecast_history(sales_long: DataFrame, items: DataFrame) -> DataFrame:
         fc = (baseline_forecasts(train, DEFAULT.horizon, DEFAULT, models=models)
               .withColumn("run_timestamp", store.ntz(ts)))
         runs = fc if runs is None else runs.unionByName(fc)
+    # read three times (unknown-code check, id size check, the ids): compute once
+    runs = runs.persist(StorageLevel.MEMORY_AND_DISK)
     hist = store.forecast_records(runs, items, F.col("model_name"), F.col("run_timestamp"))
     return store.with_sequential_id(
         hist, ["run_timestamp", "model_name", "drug_id", "forecast_date"], 1).select(

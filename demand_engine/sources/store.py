@@ -22,16 +22,25 @@ from ..schema import MONEY
 # key assignment
 # ---------------------------------------------------------------------------
 
-def with_sequential_id(df: DataFrame, order_cols: list[str], start: Column | int = 1,
-                       id_col: str = "id") -> DataFrame:
-    """Dense ids ``start, start+1, ...`` in ``order_cols`` order, without one-task sorting.
+SMALL_ID_ROWS = 100_000
+
 
-    Rows are range-partitioned by the order columns, numbered inside each
-    partition, and shifted by the row count of all earlier partitions. The
-    per-partition counts are one row per partition (bounded by the shuffle
-    partition count), so that table is the only thing broadcast. The numbered
+def with_sequential_id(df: DataFrame, order_cols: list[str], start: Column | int = 1,
+                       id_col: str = "id", small_rows: int = SMALL_ID_ROWS) -> DataFrame:
+    """Dense ids ``start, start+1, ...`` in ``order_cols`` order (a unique key).
+
+    Size-checked: when a bounded count shows at most ``small_rows`` rows, one
+    ordered ``row_number()`` numbers them (a single task over a proven-small
+    frame). Otherwise rows are range-partitioned by the order columns,
+    numbered inside each partition, and shifted by the row count of all
+    earlier partitions; the per-partition counts are one row per partition
+    (bounded by the partition count), the only thing broadcast. That numbered
     frame is checkpointed first so both uses see the same partitioning.
     """
+    start_col = start if isinstance(start, Column) else F.lit(start)
+    if df.limit(small_rows + 1).count() <= small_rows:
+        w = Window.orderBy(*order_cols)
+        return df.withColumn(id_col, (F.row_number().over(w) - 1 + start_col).cast("long"))
     spark = df.sparkSession
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
@@ -44,7 +53,6 @@ def with_sequential_id(df: DataFrame, order_cols: list[str], start: Column | int
         "__pid",
         F.coalesce(F.sum("__cnt").over(Window.orderBy("__pid").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    start_col = start if isinstance(start, Column) else F.lit(start)
     return (numbered.join(F.broadcast(offsets), "__pid")
             .withColumn(id_col, (F.col("__off") + F.col("__local") - 1 + start_col).cast("long"))
             .drop("__pid", "__local", "__off"))

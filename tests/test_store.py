@@ -12,9 +12,10 @@ def demo(spark):
     return demo_store(spark, "/root/testdata/sf0.001")
 
 
-def test_sequential_ids_are_dense_and_ordered(spark):
+@pytest.mark.parametrize("small_rows", [100_000, 100])   # fast path, distributed path
+def test_sequential_ids_are_dense_and_ordered(spark, small_rows):
     df = spark.range(0, 5000).select((F.col("id") * 7 % 5000).alias("k")).repartition(7)
-    out = S.with_sequential_id(df, ["k"], 10).collect()
+    out = S.with_sequential_id(df, ["k"], 10, small_rows=small_rows).collect()
     ids = sorted((r.k, r.id) for r in out)
     assert [i for _, i in ids] == list(range(10, 5010))
 
