@@ -40,12 +40,13 @@ def multi_sales(spark):
     rows = []
     start = dt.date(2021, 1, 1)
     for code, n, gap_every in (("GAPS", 200, 9), ("FULL", 160, 0), ("ZERO", 130, 0),
-                               ("SHORT", 45, 0), ("ONE", 1, 0)):
+                               ("SHORT", 45, 0), ("ONE", 1, 0), ("DUPS", 150, 0)):
         d = start
         for i in range(n):
             if gap_every and i % gap_every == 4:
                 d += dt.timedelta(days=1)          # skip a day
             q = 0 if code == "ZERO" else int(rng.integers(0, 120))
             rows.append((d, code, q))
-            d += dt.timedelta(days=1)
+            if code != "DUPS" or i % 10 != 3:      # DUPS: every 10th day appears twice
+                d += dt.timedelta(days=1)
     return spark.createDataFrame(rows, "date date, drug_code string, quantity_sold int")

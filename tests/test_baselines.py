@@ -89,7 +89,9 @@ def _brute_cv(pdf: pd.DataFrame, n_folds=3, test_days=30, min_train=30, L=7, W=7
                 continue
             tr, te = g.iloc[:start], g.iloc[start:start + test_days]
             last_date = tr["date"].iloc[-1]
-            by_date = dict(zip(tr["date"], tr["quantity_sold"]))
+            by_date = {}
+            for d_, q_ in zip(tr["date"], tr["quantity_sold"]):
+                by_date.setdefault(d_, q_)          # first row of a day in (date, qty) order
             preds = {"Naive": [float(tr["quantity_sold"].iloc[-1])] * len(te),
                      "Moving Average": [tr["quantity_sold"].iloc[-W:].mean()] * len(te),
                      "Seasonal Naive": [float(by_date.get(last_date - dt.timedelta(days=L - i % L),

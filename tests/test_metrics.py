@@ -50,7 +50,7 @@ def test_split_is_by_calendar_not_rows(multi_sales):
 
 def test_min_history_counts_rows(multi_sales):
     kept = {r[0] for r in FO.min_history(multi_sales, 90).select("drug_code").distinct().collect()}
-    assert kept == {"GAPS", "FULL", "ZERO"}
+    assert kept == {"GAPS", "FULL", "ZERO", "DUPS"}
 
 
 def test_walk_forward_fold_positions(sample_sales):

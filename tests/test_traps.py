@@ -63,3 +63,18 @@ def test_json_records(spark, tmp_path):
     S.write_json(df, str(tmp_path / "out"))
     back = spark.read.json(str(tmp_path / "out")).first()
     assert back.drug_id == 1 and back.forecast_date == "2020-01-01"
+
+
+def test_t03_duplicate_days_seed_one_value_per_day(multi_sales):
+    """Same-day duplicates are kept in the features; the recursion store keeps
+    one value per calendar day (the later row in (date, quantity) order)."""
+    dups = multi_sales.filter("drug_code = 'DUPS'")
+    feats = FE.engineer_features(dups)
+    assert feats.count() == dups.count()
+    tail = feats.orderBy(F.col("date").desc(), F.col("quantity_sold").desc()).limit(30).collect()
+    state = RC.initial_state(feats).first()
+    assert len(state.store) == len({r.date for r in tail}) < 30
+    by_day = {}
+    for r in sorted(tail, key=lambda r: (r.date, r.quantity_sold)):
+        by_day[r.date] = float(r.quantity_sold)           # later row wins
+    assert dict(state.store) == by_day
