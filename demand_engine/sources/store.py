@@ -3,9 +3,11 @@
 Pure DataFrame functions do the work (key assignment, upsert by key, append
 with run constants, integrity checks, cascade delete); :class:`ParquetStore`
 only decides where the result is written. A table is a folder of numbered
-versions; a write produces a new version next to the one being read (never an
-overwrite of the path a plan is reading) and readers take the highest version
-that finished (``_SUCCESS`` present).
+versions and readers take the highest version that finished (``_SUCCESS``
+present). Items: an upsert writes a new version (never an overwrite of the
+path a plan is reading). Forecasts: runs are appended as ``run_date``
+partitions. Sales: month partitions, and an upsert rewrites only the months
+its batch touches (dynamic partition overwrite after a checkpoint).
 """
 
 from __future__ import annotations
@@ -288,18 +290,32 @@ class ParquetStore:
         return self.read("drugs")
 
     def upsert_sales(self, sales: DataFrame) -> DataFrame:
+        """Upsert a batch of daily sales on (drug_id, date).
+
+        The table is partitioned by month. Only the months the batch touches
+        are read (partition pruning), merged by key, materialised with a
+        reliable checkpoint (so the write no longer reads the files it
+        replaces) and written back with dynamic partition overwrite: the other
+        months are neither read nor rewritten.
+        """
         items = self.read("drugs")
-        new = sales_records(sales, items)
-        old = self.read("sales_daily")
-        new = new.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
-        merged = new if old is None else upsert_by_key(
-            old.select("drug_id", "date", "quantity_sold", "created_at"), new, ["drug_id", "date"])
         now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-        if "created_at" not in merged.columns:
-            merged = merged.withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
-        merged = merged.withColumn("created_at", F.coalesce("created_at", ntz(now)))
-        self._write_new_version("sales_daily", merged.withColumn(
-            "year_month", F.date_format("date", "yyyy-MM")), partition_by=["year_month"])
+        new = (sales_records(sales, items)
+               .withColumn("created_at", ntz(now))
+               .withColumn("year_month", F.date_format("date", "yyyy-MM")))
+        path = self.path("sales_daily")
+        if path is None:
+            self._write_new_version("sales_daily", new, partition_by=["year_month"])
+            return self.read("sales_daily")
+        # the touched months: one short string per month of the batch
+        months = [r[0] for r in new.select("year_month").distinct().collect()]
+        old = (self.spark.read.parquet(path).filter(F.col("year_month").isin(months))
+               .select("drug_id", "date", "quantity_sold", "created_at", "year_month"))
+        from ..session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+        merged = upsert_by_key(old, new.select(*old.columns), ["drug_id", "date"]).checkpoint(eager=True)
+        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("year_month").parquet(path))
         return self.read("sales_daily")
 
     def append_forecasts(self, forecasts: DataFrame, model_name: str,

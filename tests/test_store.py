@@ -92,3 +92,26 @@ def test_parquet_store_versions(spark, tmp_path, demo):
     st.append_forecasts(fc, "LightGBM", dt.datetime(2024, 3, 1))
     hist = st.append_forecasts(fc, "LightGBM", dt.datetime(2024, 3, 2))
     assert hist.count() == 12 and sorted(r.id for r in hist.collect()) == list(range(1, 13))
+
+
+def test_sales_upsert_rewrites_only_touched_months(spark, tmp_path, demo):
+    import glob
+    import os
+    st = S.ParquetStore(spark, str(tmp_path / "wh"))
+    st.upsert_items(demo.items.select("drug_code", "drug_name", "atc_code"))
+    st.upsert_sales(demo.sales_long.filter(F.col("date") < F.lit(dt.date(1995, 4, 1))))
+    root = st.path("sales_daily")
+    before = {f: os.path.getmtime(f) for f in glob.glob(f"{root}/year_month=*/*.parquet")}
+    batch = (demo.sales_long.filter((F.col("date") >= F.lit(dt.date(1995, 3, 20)))
+                                    & (F.col("date") < F.lit(dt.date(1995, 4, 10))))
+             .withColumn("quantity_sold", F.lit(7)))
+    out = st.upsert_sales(batch)
+    after = {f: os.path.getmtime(f) for f in glob.glob(f"{root}/year_month=*/*.parquet")}
+    untouched = [f for f in before if "year_month=1995-01" in f or "year_month=1995-02" in f]
+    assert untouched and all(after.get(f) == before[f] for f in untouched)
+    got = {(r.drug_id, r.date): r.quantity_sold for r in out.collect()}
+    n_old = demo.sales_long.filter(F.col("date") < F.lit(dt.date(1995, 4, 1))).count()
+    n_new = batch.filter(F.col("date") >= F.lit(dt.date(1995, 4, 1))).count()
+    assert len(got) == n_old + n_new
+    assert all(q == 7 for (i, d), q in got.items() if d >= dt.date(1995, 3, 20))
+    assert any(q != 7 for (i, d), q in got.items() if d < dt.date(1995, 3, 20))
