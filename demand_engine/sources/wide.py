@@ -14,9 +14,13 @@ NON_ITEM_COLUMNS = ("Year", "year", "Month", "month", "Hour", "hour",
                     "Weekday Name", "weekday_name", "Weekday", "weekday", "Day", "day")
 
 
-def load_raw_sales(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with header and inferred types; a missing path is FileNotFoundError."""
+def load_raw_sales(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """CSV with header; types inferred unless ``schema`` is given (inference
+    reads the files twice, so pass a schema for large inputs). A missing path
+    is FileNotFoundError."""
     try:
+        if schema is not None:
+            return spark.read.csv(path, header=True, schema=schema)
         return spark.read.csv(path, header=True, inferSchema=True)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
@@ -37,11 +41,13 @@ def item_columns(df: DataFrame, date_col: str) -> list[str]:
             if f.name not in excluded and isinstance(f.dataType, T.NumericType)]
 
 
-def wide_to_long(df: DataFrame) -> DataFrame:
+def wide_to_long(df: DataFrame, date_format: str | None = None) -> DataFrame:
     """Melt one-column-per-item into ``(date, drug_code, quantity_sold)``.
 
     Same-day duplicates are kept, not summed; rows with a missing quantity are
     dropped; quantities are truncated to integers (3.9 -> 3, -3.9 -> -3).
+    Dates are parsed as ISO text unless ``date_format`` (a Spark datetime
+    pattern such as ``MM/dd/yyyy``) is given; unparsable text raises.
     The result is not sorted: windows sort for themselves and reports order
     at output.
     """
@@ -49,7 +55,9 @@ def wide_to_long(df: DataFrame) -> DataFrame:
     items = item_columns(df, date_col)
     if not items:
         raise ValueError("No numeric item columns found")
-    values = df.select(F.to_date(F.col(f"`{date_col}`")).alias("date"),
+    raw = F.col(f"`{date_col}`")
+    parsed = F.to_date(raw, date_format) if date_format else F.to_date(raw)
+    values = df.select(parsed.alias("date"),
                        *[F.col(f"`{c}`").cast("double").alias(c) for c in items])
     long = values.unpivot(["date"], items, "drug_code", "quantity_sold")
     return (long.dropna(subset=["quantity_sold"])

@@ -90,3 +90,11 @@ def test_wide_fixture_round_trip(spark):
 def test_load_summary(spark):
     s = W.load_summary(sales_daily(spark, "/root/testdata/sf0.001")).first()
     assert s.n_series == 6 and s.n_rows > 0 and s.min_date <= s.max_date
+
+
+def test_csv_with_schema_and_date_pattern(spark, tmp_path):
+    p = tmp_path / "us.csv"
+    p.write_text("datum,A\n01/31/2020,5\n02/01/2020,6\n")
+    raw = W.load_raw_sales(spark, str(p), schema="datum string, A int")
+    got = sorted((str(r.date), r.quantity_sold) for r in W.wide_to_long(raw, "MM/dd/yyyy").collect())
+    assert got == [("2020-01-31", 5), ("2020-02-01", 6)]
