@@ -47,6 +47,11 @@ class ForecastConfig:
     gbt_subsampling_rate: float = 0.8
     gbt_feature_subset: str = "0.9"
     gbt_validation_tol: float = 0.001
+    # 0: Spark ML's early stop (ends at the first round without enough gain).
+    # n > 0: fit all gbt_max_iter rounds and keep the best prefix on the
+    # validation rows, stopping after n rounds without improvement (LightGBM's
+    # rule; the original uses 50 with up to 1000 rounds).
+    gbt_patience: int = 0
     gbt_seed: int = 42
     # Leaf-quantile interval model.
     quantile_tree_depth: int = 5

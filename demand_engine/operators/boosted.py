@@ -44,6 +44,7 @@ class BoostedModels:
     leaf_quantiles: DataFrame | None
     feature_cols: list[str]
     series: str | None = None  # fingerprint of the series set it was trained on
+    n_trees: int | None = None  # use only the first n trees (best prefix); None = all
 
     @property
     def has_interval(self) -> bool:
@@ -90,6 +91,50 @@ def _fit_persisted(estimator, data: DataFrame):
         data.unpersist()
 
 
+def best_prefix(model: GBTRegressionModel, valid: DataFrame, cols: list[str], patience: int) -> int:
+    """Number of trees to keep: the prefix with the lowest validation squared
+    error, scanning prefixes in order and stopping after ``patience`` rounds
+    without improvement.
+
+    One job: each validation row gets its per-tree outputs, their prefix sums
+    and squared errors (``transform`` over ``sequence(1, n)``); a group-by on
+    the prefix length averages them. Only ``n`` numbers (one per prefix,
+    bounded by ``gbt_max_iter``) reach the driver.
+    """
+    terms = F.array(*tree_columns(model, cols))
+    n = model.getNumTrees
+    y = F.col("quantity_sold").cast("double")
+    errors = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct(
+        k.alias("k"),
+        F.pow(y - F.aggregate(F.slice("__terms", 1, k), F.lit(0.0), lambda a, x: a + x), 2)
+        .alias("se")))
+    per_k = (valid.select(terms.alias("__terms"), *[F.col(c) for c in ["quantity_sold"]])
+             .select(F.explode(errors).alias("e"))
+             .groupBy("e.k").agg(F.avg("e.se").alias("mse")))
+    mse = {r["k"]: r["mse"] for r in per_k.collect()}
+    best_k, best = 1, float("inf")
+    for k in range(1, n + 1):
+        if mse[k] < best:
+            best_k, best = k, mse[k]
+        elif k - best_k >= patience:
+            break
+    return best_k
+
+
+def fit_point(train: DataFrame, cfg: ForecastConfig = DEFAULT, feature_cols: list[str] | None = None,
+              validation_col: str | None = None) -> tuple[GBTRegressionModel, int | None]:
+    """(model, trees to use). With ``cfg.gbt_patience > 0`` and a validation
+    column, all rounds are fitted on the other rows and the best prefix is
+    chosen with patience; otherwise Spark ML's own early stop applies."""
+    cols = feature_cols or feature_names(cfg)
+    if not validation_col or cfg.gbt_patience <= 0:
+        return fit_point_model(train, cfg, cols, validation_col), None
+    v = F.col(validation_col).cast("boolean")
+    model = fit_point_model(train.filter(~v), cfg, cols, None)
+    assembled = train.filter(v).select(*cols, "quantity_sold")
+    return model, best_prefix(model, assembled, cols, cfg.gbt_patience)
+
+
 def fit_interval_model(train: DataFrame, cfg: ForecastConfig = DEFAULT,
                        feature_cols: list[str] | None = None):
     """(tree, leaf table ``(leaf, lower_q, upper_q, n_rows)``)."""
@@ -113,17 +158,21 @@ def fit_interval_model(train: DataFrame, cfg: ForecastConfig = DEFAULT,
 def train_models(train: DataFrame, cfg: ForecastConfig = DEFAULT,
                  validation_col: str | None = None, with_interval: bool = True) -> BoostedModels:
     cols = feature_names(cfg)
-    point = fit_point_model(train, cfg, cols, validation_col)
+    point, n_trees = fit_point(train, cfg, cols, validation_col)
     tree, leaves = fit_interval_model(train, cfg, cols) if with_interval else (None, None)
-    return BoostedModels(point, tree, leaves, cols)
+    return BoostedModels(point, tree, leaves, cols, n_trees=n_trees)
 
 
 def predict(models: BoostedModels, df: DataFrame, keep_features: bool = False) -> DataFrame:
     """Add ``predicted_demand`` (>= 0) and, when an interval model exists,
     ``lower_ci``/``upper_ci`` (>= 0); otherwise both are NULL (both or none)."""
     data = assembler(models.feature_cols).transform(df)
-    out = models.point.transform(data).withColumn(
-        "predicted_demand", F.greatest(F.lit(0.0), F.col("prediction"))).drop("prediction")
+    if models.n_trees is None:
+        out = models.point.transform(data).withColumn(
+            "predicted_demand", F.greatest(F.lit(0.0), F.col("prediction"))).drop("prediction")
+    else:
+        score = ensemble_column(models.point, models.feature_cols, models.n_trees)
+        out = data.withColumn("predicted_demand", F.greatest(F.lit(0.0), score))
     if models.has_interval:
         out = models.tree.setLeafCol("leaf").setPredictionCol("__tree_pred").transform(out)
         out = (out.join(F.broadcast(models.leaf_quantiles.select("leaf", "lower_q", "upper_q")),
@@ -150,15 +199,23 @@ def _node_column(node, cols: list[str]) -> "F.Column":
         _node_column(node.rightChild(), cols))
 
 
-def ensemble_column(model: GBTRegressionModel, cols: list[str]):
-    """The fitted ensemble as one native expression: sum of weight * tree.
+def tree_columns(model: GBTRegressionModel, cols: list[str], n_trees: int | None = None) -> list:
+    """``weight * tree_i`` as native expressions, one per tree (first ``n_trees``)."""
+    trees = model._java_obj.trees()
+    weights = list(model.treeWeights)[: n_trees or None]
+    return [F.lit(float(w)) * _node_column(trees[i].rootNode(), cols) for i, w in enumerate(weights)]
+
+
+def ensemble_column(model: GBTRegressionModel, cols: list[str], n_trees: int | None = None):
+    """The fitted ensemble (or its first ``n_trees`` trees) as one native
+    expression: sum of weight * tree.
 
     Scoring then needs no vector column and no model call per row; it runs
     inside whole-stage code generation like any arithmetic (same splits,
     thresholds and weights as ``model.transform``).
     """
     trees = model._java_obj.trees()
-    weights = list(model.treeWeights)
+    weights = list(model.treeWeights)[: n_trees or None]
     total = None
     for i, w in enumerate(weights):
         term = F.lit(float(w)) * _node_column(trees[i].rootNode(), cols)
@@ -201,8 +258,8 @@ def walk_forward_validate(features: DataFrame, cfg: ForecastConfig = DEFAULT,
             fit_on = train.withColumn("__valid", idx >= test_start - T)
         if fit_on.limit(1).count() == 0:
             return None
-        point = fit_point_model(fit_on, cfg, cols, "__valid")
-        scored = predict(BoostedModels(point, None, None, cols), test).select(
+        point, n_trees = fit_point(fit_on, cfg, cols, "__valid")
+        scored = predict(BoostedModels(point, None, None, cols, n_trees=n_trees), test).select(
             "drug_code", F.lit(nf + 1 - k).alias("fold"),
             F.col("quantity_sold").alias("actual"), F.col("predicted_demand").alias("predicted"))
         return scored.groupBy("drug_code", "fold").agg(*error_metrics("actual", "predicted"),
@@ -244,7 +301,7 @@ def save_models(models: BoostedModels, path: str) -> None:
     if models.has_interval:
         models.tree.write().overwrite().save(f"{path}/tree")
         models.leaf_quantiles.write.mode("overwrite").parquet(f"{path}/leaf_quantiles")
-    meta = {"feature_cols": models.feature_cols, "series": models.series}
+    meta = {"feature_cols": models.feature_cols, "series": models.series, "n_trees": models.n_trees}
     if spark is None:
         from pyspark.sql import SparkSession as _S
         spark = _S.getActiveSession()
@@ -267,5 +324,6 @@ def load_models(spark: SparkSession, path: str, cfg: ForecastConfig = DEFAULT,
         raise FileNotFoundError("saved model was trained on other features")
     if series is not None and meta.get("series") is not None and meta["series"] != series:
         raise FileNotFoundError("saved model was trained on other series")
-    return BoostedModels(point, tree, leaves, meta["feature_cols"], meta.get("series"))
+    return BoostedModels(point, tree, leaves, meta["feature_cols"], meta.get("series"),
+                         meta.get("n_trees"))
 

@@ -93,7 +93,7 @@ def forecast_future(models: BoostedModels, features: DataFrame, horizon: int | N
     keep = ["drug_code", "last_date", "last", "store"]
     # every expression of a step is built once; a step is three projections
     step_features = _step_feature_columns(cfg, refresh_external)
-    score = F.greatest(F.lit(0.0), ensemble_column(models.point, cols)).alias("__pred")
+    score = F.greatest(F.lit(0.0), ensemble_column(models.point, cols, models.n_trees)).alias("__pred")
     state = initial_state(features, cfg).withColumn("__step", F.lit(0))
     for i in range(1, h + 1):
         x = state.select(*keep, (F.col("__step") + 1).alias("__step"))

@@ -69,11 +69,12 @@ def train_production(features: DataFrame, cfg: ForecastConfig = DEFAULT) -> BO.B
     split = FO.train_test_split(features, cfg.test_days)
     cols = FE.feature_names(cfg)
     with ThreadPoolExecutor(max_workers=2) as pool:
-        point = pool.submit(BO.fit_point_model, split.withColumn("__valid", ~F.col("is_train")),
+        point = pool.submit(BO.fit_point, split.withColumn("__valid", ~F.col("is_train")),
                             cfg, cols, "__valid")
         interval = pool.submit(BO.fit_interval_model, split.filter("is_train"), cfg, cols)
         tree, leaves = interval.result()
-        return BO.BoostedModels(point.result(), tree, leaves, cols)
+        model, n_trees = point.result()
+        return BO.BoostedModels(model, tree, leaves, cols, n_trees=n_trees)
 
 
 def series_fingerprint(features: DataFrame) -> str:

@@ -128,3 +128,35 @@ def test_pooled_model_learns_a_weekly_pattern(spark):
     mae = scored.agg(F.avg(F.abs(F.col("quantity_sold") - F.col("predicted_demand")))).first()[0]
     naive_mae = test.agg(F.avg(F.abs(F.col("quantity_sold") - F.col("lag_1")))).first()[0]
     assert mae < 4.0 and mae < naive_mae / 5
+
+
+def test_patience_keeps_best_prefix(spark, feats, tmp_path):
+    cfg = replace(CFG, gbt_max_iter=8, gbt_patience=3, gbt_step_size=0.5)
+    last = feats.groupBy("drug_code").agg(F.max("date").alias("__m"))
+    data = (feats.join(last, "drug_code")
+            .withColumn("__v", F.col("date") > F.date_sub("__m", 30)).drop("__m"))
+    model, n = BO.fit_point(data, cfg, FE.feature_names(cfg), "__v")
+    assert model.getNumTrees == 8 and 1 <= n <= 8
+    # brute force: validation MSE of each prefix, scanned with the same rule
+    valid = data.filter("__v")
+    mse = []
+    for k in range(1, 9):
+        e = valid.select(((F.col("quantity_sold") - BO.ensemble_column(model, FE.feature_names(cfg), k)) ** 2)
+                         .alias("se")).agg(F.avg("se")).first()[0]
+        mse.append(e)
+    best_k, best = 1, float("inf")
+    for k, e in enumerate(mse, 1):
+        if e < best - 1e-12:
+            best_k, best = k, e
+        elif k - best_k >= 3:
+            break
+    assert n == best_k
+    models = BO.BoostedModels(model, None, None, FE.feature_names(cfg), n_trees=n)
+    p = BO.predict(models, valid).agg(F.sum("predicted_demand")).first()[0]
+    q = valid.select(F.greatest(F.lit(0.0), BO.ensemble_column(model, FE.feature_names(cfg), n))
+                     .alias("x")).agg(F.sum("x")).first()[0]
+    assert p == pytest.approx(q)
+    models.series = "s"
+    BO.save_models(BO.BoostedModels(model, *BO.fit_interval_model(data, cfg), FE.feature_names(cfg),
+                                    "s", n), str(tmp_path / "m"))
+    assert BO.load_models(spark, str(tmp_path / "m"), cfg, "s").n_trees == n
