@@ -303,6 +303,12 @@ def q_describe(spark, sf):
     return round_doubles(R.describe_sales(R.view_sales(st.sales, st.items, ordered=False)))
 
 
+@register("describe_sales_overall")
+def q_describe_overall(spark, sf):
+    st = demo_store(spark, sf)
+    return round_doubles(R.describe_sales(R.view_sales(st.sales, st.items, ordered=False), by=None))
+
+
 @register("risk_ranking")
 def q_risk(spark, sf):
     st = demo_store(spark, sf)

@@ -330,6 +330,12 @@ FROM sales s JOIN items i ON s.drug_id = i.id"""
   ROUND(quantile_cont(quantity_sold, 0.25), 6) AS p25, ROUND(quantile_cont(quantity_sold, 0.5), 6) AS p50,
   ROUND(quantile_cont(quantity_sold, 0.75), 6) AS p75, ROUND(CAST(max(quantity_sold) AS DOUBLE), 6) AS max
 FROM ({view}) GROUP BY drug_code"""
+    q["describe_sales_overall"] = st + f"""SELECT count(quantity_sold) AS count,
+  ROUND(avg(quantity_sold), 6) AS mean, ROUND(stddev_samp(quantity_sold), 6) AS std,
+  ROUND(CAST(min(quantity_sold) AS DOUBLE), 6) AS min,
+  ROUND(quantile_cont(quantity_sold, 0.25), 6) AS p25, ROUND(quantile_cont(quantity_sold, 0.5), 6) AS p50,
+  ROUND(quantile_cont(quantity_sold, 0.75), 6) AS p75, ROUND(CAST(max(quantity_sold) AS DOUBLE), 6) AS max
+FROM ({view})"""
     q["risk_ranking"] = st + """SELECT d.id, d.drug_code, d.drug_name,
   ROUND(avg(CAST(f.predicted_demand AS DOUBLE)), 6) AS avg_forecast, max(f.run_timestamp) AS latest_run,
   CASE WHEN coalesce(ROUND(avg(CAST(f.predicted_demand AS DOUBLE)), 6), 0) > 1000 THEN 'high'
