@@ -75,3 +75,11 @@ def demo_store(spark: SparkSession, sf_dir: str) -> DemoStore:
         hist = forecast_history(long, items).persist(StorageLevel.MEMORY_AND_DISK)
         _BUILT[key] = DemoStore(long, items, sales, hist)
     return _BUILT[key]
+
+
+def clear_demo_stores() -> None:
+    """Release every memoised fixture store (unpersist its frames)."""
+    for st in _BUILT.values():
+        for df in (st.sales_long, st.items, st.forecasts):
+            df.unpersist()
+    _BUILT.clear()

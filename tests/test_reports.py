@@ -61,3 +61,11 @@ def test_recent_sales_newest_first(demo):
     rows = R.recent_sales(demo.sales).filter("drug_id = 1").collect()
     assert len(rows) == 10 and [r.rank for r in rows] == list(range(1, 11))
     assert all(rows[i].date > rows[i + 1].date for i in range(9))
+
+
+def test_demo_store_is_memoised_and_releasable(spark):
+    from demand_engine.plans import fixture as FX
+    a = FX.demo_store(spark, "/root/testdata/sf0.001")
+    assert FX.demo_store(spark, "/root/testdata/sf0.001/") is a
+    FX.clear_demo_stores()
+    assert FX.demo_store(spark, "/root/testdata/sf0.001") is not a
