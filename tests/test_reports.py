@@ -69,3 +69,25 @@ def test_demo_store_is_memoised_and_releasable(spark):
     assert FX.demo_store(spark, "/root/testdata/sf0.001/") is a
     FX.clear_demo_stores()
     assert FX.demo_store(spark, "/root/testdata/sf0.001") is not a
+
+
+def test_forecast_range_bounds_are_inclusive(spark):
+    d0 = dt.date(2024, 3, 1)
+    rows = [(i + 1, 1, d0 + dt.timedelta(days=i), "2024-02-28 00:00:00", 10.0 + i) for i in range(10)]
+    rows += [(100, 1, d0, "2024-01-01 00:00:00", 99.0)]                      # an older run
+    fc = spark.createDataFrame(rows, "id long, drug_id long, forecast_date date, ts string, "
+                                     "predicted_demand double").select(
+        "id", "drug_id", "forecast_date", F.col("ts").cast("timestamp_ntz").alias("run_timestamp"),
+        "predicted_demand")
+    items = spark.createDataFrame([(1, "A", "A")], "id long, drug_code string, drug_name string")
+    out = R.forecast_range(items, fc, 1, d0 + dt.timedelta(days=2), d0 + dt.timedelta(days=5)).collect()
+    assert [r.forecast_date for r in out] == [d0 + dt.timedelta(days=i) for i in range(2, 6)]
+    assert all(r.run_timestamp == dt.datetime(2024, 2, 28) for r in out)
+    assert len(R.forecast_range(items, fc, 1).collect()) == 10               # no bounds: newest run
+
+
+def test_sales_lookback_is_inclusive_ten_years(spark):
+    sales = spark.createDataFrame([(1, dt.date(2010, 6, 29), 1), (1, dt.date(2010, 6, 30), 2)],
+                                  "drug_id long, date date, quantity_sold int")
+    kept = [r.quantity_sold for r in R.sales_since(sales, dt.date(2020, 6, 30)).collect()]
+    assert kept == [2]
