@@ -9,7 +9,8 @@ with a leaf column, and the 10th/90th percentile of demand among the training
 rows of each leaf (quantile regression forests, Meinshausen 2006, with one
 tree). ``percentile_approx`` is a mergeable sketch, so a leaf holding a third
 of all rows never lands whole in one task; the leaf table has at most
-``2 ** depth`` rows and is the only thing broadcast.
+``2 ** depth`` rows. Scoring compiles the ensemble and the tree to native
+expressions and the leaf table to a literal map: one projection, no join.
 """
 
 from __future__ import annotations
@@ -137,20 +138,24 @@ def fit_point(train: DataFrame, cfg: ForecastConfig = DEFAULT, feature_cols: lis
 
 def fit_interval_model(train: DataFrame, cfg: ForecastConfig = DEFAULT,
                        feature_cols: list[str] | None = None):
-    """(tree, leaf table ``(leaf, lower_q, upper_q, n_rows)``)."""
+    """(tree, leaf table ``(leaf, lower_q, upper_q, n_rows)``).
+
+    Leaves are numbered by :func:`leaf_index_column` (the fitted tree compiled
+    to a native expression), so fitting and scoring number them the same way.
+    """
     cols = feature_cols or feature_names(cfg)
     data = assembler(cols).transform(_with_label(train))
     dt = DecisionTreeRegressor(featuresCol="features", labelCol=LABEL,
                                maxDepth=cfg.quantile_tree_depth,
                                minInstancesPerNode=cfg.quantile_min_instances,
-                               leafCol="leaf", seed=cfg.gbt_seed)
-    data = data.select("features", LABEL)
-    tree = _fit_persisted(dt, data)
-    leaves = (tree.transform(data).groupBy("leaf")
+                               seed=cfg.gbt_seed)
+    tree = _fit_persisted(dt, data.select("features", LABEL))
+    leaves = (_with_label(train).select(leaf_index_column(tree, cols).alias("leaf"), LABEL)
+              .groupBy("leaf")
               .agg(F.percentile_approx(LABEL, [cfg.interval_alpha_low, cfg.interval_alpha_high],
                                        10000).alias("__q"),
                    F.count(F.lit(1)).alias("n_rows"))
-              .select(F.col("leaf").cast("double").alias("leaf"),
+              .select(F.col("leaf").cast("int").alias("leaf"),
                       F.col("__q")[0].alias("lower_q"), F.col("__q")[1].alias("upper_q"), "n_rows"))
     return tree, leaves
 
@@ -163,27 +168,53 @@ def train_models(train: DataFrame, cfg: ForecastConfig = DEFAULT,
     return BoostedModels(point, tree, leaves, cols, n_trees=n_trees)
 
 
-def predict(models: BoostedModels, df: DataFrame, keep_features: bool = False) -> DataFrame:
+def predict(models: BoostedModels, df: DataFrame) -> DataFrame:
     """Add ``predicted_demand`` (>= 0) and, when an interval model exists,
-    ``lower_ci``/``upper_ci`` (>= 0); otherwise both are NULL (both or none)."""
-    data = assembler(models.feature_cols).transform(df)
-    if models.n_trees is None:
-        out = models.point.transform(data).withColumn(
-            "predicted_demand", F.greatest(F.lit(0.0), F.col("prediction"))).drop("prediction")
-    else:
-        score = ensemble_column(models.point, models.feature_cols, models.n_trees)
-        out = data.withColumn("predicted_demand", F.greatest(F.lit(0.0), score))
-    if models.has_interval:
-        out = models.tree.setLeafCol("leaf").setPredictionCol("__tree_pred").transform(out)
-        out = (out.join(F.broadcast(models.leaf_quantiles.select("leaf", "lower_q", "upper_q")),
-                        "leaf", "left")
-               .withColumn("lower_ci", F.greatest(F.lit(0.0), F.col("lower_q")))
-               .withColumn("upper_ci", F.greatest(F.lit(0.0), F.col("upper_q")))
-               .drop("leaf", "lower_q", "upper_q", "__tree_pred"))
-    else:
-        out = (out.withColumn("lower_ci", F.lit(None).cast("double"))
-               .withColumn("upper_ci", F.lit(None).cast("double")))
-    return out if keep_features else out.drop("features")
+    ``lower_ci``/``upper_ci`` (>= 0); otherwise both are NULL (both or none).
+
+    One projection: the ensemble and the interval tree are compiled to native
+    expressions, and the leaf quantiles (at most ``2 ** depth`` rows, read
+    once) become a literal map; no vector column, no model call, no join.
+    """
+    cols = models.feature_cols
+    point = ensemble_column(models.point, cols, models.n_trees)
+    out = df.withColumn("predicted_demand", F.greatest(F.lit(0.0), point))
+    if not models.has_interval:
+        return (out.withColumn("lower_ci", F.lit(None).cast("double"))
+                .withColumn("upper_ci", F.lit(None).cast("double")))
+    lo_map, hi_map = _leaf_maps(models)
+    leaf = leaf_index_column(models.tree, cols)
+    return (out.withColumn("__leaf", leaf)
+            .withColumn("lower_ci", F.greatest(F.lit(0.0), F.element_at(lo_map, F.col("__leaf"))))
+            .withColumn("upper_ci", F.greatest(F.lit(0.0), F.element_at(hi_map, F.col("__leaf"))))
+            .drop("__leaf"))
+
+
+def _leaf_maps(models: BoostedModels):
+    # one row per leaf: at most 2 ** depth rows
+    rows = models.leaf_quantiles.select("leaf", "lower_q", "upper_q").collect()
+    lo = F.create_map(*[x for r in rows for x in (F.lit(int(r.leaf)), F.lit(float(r.lower_q)))])
+    hi = F.create_map(*[x for r in rows for x in (F.lit(int(r.leaf)), F.lit(float(r.upper_q)))])
+    return lo, hi
+
+
+def _leaf_numbers(node, counter, cols):
+    if node.getClass().getSimpleName() == "LeafNode":
+        idx = counter[0]
+        counter[0] += 1
+        return F.lit(idx)
+    split = node.split()
+    if split.getClass().getSimpleName() != "ContinuousSplit":
+        raise ValueError("only continuous splits can be compiled to a column")
+    feature = F.col(cols[split.featureIndex()]).cast("double")
+    left = _leaf_numbers(node.leftChild(), counter, cols)
+    right = _leaf_numbers(node.rightChild(), counter, cols)
+    return F.when(feature <= F.lit(float(split.threshold())), left).otherwise(right)
+
+
+def leaf_index_column(tree: DecisionTreeRegressionModel, cols: list[str]):
+    """Leaf number (0.., left before right) of each row in the fitted tree."""
+    return _leaf_numbers(tree._java_obj.rootNode(), [0], cols)
 
 
 def _node_column(node, cols: list[str]) -> "F.Column":

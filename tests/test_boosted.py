@@ -24,9 +24,22 @@ def models(feats):
 
 
 def test_ensemble_column_equals_model_transform(feats, models):
-    out = BO.predict(models, feats).withColumn("expr", BO.ensemble_column(models.point, models.feature_cols))
-    diff = out.select(F.max(F.abs(F.greatest(F.lit(0.0), "expr") - F.col("predicted_demand")))).first()[0]
-    assert diff < 1e-9
+    data = BO.assembler(models.feature_cols).transform(feats)
+    out = models.point.transform(data).withColumn(
+        "expr", BO.ensemble_column(models.point, models.feature_cols))
+    assert out.select(F.max(F.abs(F.col("expr") - F.col("prediction")))).first()[0] < 1e-9
+    scored = BO.predict(models, feats).join(
+        out.select("drug_code", "date", F.greatest(F.lit(0.0), "prediction").alias("p")), ["drug_code", "date"])
+    assert scored.select(F.max(F.abs(F.col("p") - F.col("predicted_demand")))).first()[0] < 1e-9
+
+
+def test_leaf_index_column_follows_the_tree(feats, models):
+    data = BO.assembler(models.feature_cols).transform(feats)
+    out = models.tree.transform(data).withColumn(
+        "leaf", BO.leaf_index_column(models.tree, models.feature_cols))
+    per_leaf = out.groupBy("leaf").agg(F.countDistinct("prediction").alias("k"))
+    assert per_leaf.filter("k > 1").count() == 0                 # one tree value per leaf
+    assert per_leaf.count() == models.leaf_quantiles.count()
 
 
 def test_interval_both_or_none(feats, models):
