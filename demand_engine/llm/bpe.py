@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import doc_texts, map_stream, materialize
 
 #: Characters of text in one block (a longer text makes a block of its own).
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 
 
 @lru_cache(maxsize=4)
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, n_tokens, ids)``; ``ids`` are little-endian unsigned 32-bit."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(path))  # as large as the rank file, no more
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = materialize(_blocks(doc_texts(docs), pattern, buckets))
     words = (blocks.select("block", F.explode("words").alias("w"))
              .select("block", "w.*").repartition("bucket")

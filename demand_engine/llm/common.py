@@ -56,15 +56,19 @@ def map_columns(df: DataFrame, fn: Callable[..., tuple], schema: str) -> DataFra
     return map_stream(df, lambda batches: (out for cols in batches for out in rows(cols)), schema)
 
 
-def map_stream(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[tuple]],
-               schema: str) -> DataFrame:
-    """A partition at a time: ``fn`` gets an iterator of column lists and
-    yields tuples of output columns (lists or numpy arrays)."""
+def map_stream(df: DataFrame, fn: Callable[[Iterator[list]], Iterator[tuple]], schema: str,
+               arrays: bool = False) -> DataFrame:
+    """A partition at a time: ``fn`` gets an iterator of column lists (numpy
+    arrays with ``arrays``) and yields tuples of output columns."""
     out_type = T.StructType.fromDDL(schema)
 
+    def columns(batch):
+        return [c.to_numpy(zero_copy_only=False) if arrays else c.to_pylist()
+                for c in batch.columns]
+
     def run(batches):
         arrow = to_arrow_schema(out_type)
-        for cols in fn([c.to_pylist() for c in b.columns] for b in batches):
+        for cols in fn(columns(b) for b in batches):
             arrays = [pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
