@@ -8,16 +8,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from demand_engine.llm import decontaminate, pii, simhash, toxicity
 from demand_engine.llm import queries as Q
 from demand_engine.llm.common import materialize, read_table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: documents whose toxicity score reaches the threshold go."""
+    return toxicity.keep_clean(docs, read_table(spark, sf_dir, "labels"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: of each group of near-duplicates one document stays."""
+    return simhash.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 2: personal data is replaced by its kind; every document stays."""
+    return pii.redacted(docs, pii.fit(docs))
+
+
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document that is left (operator 1)."""
+    """Operator 1: token counts and digests of every document that is left."""
     return Q.bpe_digest(docs)
 
 
-STAGES = [("byte_bpe", byte_bpe)]
+STAGES = [("toxicity", drop_toxic), ("simhash_near_dedup", drop_near_duplicates),
+          ("benchmark_decontamination", drop_benchmark_leaks), ("pii", redact_personal_data),
+          ("byte_bpe", byte_bpe)]
 
 #: Learned models, near-duplicate components and tilings have no SQL form; the
 #: tests hold every stage against a brute-force version instead.

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
-from .common import read_table
+from . import bpe, decontaminate, langid, pii, secrets, sharding, simhash, sketch, substring, toxicity
+from .common import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,3 +31,99 @@ def bpe_digest(docs: DataFrame) -> DataFrame:
 @register
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(read_table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        "component_id")
+
+
+@register
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op8_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 48)) AS pos, ws FROM words WHERE len(ws) >= 50),
+hashed AS (
+  SELECT doc_id, pos, md5(array_to_string(ws[pos:pos + 49], ' ')) AS h FROM windows),
+repeated AS (
+  SELECT doc_id, pos FROM hashed
+  QUALIFY min(doc_id) OVER (PARTITION BY h) < doc_id),
+gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps
+  FROM (SELECT doc_id, unnest(range(pos, pos + 50)) AS p FROM repeated) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+       CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(ws, lambda w, i: NOT list_contains(coalesce(ps, []), i)), ' '))
+         AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id)
+"""
+
+
+@register
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_rows(read_table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                         "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"),
+                               read_table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op7_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = sketch.with_next(read_table(spark, sf_dir, "documents"))
+    return s.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketch.fingerprint(F.col("sketch")).alias("fingerprint"),
+        sketch.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketch.likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        sketch.containment(F.col("sketch"), F.col("next_sketch")).alias("contained_in_next"))
+
+
+@register
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxic_scores(read_table(spark, sf_dir, "documents"),
+                                   read_table(spark, sf_dir, "labels"))
+    return scores.select("doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@register
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find_all(docs, pii.fit(docs))
+    return found.select(
+        "doc_id", *[F.regexp_count("base", F.lit(f"(^|,){kind}:")).cast("long").alias(f"n_{kind}")
+                    for kind in pii.BASE_KINDS],
+        F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@register
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.languages(docs, langid.fit(docs))
+    return found.select("doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "lang_pred",
+                        "score")
+
+
+@register
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = secrets.find_all(docs, secrets.fit(docs))
+    return found.select(
+        "doc_id", *[F.regexp_count("base", F.lit(f"(^|,){kind}:")).cast("long").alias(f"n_{kind}")
+                    for kind in secrets.BASE_KINDS],
+        F.sha2("base", 256).alias("base_sha256"), "spans")
