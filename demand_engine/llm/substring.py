@@ -127,9 +127,12 @@ def _parse(hits: DataFrame, window: int) -> DataFrame:
                & (F.col("ref.owner") == F.lag("ref.owner").over(order))
                & (F.col("ref.sub") == F.lag("ref.sub").over(order))
                & (F.col("ref.pos") == F.lag("ref.pos").over(order) + 1))
-    return (hits.withColumn("starts", F.when(goes_on, 0).otherwise(1))
+    # a repeated row of documents finds each phrase twice, at the same place
+    repeated = F.coalesce(F.col("pos") == F.lag("pos").over(order), F.lit(False))
+    return (hits.withColumn("repeated", repeated)
+            .withColumn("starts", F.when(goes_on | F.col("repeated"), 0).otherwise(1))
             .withColumn("factor", F.sum("starts").over(order))
-            .groupBy("owner", "sub", "factor")
+            .filter("NOT repeated").groupBy("owner", "sub", "factor")
             .agg(F.min("pos").alias("start"), (F.count(F.lit(1)) + (window - 1)).alias("n_words"),
                  F.min("ref").alias("ref")))
 
@@ -152,7 +155,7 @@ def _text_factors(docs: DataFrame, window: int, seed_words: int) -> tuple[DataFr
     phrases = _phrases(asked, window, seed_words)
     index = phrases.groupBy("phrase").agg(F.min(F.struct("owner", "sub", "pos")).alias("ref"))
     hits = phrases.join(index, "phrase").filter(F.col("ref.owner") < F.col("owner")).select(
-        "owner", "sub", "pos", "ref").distinct()
+        "owner", "sub", "pos", "ref")
     return texts, _parse(hits, window)
 
 
