@@ -28,7 +28,7 @@ from .common import materialize
 
 SHINGLE = 5
 #: One hash in so many is kept.
-SCALE = 8
+SCALE = 4
 _NO_ID = -(1 << 63)
 
 
@@ -98,8 +98,10 @@ def with_next(docs: DataFrame, shingle: int = SHINGLE, scale: int = SCALE) -> Da
     ``edited`` is the text with its last half replaced by as many first
     characters of the next document."""
     keyed = _keyed(docs)
-    copy = F.row_number().over(W.partitionBy("id", "k").orderBy("k"))
-    ahead = (keyed.withColumn("copy", copy).filter("copy = 1").join(_previous(keyed), ["id", "k"])
+    # one of each set of repeated rows; not a ranked filter, which would change the
+    # shuffle of the texts that the second join uses again
+    again = F.lag("k").over(W.partitionBy("id", "k").orderBy("k"))
+    ahead = (keyed.withColumn("again", again).filter("again IS NULL").join(_previous(keyed), ["id", "k"])
              .select(F.col("prev_id").alias("id"), F.col("prev_k").alias("k"),
                      F.substring(F.col("text"), F.lit(1), F.col("prev_half")).alias("head"),
                      sketch(F.col("text"), shingle, scale).alias("next_sketch")))
