@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +51,38 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_code() -> None:
+    """Send this subpackage's functions to the executors with their tasks, so
+    that it need not be installed there."""
+    for name, module in list(sys.modules.items()):
+        if name.startswith(__package__ + "."):
+            cloudpickle.register_pickle_by_value(module)
+
+
+class Sent:
+    """A broadcast value of one of this subpackage's classes."""
+
+    def __init__(self, spark: SparkSession, value):
+        ship_code()
+        self._broadcast = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+        self._value = None
+
+    def __getstate__(self):
+        return {"_broadcast": self._broadcast, "_value": None}
+
+    @property
+    def value(self):
+        if self._value is None:
+            self._value = pickle.loads(self._broadcast.value)
+        return self._value
+
+
+def column_function(fn: Callable, returns: str):
+    """A column function from ``fn``, a function of one pandas series."""
+    ship_code()
+    return F.pandas_udf(fn, returns)
+
+
 def map_columns(df: DataFrame, fn: Callable[..., tuple], schema: str) -> DataFrame:
     """One Arrow batch at a time: ``fn(*columns)`` gets the batch's columns as
     Python lists and returns the output columns in the order of ``schema``."""
@@ -60,6 +95,7 @@ def map_stream(df: DataFrame, fn: Callable[[Iterator[list]], Iterator[tuple]], s
                arrays: bool = False) -> DataFrame:
     """A partition at a time: ``fn`` gets an iterator of column lists (numpy
     arrays with ``arrays``) and yields tuples of output columns."""
+    ship_code()
     out_type = T.StructType.fromDDL(schema)
 
     def columns(batch):

@@ -26,10 +26,11 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, map_stream
+from .common import Sent, column_function, doc_texts, map_stream
 
 MIN_TILE = 5
 THRESHOLD = 0.8
@@ -152,26 +153,30 @@ def _leaks_of(table: SeedTable, doc_id, text: str, threshold: float):
                    [{"doc_start": a, "item_start": b, "n_words": n} for a, b, n in tiles])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE,
-          threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document row and leaked item: ``(doc_id, item_id, covered,
-    item_words, coverage, tiles)``."""
-    spark = docs.sparkSession
+def _seed_tables(benchmark: DataFrame, min_tile: int, block_words: int):
+    """Broadcast seed tables, one per block of the test set: one block for a set
+    of up to ``block_words`` / 2 words, more for a larger one."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.size(F.split(F.col("text"), r"[^\w]+")))).first()[0] or 0
     blocks = 1 + size // max(block_words // 2, 1)
-    schema = ("doc_id long, item_id long, covered long, item_words long, coverage double, "
-              "tiles array<struct<doc_start:long,item_start:long,n_words:long>>")
-    texts = doc_texts(docs)
-    out = None
-    for block in range(blocks):  # one for any test set of up to half a million words
+    for block in range(blocks):
         part = items if blocks == 1 else items.filter(
             F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         table = SeedTable([(r.item_id, r.text) for r in part.collect()], min_tile)
-        if not table.ids:
-            continue
-        sent = spark.sparkContext.broadcast(table)
+        if table.ids:
+            yield Sent(spark, table)
+
 
+def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE,
+          threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row per document row and leaked item: ``(doc_id, item_id, covered,
+    item_words, coverage, tiles)``."""
+    schema = ("doc_id long, item_id long, covered long, item_words long, coverage double, "
+              "tiles array<struct<doc_start:long,item_start:long,n_words:long>>")
+    texts = doc_texts(docs)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for sent in _seed_tables(benchmark, min_tile, block_words):
         def run(batches, sent=sent):
             for ids, batch in batches:
                 rows = [row for doc_id, text in zip(ids, batch)
@@ -179,12 +184,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE,
                 if rows:
                     yield tuple(map(list, zip(*rows)))
 
-        found = map_stream(texts, run, schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
+        out = out.unionByName(map_stream(texts, run, schema))
+    return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that leak no test item."""
-    dirty = leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(dirty, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE,
+          threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of ``docs`` that leak no test item; judged row by row where they
+    lie, with no shuffle."""
+    def judge(sent: Sent):
+        def is_clean(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: next(_leaks_of(sent.value, None, t or "", threshold), None)
+                             is None).astype(bool)
+        return column_function(is_clean, "boolean")
+
+    for sent in _seed_tables(benchmark, min_tile, block_words):
+        docs = docs.filter(judge(sent)(F.coalesce(F.col("text"), F.lit(""))))
+    return docs

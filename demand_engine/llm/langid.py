@@ -24,13 +24,12 @@ Repeated rows and doc_ids: row by row.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, fold_of, map_stream
+from .common import Sent, doc_texts, fold_of, map_stream
 
 ORDERS = (1, 2, 3)
 BITS = 18
@@ -43,9 +42,14 @@ UNKNOWN = "und"
 _HASH = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-@lru_cache(maxsize=1)
+_table: dict[str, np.ndarray] = {}
+
+
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(0x110000)])
+    """For every code point whether it is a letter; made once per process."""
+    if not _table:
+        _table["letters"] = np.array([chr(c).isalpha() for c in range(0x110000)])
+    return _table["letters"]
 
 
 def ngrams(text: str, present: np.ndarray) -> np.ndarray:
@@ -170,7 +174,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def languages(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, lang_pred, score)``, one row per row of ``docs``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
 
     def run(batches):
         for ids, texts in batches:

@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, map_stream
+from .common import Sent, column_function, doc_texts, map_stream
 
 THRESHOLD = 0.5
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -326,7 +326,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def find_all(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, base, spans)``: base spans and all spans of each row's text,
     ``kind:start:end`` in code points, end exclusive."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
 
     def run(batches):
         for ids, texts in batches:
@@ -351,12 +351,12 @@ def redact(text: str, model: Model) -> str:
 def redacted(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with redacted texts (null stays null) and, where the column is
     there, their new ``n_chars``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
 
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else redact(t, sent.value))
 
-    out = docs.withColumn("text", F.pandas_udf(run, "string")("text"))
+    out = docs.withColumn("text", column_function(run, "string")("text"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars"))

@@ -14,8 +14,8 @@ candidate-shaped tokens of all documents.
 Decision. Every candidate token of every text (a run of credential characters of
 ``MIN_LENGTH`` or more with a digit and a letter, or with mixed case) is scored
 by each kind's automaton against the background; a token whose log likelihood
-ratio per character exceeds the threshold, learned as the lower quartile of the
-examples' own ratios, is reported as ``format`` unless a base span overlaps it.
+ratio per character reaches the threshold, learned as the second percentile of
+the examples' own ratios, is reported as ``format`` unless a base span overlaps it.
 
 Cases: null or empty text: no spans. Too few examples of a kind (fewer than
 ``FEWEST``): no grammar of that kind. Repeated rows: row by row. All patterns are
@@ -32,7 +32,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, map_stream, materialize
+from .common import Sent, doc_texts, map_stream, materialize
 
 BASE_KINDS = ("assign", "access", "hex")
 MORE_KIND = "format"
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, examples: int = EXAMPLES) -> Model:
             counted[classes(r.what)] = counted.get(classes(r.what), 0) + 1
         model.automata[kind] = Automaton(counted)
         ratios = sorted(model._ratio(model.automata[kind], classes(r.what)) for r in sample)
-        model.thresholds[kind] = max(ratios[len(ratios) // 4], 0.1)
+        model.thresholds[kind] = max(ratios[len(ratios) // 50], 0.1)
     return model
 
 
@@ -255,7 +255,7 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def find_all(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, base, spans)``: base spans and all spans of each row's text,
     ``kind:start:end`` in code points, end exclusive, by start."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
 
     def run(batches):
         for ids, texts in batches:

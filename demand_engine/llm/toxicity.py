@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, fold_of, map_stream, materialize
+from .common import Sent, column_function, doc_texts, fold_of, map_stream, materialize
 
 #: Labelled documents that the evidence is learned from, at most.
 SAMPLE = 10_000
@@ -317,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def scorer(docs: DataFrame, model: Model):
     """A column function: text -> score from 0 to 1."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model, known = sent.value, {}
@@ -328,7 +328,7 @@ def scorer(docs: DataFrame, model: Model):
             yield pd.Series([model.score(restore.words(t or ""), known) for t in texts],
                             dtype="float64")
 
-    return F.pandas_udf(run, "double")
+    return column_function(run, "double")
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
