@@ -1,7 +1,7 @@
 """Command line: ``python -m demand_engine run|view-sales ...``.
 
     python -m demand_engine run --csv sales.csv --store /shared/wh --models /shared/models [--retrain]
-    python -m demand_engine run --sf-dir /root/testdata/sf0.1 --series p_type --store /tmp/wh
+    python -m demand_engine run --sf-dir /shared/tables --series p_type --store /shared/wh
     python -m demand_engine view-sales --store /shared/wh [--code R03]
 
 On a cluster, submit with ``spark-submit -m demand_engine ...``-style launchers;
@@ -26,10 +26,17 @@ def _run(args) -> None:
     spark = get_spark(args.master)
     sales = (wide_to_long(load_raw_sales(spark, args.csv)) if args.csv
              else sales_daily(spark, args.sf_dir, args.series))
-    cfg = replace(DEFAULT, horizon=args.horizon, holiday_country=args.country)
+    cfg = replace(DEFAULT, horizon=args.horizon, holiday_country=args.country,
+                  gbt_max_iter=args.max_rounds)
     store = ParquetStore(spark, args.store) if args.store else None
     res = run_forecast(sales, cfg, store=store, model_path=args.models, retrain=args.retrain)
-    res.comparison.orderBy("drug_code", "model_rank").show(200, truncate=False)
+    ordered = res.comparison.orderBy("drug_code", "model_rank")
+    if args.report:
+        ordered.write.mode("overwrite").json(args.report)
+    else:  # every row, one partition at a time
+        print("\t".join(ordered.columns))
+        for row in ordered.toLocalIterator():
+            print("\t".join(map(str, row)))
     res.summary.orderBy("model_rank").show(truncate=False)
     res.improvement.show(truncate=False)
     res.totals.show()
@@ -63,9 +70,12 @@ def main(argv=None) -> None:
     src.add_argument("--sf-dir", help="folder with the lineitem/part parquet tables")
     r.add_argument("--series", default="p_type", help="series column for --sf-dir")
     r.add_argument("--store", help="store root folder (shared storage on a cluster)")
+    r.add_argument("--report", help="folder for the per-series comparison (JSON); printed if absent")
     r.add_argument("--models", help="model folder; reused unless --retrain")
     r.add_argument("--retrain", action="store_true")
     r.add_argument("--horizon", type=int, default=DEFAULT.horizon)
+    r.add_argument("--max-rounds", type=int, default=DEFAULT.gbt_max_iter,
+                   help="boosting rounds at most (patience usually stops earlier)")
     r.add_argument("--country", default=DEFAULT.holiday_country)
     r.set_defaults(fn=_run)
     v = sub.add_parser("view-sales", help="first rows and summary of stored sales")

@@ -1,15 +1,15 @@
 """Calendar, seasonal and holiday column expressions.
 
 Everything here is a plain column expression evaluated inside whole-stage
-codegen: no lookup table, no join, no Python per row. The holiday test is
-computed from the date itself (fixed month-day rules plus Easter-relative
-rules, Easter from the public Gauss/Meeus computus). Holidays that follow a
-lunar calendar cannot be written as such a rule; callers pass them as a small
-``(date)`` DataFrame (see :func:`with_holiday_flag`).
+codegen: no join, no Python per row. The holiday test is computed from the date
+itself (fixed month-day rules, Easter-relative rules with Easter from the public
+Gauss/Meeus computus, and a list of dated lunar holidays up to 2030). Further
+days can be passed as a ``(date)`` DataFrame (see :func:`with_holiday_flag`).
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 # Public holiday rules per country (public calendars).
 #   fixed: (month, day, first_year, last_year) - years inclusive, None = open
 #   easter: (calendar, offset in days from Easter Sunday)
+#   dates: days of lunar holidays, which no rule on the date gives
 # ---------------------------------------------------------------------------
 HOLIDAY_RULES = {
     "SI": {
@@ -42,6 +43,7 @@ HOLIDAY_RULES = {
             ("western", 1),          # Easter Monday
             ("western", 49),         # Whit Sunday
         ],
+        "dates": [],
     },
     "MK": {
         "fixed": [
@@ -58,6 +60,15 @@ HOLIDAY_RULES = {
         "easter": [
             ("orthodox", 1),         # Easter Monday (Orthodox)
         ],
+        "dates": [                   # Eid al-Fitr, first day (lunar calendar)
+            "1990-04-26", "1991-04-16", "1992-04-04", "1993-03-24", "1994-03-13", "1995-03-02",
+            "1996-02-19", "1997-02-08", "1998-01-29", "1999-01-18", "2000-01-08", "2000-12-27",
+            "2001-12-16", "2002-12-05", "2003-11-25", "2004-11-14", "2005-11-03", "2006-10-23",
+            "2007-10-13", "2008-10-01", "2009-09-20", "2010-09-10", "2011-08-30", "2012-08-19",
+            "2013-08-08", "2014-07-28", "2015-07-17", "2016-07-06", "2017-06-25", "2018-06-15",
+            "2019-06-04", "2020-05-24", "2021-05-13", "2022-05-02", "2023-04-21", "2024-04-10",
+            "2025-03-30", "2026-03-20", "2027-03-09", "2028-02-26", "2029-02-14", "2030-02-04",
+        ],
     },
 }
 
@@ -117,25 +128,20 @@ def is_holiday(date: Column, country: str) -> Column:
     easters = {"western": western_easter(year), "orthodox": orthodox_easter(year)}
     for cal, offset in rules["easter"]:
         cond = cond | (date == F.date_add(easters[cal], offset))
+    if rules["dates"]:
+        cond = cond | date.isin(*[_dt.date.fromisoformat(d) for d in rules["dates"]])
     return cond.cast("int")
 
 
 def with_holiday_flag(df: DataFrame, country: str, date_col: str = "date",
-                      extra_holidays: DataFrame | None = None,
-                      max_extra_rows: int = 100_000) -> DataFrame:
-    """Add ``is_holiday``: rule holidays OR membership in ``extra_holidays``.
-
-    ``extra_holidays`` (one ``date`` column: lunar or one-off days) is a
-    calendar, a few rows per year; it is broadcast only after its size is
-    checked against ``max_extra_rows``, else the join stays a shuffle join.
-    """
+                      extra_holidays: DataFrame | None = None) -> DataFrame:
+    """Add ``is_holiday``: rule holidays OR membership in ``extra_holidays``
+    (one ``date`` column). How that calendar is joined is the optimizer's choice."""
     flag = is_holiday(F.col(date_col), country)
     if extra_holidays is None:
         return df.withColumn("is_holiday", flag)
     extra = (extra_holidays.select(F.col("date").cast("date").alias("__hday"))
              .distinct().withColumn("__hit", F.lit(1)))
-    small = extra.limit(max_extra_rows + 1).count() <= max_extra_rows
-    extra = F.broadcast(extra) if small else extra
     out = df.join(extra, F.col(date_col) == F.col("__hday"), "left")
     return (out.withColumn("is_holiday",
                            F.greatest(flag, F.coalesce(F.col("__hit"), F.lit(0))).cast("int"))
@@ -166,40 +172,3 @@ def seasonal_columns(date: Column) -> list[Column]:
     m = F.month(date)
     return [seasonal_index(m, 1).alias("flu_season_index"),
             seasonal_index(m, 4).alias("allergy_season_index")]
-
-
-def holiday_sql(date: str, country: str) -> str:
-    """The same holiday rule as DuckDB SQL text (used by the oracle queries)."""
-    rules = HOLIDAY_RULES[country.upper()]
-    y = f"year({date})"
-    parts = []
-    for m, d, first, last in rules["fixed"]:
-        c = f"(month({date}) = {m} AND day({date}) = {d}"
-        if first is not None:
-            c += f" AND {y} >= {first}"
-        if last is not None:
-            c += f" AND {y} <= {last}"
-        parts.append(c + ")")
-    for cal, offset in rules["easter"]:
-        parts.append(f"({date} = CAST({_easter_sql(y, cal)} + INTERVAL {offset} DAY AS DATE))")
-    return "CAST((" + " OR ".join(parts) + ") AS INTEGER)"
-
-
-def _easter_sql(y: str, cal: str) -> str:
-    if cal == "western":
-        a, b, c = f"({y} % 19)", f"({y} // 100)", f"({y} % 100)"
-        d, e = f"({b} // 4)", f"({b} % 4)"
-        f = f"(({b} + 8) // 25)"
-        g = f"(({b} - {f} + 1) // 3)"
-        h = f"((19 * {a} + {b} - {d} - {g} + 15) % 30)"
-        i, k = f"({c} // 4)", f"({c} % 4)"
-        ll = f"(((32 + 2 * {e} + 2 * {i} - {h} - {k}) % 7 + 7) % 7)"
-        m = f"(({a} + 11 * {h} + 22 * {ll}) // 451)"
-        s = f"({h} + {ll} - 7 * {m} + 114)"
-        return f"make_date(CAST({y} AS BIGINT), CAST({s} // 31 AS BIGINT), CAST({s} % 31 + 1 AS BIGINT))"
-    a, b, c = f"({y} % 4)", f"({y} % 7)", f"({y} % 19)"
-    d = f"((19 * {c} + 15) % 30)"
-    e = f"(((2 * {a} + 4 * {b} - {d} + 34) % 7 + 7) % 7)"
-    s = f"({d} + {e} + 114)"
-    return (f"(make_date(CAST({y} AS BIGINT), CAST({s} // 31 AS BIGINT), "
-            f"CAST({s} % 31 + 1 AS BIGINT)) + INTERVAL 13 DAY)")

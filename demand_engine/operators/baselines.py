@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import (DEFAULT, MOVING_AVERAGE, NAIVE, SEASONAL_NAIVE, ForecastConfig)
 from ..functions.metrics import error_metrics
-from .features import DAY, ORDER_COL, series_window
+from .features import DAY, ORDER_COL, series_window, with_order_key
 from .folds import fold_of, is_cutoff, with_position
 
 Z_95 = 1.96
@@ -147,9 +147,28 @@ def _single(train, model, horizon, cfg, **kw):
     return baseline_forecasts(train, horizon, cfg, models=(model,), **kw).drop("model_name")
 
 
-def naive_forecast(train: DataFrame, horizon: int = 30, cfg: ForecastConfig = DEFAULT) -> DataFrame:
+def last_rows(train: DataFrame) -> DataFrame:
+    """Last row of each series in (date, quantity) order: an aggregate with a
+    partial step, no sort and no window over the history."""
+    last = with_order_key(train).groupBy("drug_code").agg(
+        F.max_by(F.struct("date", "quantity_sold"), F.col(ORDER_COL)).alias("last"))
+    return last.select("drug_code", "last.*")
+
+
+def forecast_calendar(train: DataFrame, horizon: int = 30) -> DataFrame:
+    """``(drug_code, date)``: the ``horizon`` days after each series' last."""
+    last = train.groupBy("drug_code").agg(F.max("date").alias("last"))
+    days = F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", horizon)))
+    return last.select("drug_code", days.alias("date"))
+
+
+def naive_forecast(train: DataFrame, horizon: int = 30) -> DataFrame:
     """Last observed value; interval x0.8 / x1.2."""
-    return _single(train, NAIVE, horizon, cfg)
+    value = F.col("quantity_sold").cast("double")
+    days = F.explode(F.sequence(F.date_add("date", 1), F.date_add("date", horizon)))
+    return last_rows(train).select(
+        "drug_code", days.alias("date"), value.alias("predicted_demand"),
+        (value * 0.8).alias("lower_ci"), (value * 1.2).alias("upper_ci"))
 
 
 def moving_average_forecast(train: DataFrame, window: int = 7, horizon: int = 30,

@@ -1,257 +1,250 @@
 """Boosted-tree demand model, interval model, prediction and walk-forward CV.
 
-One pooled Spark ML ``GBTRegressor`` is fitted over all series at once (the
-lag/rolling features carry each series' level), instead of one booster per
-series: a fit is a distributed job whose cost is nearly flat in the number
-of series, while a fit per series would be a driver loop over series.
-The 80 % interval comes from a leaf-quantile tree: a ``DecisionTreeRegressor``
-with a leaf column, and the 10th/90th percentile of demand among the training
-rows of each leaf (quantile regression forests, Meinshausen 2006, with one
-tree). ``percentile_approx`` is a mergeable sketch, so a leaf holding a third
-of all rows never lands whole in one task; the leaf table has at most
-``2 ** depth`` rows. Scoring compiles the ensemble and the tree to native
-expressions and the leaf table to a literal map: one projection, no join.
+One pooled Spark ML ``GBTRegressor`` is fitted over all series at once: a fit is
+a distributed job whose cost is nearly flat in the number of series, while a
+fit per series would be a driver loop over series. Two scale features (mean and
+spread of the series' history before the row) tell the trees which level a
+series is on.
+
+Rounds: up to ``gbt_max_iter`` with a patience of ``gbt_patience`` on the
+validation rows. Spark ML's own early stop has no patience, so the ensemble is
+fitted with ``gbt_first_rounds`` rounds and, while the patience rule has not
+stopped it, again with twice as many (same seed, so the first trees are the
+same). ``evaluateEachIteration`` gives the validation error of every prefix in
+one pass inside the JVM, and the best prefix is kept.
+
+Interval: a small random forest; each leaf of each tree keeps the 10th and 90th
+percentile of its training rows (``percentile_approx``, a mergeable sketch: a
+leaf holding a third of all rows never lands whole in one task), a row's bounds
+are the means over its leaves, widened by one number so that 80 % of held-back
+rows fall inside (split-conformal calibration).
+
+Scoring is ``VectorAssembler`` and ``model.transform`` in the JVM, whatever the
+number of trees; the leaf table (trees x 2 ** depth rows at most) is a literal
+map.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (DecisionTreeRegressionModel, DecisionTreeRegressor,
-                                   GBTRegressionModel, GBTRegressor)
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import (GBTRegressionModel, GBTRegressor, RandomForestRegressionModel,
+                                   RandomForestRegressor)
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import BOOSTED, DEFAULT, ForecastConfig
 from ..functions.metrics import error_metrics
-from .features import ORDER_COL, feature_names
+from .features import ORDER_COL, feature_names, series_window, with_order_key
 from .folds import with_position
 
 LABEL = "__label"
+SCALE_FEATURES = ("series_mean", "series_std")
 
 
-def assembler(cols: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+def with_scale(features: DataFrame) -> DataFrame:
+    """Add the series' mean and spread over all rows before the current one
+    (0 on the first rows), in the series window the features already use."""
+    if set(SCALE_FEATURES) <= set(features.columns):
+        return features
+    before = series_window().rowsBetween(Window.unboundedPreceding, -1)
+    q = F.col("quantity_sold")
+    return with_order_key(features).withColumns({
+        "series_mean": F.coalesce(F.avg(q).over(before), F.lit(0.0)),
+        "series_std": F.coalesce(F.stddev_samp(q).over(before), F.lit(0.0))})
+
+
+def model_columns(cfg: ForecastConfig = DEFAULT) -> list[str]:
+    """Columns the boosted model reads: the feature frame and the scale."""
+    return [*feature_names(cfg), *SCALE_FEATURES]
+
+
+def assembled(df: DataFrame, cols: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep").transform(df)
+
+
+@dataclass
+class IntervalModel:
+    forest: RandomForestRegressionModel
+    leaves: list[tuple[int, int, float, float]]  # tree, leaf, lower, upper: trees x 2 ** depth
+    widen: float = 0.0
 
 
 @dataclass
 class BoostedModels:
     point: GBTRegressionModel
-    tree: DecisionTreeRegressionModel | None
-    leaf_quantiles: DataFrame | None
+    interval: IntervalModel | None
     feature_cols: list[str]
     series: str | None = None  # fingerprint of the series set it was trained on
-    n_trees: int | None = None  # use only the first n trees (best prefix); None = all
+    rounds: int = 0            # rounds fitted before the best prefix was kept
 
     @property
     def has_interval(self) -> bool:
-        return self.tree is not None and self.leaf_quantiles is not None
-
-
-def _with_label(df: DataFrame) -> DataFrame:
-    return df.withColumn(LABEL, F.col("quantity_sold").cast("double"))
-
-
-def fit_point_model(train: DataFrame, cfg: ForecastConfig = DEFAULT,
-                    feature_cols: list[str] | None = None,
-                    validation_col: str | None = None) -> GBTRegressionModel:
-    """Pooled squared-error GBT; with ``validation_col`` it stops early when
-    the validation error stops improving (``validationTol``)."""
-    cols = feature_cols or feature_names(cfg)
-    gbt = GBTRegressor(featuresCol="features", labelCol=LABEL, maxIter=cfg.gbt_max_iter,
-                       maxDepth=cfg.gbt_max_depth, stepSize=cfg.gbt_step_size,
-                       subsamplingRate=cfg.gbt_subsampling_rate,
-                       featureSubsetStrategy=cfg.gbt_feature_subset, seed=cfg.gbt_seed,
-                       maxBins=32, validationTol=cfg.gbt_validation_tol)
-    data = assembler(cols).transform(_with_label(train))
-    keep = ["features", LABEL]
-    if validation_col:
-        gbt = gbt.setValidationIndicatorCol(validation_col)
-        data = data.withColumn(validation_col, F.col(validation_col).cast("boolean"))
-        keep.append(validation_col)
-    return _fit_persisted(gbt, data.select(*keep))
-
-
-def _fit_persisted(estimator, data: DataFrame):
-    """Fit on a persisted copy of the (vector, label) frame.
-
-    The tree learner reads its input several times before it caches its own
-    binned copy (feature metadata, split candidates, binning); persisting the
-    narrow training frame keeps those passes from re-running the feature
-    lineage. MEMORY_AND_DISK spills instead of failing; the copy is released
-    after the fit.
+        return self.interval is not None
+
+
+def _labelled(df: DataFrame, cols: list[str], *extra: str) -> DataFrame:
+    return assembled(df.withColumn(LABEL, F.col("quantity_sold").cast("double")), cols).select(
+        "features", LABEL, *extra)
+
+
+def best_prefix(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """(trees to keep, whether the patience rule stopped): the prefix with the
+    lowest error, scanning until ``patience`` rounds bring nothing better."""
+    best_k, best = 1, float("inf")
+    for k, error in enumerate(errors, 1):
+        if error < best:
+            best_k, best = k, error
+        elif k - best_k >= patience:
+            return best_k, True
+    return best_k, False
+
+
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model made of the first ``n`` trees."""
+    if n >= model.getNumTrees:
+        return model
+    java = model._java_obj
+    gateway = SparkContext._active_spark_context._gateway  # also from a worker thread
+    ml = gateway.jvm.org.apache.spark.ml.regression
+    trees = gateway.new_array(ml.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    all_trees, all_weights = java.trees(), list(model.treeWeights)
+    for i in range(n):
+        trees[i] = all_trees[i]
+        weights[i] = float(all_weights[i])
+    cut = GBTRegressionModel(ml.GBTRegressionModel(java.uid(), trees, weights, java.numFeatures()))
+    return cut.setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
+def fit_point(train: DataFrame, cfg: ForecastConfig = DEFAULT, cols: list[str] | None = None,
+              validation_col: str | None = None) -> tuple[GBTRegressionModel, int]:
+    """(model, rounds fitted). Without a validation column all rounds are kept.
+
+    The narrow (vector, label) frame is persisted for the time of the fits:
+    the learner reads it several times, and every longer fit reads it again.
     """
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    cols = cols or model_columns(cfg)
+    flag = F.col(validation_col).cast("boolean") if validation_col else F.lit(False)
+    data = _labelled(train.withColumn("__held", flag), cols, "__held").persist(
+        StorageLevel.MEMORY_AND_DISK)
+
+    def fit(rounds: int) -> GBTRegressionModel:
+        return GBTRegressor(
+            featuresCol="features", labelCol=LABEL, maxIter=rounds, maxDepth=cfg.gbt_max_depth,
+            stepSize=cfg.gbt_step_size, subsamplingRate=cfg.gbt_subsampling_rate,
+            featureSubsetStrategy=cfg.gbt_feature_subset, seed=cfg.gbt_seed,
+            maxBins=32).fit(data.filter(~F.col("__held")).select("features", LABEL))
+
     try:
-        return estimator.fit(data)
+        if validation_col is None:
+            return fit(cfg.gbt_max_iter), cfg.gbt_max_iter
+        held = data.filter("__held").select("features", LABEL)
+        rounds = min(cfg.gbt_first_rounds, cfg.gbt_max_iter)
+        while True:
+            model = fit(rounds)
+            keep, stopped = best_prefix(model.evaluateEachIteration(held, "squared"),
+                                        cfg.gbt_patience)
+            if stopped or rounds >= cfg.gbt_max_iter:
+                return first_trees(model, keep), rounds
+            rounds = min(2 * rounds, cfg.gbt_max_iter)
     finally:
         data.unpersist()
 
 
-def best_prefix(model: GBTRegressionModel, valid: DataFrame, cols: list[str], patience: int) -> int:
-    """Number of trees to keep: the prefix with the lowest validation squared
-    error, scanning prefixes in order and stopping after ``patience`` rounds
-    without improvement.
+def _leaf_ids(df: DataFrame, forest: RandomForestRegressionModel, cols: list[str]) -> DataFrame:
+    """Add ``__leaves``: the leaf each tree puts the row in."""
+    return (forest.transform(assembled(df, cols))
+            .withColumn("__leaves", vector_to_array("__leaf_vector").cast("array<int>"))
+            .drop("features", "__leaf_vector", "__mean"))
+
+
+def _bounds(model: IntervalModel) -> tuple[Column, Column]:
+    """Mean over the trees of the leaf quantiles, widened by the calibration."""
+    trees = len({t for t, *_ in model.leaves})
+
+    def bound(side: int, widen: float) -> Column:
+        table = F.create_map(*[F.lit(x) for leaf in model.leaves
+                               for x in ((leaf[0] << 16) + leaf[1], float(leaf[side]))])
+        values = F.transform("__leaves", lambda leaf, tree: F.element_at(
+            table, F.shiftleft(tree, 16) + leaf))
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / trees + F.lit(widen)
+
+    return bound(2, -model.widen), bound(3, model.widen)
 
-    One job: each validation row gets its per-tree outputs, their prefix sums
-    and squared errors (``transform`` over ``sequence(1, n)``); a group-by on
-    the prefix length averages them. Only ``n`` numbers (one per prefix,
-    bounded by ``gbt_max_iter``) reach the driver.
-    """
-    terms = F.array(*tree_columns(model, cols))
-    n = model.getNumTrees
-    y = F.col("quantity_sold").cast("double")
-    errors = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.struct(
-        k.alias("k"),
-        F.pow(y - F.aggregate(F.slice("__terms", 1, k), F.lit(0.0), lambda a, x: a + x), 2)
-        .alias("se")))
-    per_k = (valid.select(terms.alias("__terms"), *[F.col(c) for c in ["quantity_sold"]])
-             .select(F.explode(errors).alias("e"))
-             .groupBy("e.k").agg(F.avg("e.se").alias("mse")))
-    mse = {r["k"]: r["mse"] for r in per_k.collect()}
-    best_k, best = 1, float("inf")
-    for k in range(1, n + 1):
-        if mse[k] < best:
-            best_k, best = k, mse[k]
-        elif k - best_k >= patience:
-            break
-    return best_k
-
-
-def fit_point(train: DataFrame, cfg: ForecastConfig = DEFAULT, feature_cols: list[str] | None = None,
-              validation_col: str | None = None) -> tuple[GBTRegressionModel, int | None]:
-    """(model, trees to use). With ``cfg.gbt_patience > 0`` and a validation
-    column, all rounds are fitted on the other rows and the best prefix is
-    chosen with patience; otherwise Spark ML's own early stop applies."""
-    cols = feature_cols or feature_names(cfg)
-    if not validation_col or cfg.gbt_patience <= 0:
-        return fit_point_model(train, cfg, cols, validation_col), None
-    v = F.col(validation_col).cast("boolean")
-    model = fit_point_model(train.filter(~v), cfg, cols, None)
-    assembled = train.filter(v).select(*cols, "quantity_sold")
-    return model, best_prefix(model, assembled, cols, cfg.gbt_patience)
-
-
-def fit_interval_model(train: DataFrame, cfg: ForecastConfig = DEFAULT,
-                       feature_cols: list[str] | None = None):
-    """(tree, leaf table ``(leaf, lower_q, upper_q, n_rows)``).
-
-    Leaves are numbered by :func:`leaf_index_column` (the fitted tree compiled
-    to a native expression), so fitting and scoring number them the same way.
-    """
-    cols = feature_cols or feature_names(cfg)
-    data = assembler(cols).transform(_with_label(train))
-    dt = DecisionTreeRegressor(featuresCol="features", labelCol=LABEL,
-                               maxDepth=cfg.quantile_tree_depth,
-                               minInstancesPerNode=cfg.quantile_min_instances,
-                               seed=cfg.gbt_seed)
-    tree = _fit_persisted(dt, data.select("features", LABEL))
-    leaves = (_with_label(train).select(leaf_index_column(tree, cols).alias("leaf"), LABEL)
-              .groupBy("leaf")
-              .agg(F.percentile_approx(LABEL, [cfg.interval_alpha_low, cfg.interval_alpha_high],
-                                       10000).alias("__q"),
-                   F.count(F.lit(1)).alias("n_rows"))
-              .select(F.col("leaf").cast("int").alias("leaf"),
-                      F.col("__q")[0].alias("lower_q"), F.col("__q")[1].alias("upper_q"), "n_rows"))
-    return tree, leaves
+
+def fit_interval_model(train: DataFrame, cfg: ForecastConfig = DEFAULT, cols: list[str] | None = None,
+                       calibration_col: str | None = None) -> IntervalModel:
+    """Leaf quantiles of a forest; with ``calibration_col`` those rows are held
+    back from the forest and fix the widening."""
+    cols = cols or model_columns(cfg)
+    held = F.col(calibration_col).cast("boolean") if calibration_col else F.lit(False)
+    rows = train.withColumn("__held", held).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        used = rows.filter(~F.col("__held"))
+        forest = RandomForestRegressor(
+            featuresCol="features", labelCol=LABEL, predictionCol="__mean", leafCol="__leaf_vector",
+            numTrees=cfg.quantile_trees, maxDepth=cfg.quantile_tree_depth,
+            minInstancesPerNode=cfg.quantile_min_instances, seed=cfg.gbt_seed,
+            subsamplingRate=cfg.gbt_subsampling_rate, maxBins=32).fit(_labelled(used, cols))
+        quantiles = F.percentile_approx(
+            F.col("quantity_sold").cast("double"),
+            [cfg.interval_alpha_low, cfg.interval_alpha_high], 10000)
+        table = (_leaf_ids(used, forest, cols)
+                 .select("quantity_sold", F.posexplode("__leaves").alias("tree", "leaf"))
+                 .groupBy("tree", "leaf").agg(quantiles.alias("q")).orderBy("tree", "leaf"))
+        model = IntervalModel(forest, [(r.tree, r.leaf, r.q[0], r.q[1]) for r in table.collect()])
+        if calibration_col:
+            low, high = _bounds(model)
+            y = F.col("quantity_sold")
+            outside = F.greatest(low - y, y - high)
+            widen = _leaf_ids(rows.filter("__held"), forest, cols).agg(F.percentile_approx(
+                outside, cfg.interval_alpha_high - cfg.interval_alpha_low, 10000)).first()[0]
+            model.widen = float(widen or 0.0)
+        return model
+    finally:
+        rows.unpersist()
 
 
 def train_models(train: DataFrame, cfg: ForecastConfig = DEFAULT,
                  validation_col: str | None = None, with_interval: bool = True) -> BoostedModels:
-    cols = feature_names(cfg)
-    point, n_trees = fit_point(train, cfg, cols, validation_col)
-    tree, leaves = fit_interval_model(train, cfg, cols) if with_interval else (None, None)
-    return BoostedModels(point, tree, leaves, cols, n_trees=n_trees)
+    cols = model_columns(cfg)
+    point, rounds = fit_point(train, cfg, cols, validation_col)
+    interval = fit_interval_model(train, cfg, cols) if with_interval else None
+    return BoostedModels(point, interval, cols, rounds=rounds)
 
 
-def predict(models: BoostedModels, df: DataFrame) -> DataFrame:
-    """Add ``predicted_demand`` (>= 0) and, when an interval model exists,
-    ``lower_ci``/``upper_ci`` (>= 0); otherwise both are NULL (both or none).
+def bounded_prediction(point: Column, lower: Column | None = None,
+                       upper: Column | None = None) -> list[Column]:
+    """The three output columns: nothing below 0, and both bounds or none."""
+    none = F.lit(None).cast("double")
+    both = (lower.isNotNull() & upper.isNotNull()) if lower is not None and upper is not None else None
+    floor = lambda c: F.greatest(F.lit(0.0), c)
+    return [floor(point).alias("predicted_demand"),
+            (none if both is None else F.when(both, floor(lower))).alias("lower_ci"),
+            (none if both is None else F.when(both, floor(upper))).alias("upper_ci")]
 
-    One projection: the ensemble and the interval tree are compiled to native
-    expressions, and the leaf quantiles (at most ``2 ** depth`` rows, read
-    once) become a literal map; no vector column, no model call, no join.
-    """
-    cols = models.feature_cols
-    point = ensemble_column(models.point, cols, models.n_trees)
-    out = df.withColumn("predicted_demand", F.greatest(F.lit(0.0), point))
+
+def predict_point(models: BoostedModels, df: DataFrame) -> DataFrame:
+    """Add ``prediction`` (not clamped)."""
+    return models.point.transform(assembled(df, models.feature_cols)).drop("features")
+
+
+def predict(models: BoostedModels, df: DataFrame) -> DataFrame:
+    """Add ``predicted_demand`` and, when an interval model exists,
+    ``lower_ci``/``upper_ci`` (NULL otherwise); see :func:`bounded_prediction`."""
+    keep = df.columns
+    out = predict_point(models, df)
     if not models.has_interval:
-        return (out.withColumn("lower_ci", F.lit(None).cast("double"))
-                .withColumn("upper_ci", F.lit(None).cast("double")))
-    lo_map, hi_map = _leaf_maps(models)
-    leaf = leaf_index_column(models.tree, cols)
-    return (out.withColumn("__leaf", leaf)
-            .withColumn("lower_ci", F.greatest(F.lit(0.0), F.element_at(lo_map, F.col("__leaf"))))
-            .withColumn("upper_ci", F.greatest(F.lit(0.0), F.element_at(hi_map, F.col("__leaf"))))
-            .drop("__leaf"))
-
-
-def _leaf_maps(models: BoostedModels):
-    # one row per leaf: at most 2 ** depth rows
-    rows = models.leaf_quantiles.select("leaf", "lower_q", "upper_q").collect()
-    lo = F.create_map(*[x for r in rows for x in (F.lit(int(r.leaf)), F.lit(float(r.lower_q)))])
-    hi = F.create_map(*[x for r in rows for x in (F.lit(int(r.leaf)), F.lit(float(r.upper_q)))])
-    return lo, hi
-
-
-def _leaf_numbers(node, counter, cols):
-    if node.getClass().getSimpleName() == "LeafNode":
-        idx = counter[0]
-        counter[0] += 1
-        return F.lit(idx)
-    split = node.split()
-    if split.getClass().getSimpleName() != "ContinuousSplit":
-        raise ValueError("only continuous splits can be compiled to a column")
-    feature = F.col(cols[split.featureIndex()]).cast("double")
-    left = _leaf_numbers(node.leftChild(), counter, cols)
-    right = _leaf_numbers(node.rightChild(), counter, cols)
-    return F.when(feature <= F.lit(float(split.threshold())), left).otherwise(right)
-
-
-def leaf_index_column(tree: DecisionTreeRegressionModel, cols: list[str]):
-    """Leaf number (0.., left before right) of each row in the fitted tree."""
-    return _leaf_numbers(tree._java_obj.rootNode(), [0], cols)
-
-
-def _node_column(node, cols: list[str]) -> "F.Column":
-    """One fitted tree as nested ``CASE WHEN`` over the named feature columns."""
-    if node.getClass().getSimpleName() == "LeafNode":
-        return F.lit(float(node.prediction()))
-    split = node.split()
-    if split.getClass().getSimpleName() != "ContinuousSplit":
-        raise ValueError("only continuous splits can be compiled to a column")
-    feature = F.col(cols[split.featureIndex()]).cast("double")
-    return F.when(feature <= F.lit(float(split.threshold())),
-                  _node_column(node.leftChild(), cols)).otherwise(
-        _node_column(node.rightChild(), cols))
-
-
-def tree_columns(model: GBTRegressionModel, cols: list[str], n_trees: int | None = None) -> list:
-    """``weight * tree_i`` as native expressions, one per tree (first ``n_trees``)."""
-    trees = model._java_obj.trees()
-    weights = list(model.treeWeights)[: n_trees or None]
-    return [F.lit(float(w)) * _node_column(trees[i].rootNode(), cols) for i, w in enumerate(weights)]
-
-
-def ensemble_column(model: GBTRegressionModel, cols: list[str], n_trees: int | None = None):
-    """The fitted ensemble (or its first ``n_trees`` trees) as one native
-    expression: sum of weight * tree.
-
-    Scoring then needs no vector column and no model call per row; it runs
-    inside whole-stage code generation like any arithmetic (same splits,
-    thresholds and weights as ``model.transform``).
-    """
-    trees = model._java_obj.trees()
-    weights = list(model.treeWeights)[: n_trees or None]
-    total = None
-    for i, w in enumerate(weights):
-        term = F.lit(float(w)) * _node_column(trees[i].rootNode(), cols)
-        total = term if total is None else total + term
-    return total
+        return out.select(*keep, *bounded_prediction(F.col("prediction")))
+    out = _leaf_ids(out, models.interval.forest, models.feature_cols)
+    return out.select(*keep, *bounded_prediction(F.col("prediction"), *_bounds(models.interval)))
 
 
 def with_validation_tail(df: DataFrame, test_days: int, col: str = "is_valid") -> DataFrame:
@@ -261,48 +254,76 @@ def with_validation_tail(df: DataFrame, test_days: int, col: str = "is_valid") -
         "idx", "n", ORDER_COL)
 
 
-def walk_forward_validate(features: DataFrame, cfg: ForecastConfig = DEFAULT,
-                          n_folds: int | None = None, test_days: int | None = None,
-                          min_train: int | None = None, parity: bool = False) -> DataFrame:
-    """Boosted walk-forward CV: one pooled fit per fold (``n_folds`` fits in all).
+def fold_parts(features: DataFrame, cfg: ForecastConfig = DEFAULT, n_folds: int | None = None,
+               test_days: int | None = None, min_train: int | None = None,
+               parity: bool = False) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """``fold -> (training rows flagged __valid, test rows)`` of every fold that
+    has rows, decided by one aggregate over the series lengths.
 
-    Fold ``k`` trains on the rows before each series' own test window and is
-    scored on that window. Early stopping uses the last ``test_days`` rows of
-    the training part; ``parity=True`` stops on the scored window itself, as
-    the original does (optimistic). Returns per (series, fold) metrics.
+    Fold ``k`` from the end trains on the rows before each series' own test
+    window. Early stopping uses the last ``test_days`` rows of the training part;
+    ``parity=True`` stops on the scored window itself, as the original does
+    (optimistic).
     """
     nf, T = n_folds or cfg.cv_folds, test_days or cfg.test_days
     mt = cfg.min_history_days if min_train is None else min_train
     pos = with_position(features)
-    idx, n = F.col("idx"), F.col("n")
-    cols = feature_names(cfg)
-
-    def fold(k: int):
-        test_start = n - k * T
-        ok = test_start >= mt
-        train = pos.filter(ok & (idx < test_start))
-        test = pos.filter(ok & (idx >= test_start) & (idx < test_start + T))
-        if parity:
-            fit_on = train.withColumn("__valid", F.lit(False)).unionByName(
-                test.withColumn("__valid", F.lit(True)))
-        else:
-            fit_on = train.withColumn("__valid", idx >= test_start - T)
-        if fit_on.limit(1).count() == 0:
-            return None
-        point, n_trees = fit_point(fit_on, cfg, cols, "__valid")
-        scored = predict(BoostedModels(point, None, None, cols, n_trees=n_trees), test).select(
-            "drug_code", F.lit(nf + 1 - k).alias("fold"),
-            F.col("quantity_sold").alias("actual"), F.col("predicted_demand").alias("predicted"))
-        return scored.groupBy("drug_code", "fold").agg(*error_metrics("actual", "predicted"),
-                                                       F.count(F.lit(1)).alias("n_test"))
+    longest = pos.agg(F.max("n")).first()[0] or 0
+    idx, out = F.col("idx"), {}
+    for k in range(1, nf + 1):
+        if longest - k * T < mt:
+            continue
+        start = F.col("n") - k * T
+        train, test = pos.filter((start >= mt) & (idx < start)), pos.filter(
+            (start >= mt) & (idx >= start) & (idx < start + T))
+        flagged = (train.withColumn("__valid", F.lit(False)).unionByName(
+            test.withColumn("__valid", F.lit(True))) if parity
+            else train.withColumn("__valid", idx >= start - T))
+        out[nf + 1 - k] = flagged, test
+    return out
+
+
+def fold_sizes(features: DataFrame, cfg: ForecastConfig = DEFAULT) -> DataFrame:
+    """``(drug_code, fold, n_train, n_valid, n_test)`` of the boosted folds."""
+    out = None
+    for fold, (train, test) in fold_parts(features, cfg).items():
+        a = train.groupBy("drug_code").agg(F.count_if(~F.col("__valid")).alias("n_train"),
+                                           F.count_if("__valid").alias("n_valid"))
+        b = test.groupBy("drug_code").agg(F.count(F.lit(1)).alias("n_test"))
+        sizes = a.join(b, "drug_code").select("drug_code", F.lit(fold).alias("fold"), "n_train",
+                                              "n_valid", "n_test")
+        out = sizes if out is None else out.unionByName(sizes)
+    return out if out is not None else features.sparkSession.createDataFrame(
+        [], "drug_code string, fold int, n_train long, n_valid long, n_test long")
 
-    # the fold fits are independent jobs: submit them together
-    with ThreadPoolExecutor(max_workers=nf) as pool:
-        parts = [p for p in pool.map(fold, range(1, nf + 1)) if p is not None]
-    if not parts:
-        schema = "drug_code string, fold int, mae double, rmse double, mape double, n_test long"
+
+def walk_forward_validate(features: DataFrame, cfg: ForecastConfig = DEFAULT,
+                          n_folds: int | None = None, test_days: int | None = None,
+                          min_train: int | None = None, parity: bool = False) -> DataFrame:
+    """Boosted walk-forward CV: one pooled fit per fold (``n_folds`` fits in
+    all), metrics per (series, fold). See :func:`fold_parts`."""
+    cols = model_columns(cfg)
+
+    def scored(item):
+        fold, (train, test) = item
+        point, rounds = fit_point(train, cfg, cols, "__valid")
+        rows = predict(BoostedModels(point, None, cols), test).select(
+            "drug_code", F.lit(fold).alias("fold"), F.col("quantity_sold").alias("actual"),
+            F.col("predicted_demand").alias("predicted"))
+        return rows.groupBy("drug_code", "fold").agg(
+            *error_metrics("actual", "predicted"), F.count(F.lit(1)).alias("n_test")).select(
+            "*", F.lit(point.getNumTrees).alias("n_trees"), F.lit(rounds).alias("n_rounds"))
+
+    features = with_scale(features)
+    folds = fold_parts(features, cfg, n_folds, test_days, min_train, parity)
+    if not folds:
+        schema = ("drug_code string, fold int, mae double, rmse double, mape double, n_test long, "
+                  "n_trees int, n_rounds int")
         return features.sparkSession.createDataFrame([], schema).withColumn(
             "model_name", F.lit(BOOSTED))
+    # the fold fits are independent jobs: submit them together
+    with ThreadPoolExecutor(max_workers=len(folds)) as pool:
+        parts = list(pool.map(scored, folds.items()))
     results = parts[0]
     for p in parts[1:]:
         results = results.unionByName(p)
@@ -316,26 +337,26 @@ def boosted_cv_summary(fold_metrics: DataFrame) -> DataFrame:
 
 
 def feature_importances(models: BoostedModels, spark: SparkSession) -> DataFrame:
+    """Importance per feature, with the rounds fitted and the trees kept."""
     imp = models.point.featureImportances.toArray().tolist()
-    rows = [(c, float(v)) for c, v in zip(models.feature_cols, imp)]
-    return spark.createDataFrame(rows, "feature string, importance double").withColumn(
-        "n_trees", F.lit(models.point.getNumTrees))
+    imp += [0.0] * (len(models.feature_cols) - len(imp))
+    return spark.createDataFrame(
+        [(c, float(v), models.point.getNumTrees, models.rounds)
+         for c, v in zip(models.feature_cols, imp)],
+        "feature string, importance double, n_trees int, n_rounds int")
 
 
 # ---------------------------------------------------------------------------
 # persistence (all artifacts or none)
 # ---------------------------------------------------------------------------
 
-def save_models(models: BoostedModels, path: str) -> None:
-    spark = models.leaf_quantiles.sparkSession if models.leaf_quantiles is not None else None
+def save_models(models: BoostedModels, path: str, spark: SparkSession | None = None) -> None:
+    spark = spark or SparkSession.getActiveSession()
     models.point.write().overwrite().save(f"{path}/point")
+    meta = {"feature_cols": models.feature_cols, "series": models.series, "rounds": models.rounds}
     if models.has_interval:
-        models.tree.write().overwrite().save(f"{path}/tree")
-        models.leaf_quantiles.write.mode("overwrite").parquet(f"{path}/leaf_quantiles")
-    meta = {"feature_cols": models.feature_cols, "series": models.series, "n_trees": models.n_trees}
-    if spark is None:
-        from pyspark.sql import SparkSession as _S
-        spark = _S.getActiveSession()
+        models.interval.forest.write().overwrite().save(f"{path}/forest")
+        meta |= {"leaves": models.interval.leaves, "widen": models.interval.widen}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(
         f"{path}/meta")
 
@@ -345,16 +366,14 @@ def load_models(spark: SparkSession, path: str, cfg: ForecastConfig = DEFAULT,
     """Load all artifacts; a missing one, or a feature/series list that no
     longer matches, raises FileNotFoundError so the caller retrains."""
     try:
-        point = GBTRegressionModel.load(f"{path}/point")
-        tree = DecisionTreeRegressionModel.load(f"{path}/tree")
-        leaves = spark.read.parquet(f"{path}/leaf_quantiles")
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        point = GBTRegressionModel.load(f"{path}/point")
+        forest = RandomForestRegressionModel.load(f"{path}/forest")
+        interval = IntervalModel(forest, [tuple(x) for x in meta["leaves"]], meta["widen"])
     except Exception as exc:  # noqa: BLE001 - any missing artifact means "not saved"
         raise FileNotFoundError(f"Missing saved model under {path}: {exc}") from exc
-    if meta.get("feature_cols") != feature_names(cfg):
+    if meta.get("feature_cols") != model_columns(cfg):
         raise FileNotFoundError("saved model was trained on other features")
     if series is not None and meta.get("series") is not None and meta["series"] != series:
         raise FileNotFoundError("saved model was trained on other series")
-    return BoostedModels(point, tree, leaves, meta["feature_cols"], meta.get("series"),
-                         meta.get("n_trees"))
-
+    return BoostedModels(point, interval, meta["feature_cols"], meta.get("series"), meta["rounds"])

@@ -2,26 +2,28 @@
 
 Step ``i`` needs the prediction of step ``i-1`` (lag_1), so the horizon is
 sequential; the series are not. The state is one row per series: the last
-known feature row (rolling and external features stay frozen, as in the
-original), a ``MAP<DATE, DOUBLE>`` value store seeded with the last
-``max(lags)`` actual rows, and the list of finished steps. Each step is a
-narrow projection of that frame (calendar features of the next date, lags
-looked up in the store by calendar day with 0 for a missing day, model
-scoring, store update): no shuffle. The lineage is cut with a reliable
-checkpoint every ``checkpoint_every`` steps. Intervals never feed the store,
-so they are scored once, after the loop, on the exploded steps.
+known feature row (rolling, external and scale features stay frozen, as in the
+original), and a ``MAP<DATE, DOUBLE>`` value store seeded with the last
+``max(lags)`` actual rows. Each step is a narrow projection of that frame
+(calendar features of the next date, lags looked up in the store by calendar
+day with 0 for a missing day, scoring, store update): no shuffle. Scoring is any
+function that adds a ``prediction`` column, the fitted ensemble's
+``transform`` in production. The lineage is cut with a reliable checkpoint every
+``checkpoint_every`` steps. Intervals never feed the store, so they are scored
+once, after the loop, on the exploded steps.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ForecastConfig
 from ..functions import calendar as cal
 from ..session import ensure_checkpoint_dir
-from .boosted import BoostedModels, ensemble_column, predict
-from .features import feature_names
+from .boosted import BoostedModels, bounded_prediction, model_columns, predict, predict_point, with_scale
 from .folds import with_position
 
 TIME_FEATURES = ("day_of_week", "day_of_month", "month", "quarter", "week_of_year",
@@ -35,8 +37,8 @@ def initial_state(features: DataFrame, cfg: ForecastConfig = DEFAULT) -> DataFra
     each group holds at most ``max(lags)`` rows.
     """
     k = max(cfg.lags)
-    cols = feature_names(cfg)
-    tail = with_position(features).filter(F.col("idx") >= F.col("n") - k)
+    cols = model_columns(cfg)
+    tail = with_position(with_scale(features)).filter(F.col("idx") >= F.col("n") - k)
     # one value per calendar day (the later of same-day duplicates wins, like a dict)
     per_day = (tail.withColumn("__dup", F.row_number().over(
         Window.partitionBy("drug_code", "date").orderBy(F.col("idx").desc())))
@@ -61,7 +63,7 @@ def _step_feature_columns(cfg: ForecastConfig, refresh_external: bool) -> list:
                  "flu_season_index": flu, "allergy_season_index": allergy}
                 if refresh_external else {})
     cols = []
-    for c in feature_names(cfg):
+    for c in model_columns(cfg):
         if c in time_cols:
             cols.append(time_cols[c].cast("double").alias(c))
         elif c.startswith("lag_"):
@@ -75,42 +77,47 @@ def _step_feature_columns(cfg: ForecastConfig, refresh_external: bool) -> list:
     return cols
 
 
-def forecast_future(models: BoostedModels, features: DataFrame, horizon: int | None = None,
-                    cfg: ForecastConfig = DEFAULT, refresh_external: bool = False) -> DataFrame:
-    """``(drug_code, date, predicted_demand, lower_ci, upper_ci)`` for ``horizon`` days.
+def recurse(predictor: Callable[[DataFrame], DataFrame], features: DataFrame,
+            horizon: int | None = None, cfg: ForecastConfig = DEFAULT,
+            refresh_external: bool = False) -> DataFrame:
+    """``horizon`` days after each series' last date: ``drug_code, date``, the
+    prediction of each day (``__point``, not below 0) and its feature columns.
 
+    ``predictor`` adds a ``prediction`` column to a frame of feature columns.
     The state carries only the value store (one entry added per step), so a
     checkpoint writes about one map per series. Once the loop is done the
     store is final, so the feature row of every step can be rebuilt from it
-    (lags only look back) for the interval model, without carrying it along.
-    ``refresh_external=True`` recomputes holiday and seasonal features for
-    each forecast day; by default they stay frozen at the last known row,
-    as the rolling features do (and as the original does).
+    (lags only look back) without carrying it along.
     """
     h = horizon or cfg.horizon
-    cols = feature_names(cfg)
     ensure_checkpoint_dir(features.sparkSession)
     keep = ["drug_code", "last_date", "last", "store"]
-    # every expression of a step is built once; a step is three projections
     step_features = _step_feature_columns(cfg, refresh_external)
-    score = F.greatest(F.lit(0.0), ensemble_column(models.point, cols, models.n_trees)).alias("__pred")
-    state = initial_state(features, cfg).withColumn("__step", F.lit(0))
+    state = initial_state(features, cfg)
     for i in range(1, h + 1):
-        x = state.select(*keep, (F.col("__step") + 1).alias("__step"))
-        x = x.select(*keep, "__step", F.date_add("last_date", F.col("__step")).alias("date"))
-        x = x.select(*keep, "__step", "date", *step_features).select(*keep, "__step", "date", score)
-        state = x.select("drug_code", "last_date", "last", "__step",
-                         F.map_concat("store", F.create_map("date", "__pred")).alias("store"))
+        x = state.select(*keep, F.date_add("last_date", i).alias("date"))
+        x = predictor(x.select(*keep, "date", *step_features))
+        state = x.select("drug_code", "last_date", "last", F.map_concat("store", F.create_map(
+            "date", F.greatest(F.lit(0.0), "prediction"))).alias("store"))
         if i % cfg.checkpoint_every == 0 or i == h:
             state = state.checkpoint(eager=True)
-    rows = (state.select(*keep, F.explode(F.sequence(F.lit(1), F.lit(h))).alias("__step"))
+    return (state.select(*keep, F.explode(F.sequence(F.lit(1), F.lit(h))).alias("__step"))
             .select(*keep, F.date_add("last_date", F.col("__step")).alias("date"))
             .select("drug_code", "date", F.col("store")[F.col("date")].alias("__point"),
                     *step_features))
+
+
+def forecast_future(models: BoostedModels, features: DataFrame, horizon: int | None = None,
+                    cfg: ForecastConfig = DEFAULT, refresh_external: bool = False) -> DataFrame:
+    """``(drug_code, date, predicted_demand, lower_ci, upper_ci)`` for ``horizon`` days.
+
+    ``refresh_external=True`` recomputes holiday and seasonal features for
+    each forecast day; by default they stay frozen at the last known row,
+    as the rolling features do (and as the original does).
+    """
+    rows = recurse(lambda df: predict_point(models, df), features, horizon, cfg, refresh_external)
     if models.has_interval:
-        rows = predict(models, rows).withColumn("predicted_demand", F.col("__point"))
-    else:
-        rows = (rows.withColumn("predicted_demand", F.col("__point"))
-                .withColumn("lower_ci", F.lit(None).cast("double"))
-                .withColumn("upper_ci", F.lit(None).cast("double")))
-    return rows.select("drug_code", "date", "predicted_demand", "lower_ci", "upper_ci")
+        rows = predict(models, rows)
+        return rows.select("drug_code", "date", *bounded_prediction(
+            F.col("__point"), F.col("lower_ci"), F.col("upper_ci")))
+    return rows.select("drug_code", "date", *bounded_prediction(F.col("__point")))

@@ -11,9 +11,8 @@ The runs overlap by about two weeks so that "latest" queries have to choose.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,26 +28,37 @@ RUN_1 = _dt.datetime(2024, 1, 1, 6, 0, 0)
 RUN_2 = _dt.datetime(2024, 2, 1, 6, 0, 0)
 RUN_1_DAYS_BACK = 45
 RUN_2_DAYS_BACK = 30
+RUNS = ((RUN_1, RUN_1_DAYS_BACK, (NAIVE,)),
+        (RUN_2, RUN_2_DAYS_BACK, (MOVING_AVERAGE, SEASONAL_NAIVE)))
 
 
-@dataclass
 class DemoStore:
-    sales_long: DataFrame
-    items: DataFrame
-    sales: DataFrame
-    forecasts: DataFrame
+    """The store's tables as frames, each built when a query first asks for it
+    and dropped with the query: nothing is kept for the next one."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.sales_long = sales_daily(spark, sf_dir)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return store.upsert_items(None, item_metadata(self.sales_long))
+
+    @cached_property
+    def sales(self) -> DataFrame:
+        return store.sales_records(self.sales_long, self.items)
+
+    @cached_property
+    def forecasts(self) -> DataFrame:
+        return forecast_history(self.sales_long, self.items)
 
 
 def forecast_history(sales_long: DataFrame, items: DataFrame) -> DataFrame:
     runs = None
-    for ts, back, models in ((RUN_1, RUN_1_DAYS_BACK, (NAIVE,)),
-                             (RUN_2, RUN_2_DAYS_BACK, (MOVING_AVERAGE, SEASONAL_NAIVE))):
+    for ts, back, models in RUNS:
         train = train_test_split(sales_long, back).filter("is_train").drop("is_train")
         fc = (baseline_forecasts(train, DEFAULT.horizon, DEFAULT, models=models)
               .withColumn("run_timestamp", store.ntz(ts)))
         runs = fc if runs is None else runs.unionByName(fc)
-    # read three times (unknown-code check, id size check, the ids): compute once
-    runs = runs.persist(StorageLevel.MEMORY_AND_DISK)
     hist = store.forecast_records(runs, items, F.col("model_name"), F.col("run_timestamp"))
     return store.with_sequential_id(
         hist, ["run_timestamp", "model_name", "drug_id", "forecast_date"], 1).select(
@@ -56,30 +66,19 @@ def forecast_history(sales_long: DataFrame, items: DataFrame) -> DataFrame:
         "lower_ci", "upper_ci", "model_name")
 
 
-_BUILT: dict[tuple[str, str], DemoStore] = {}
-
-
 def demo_store(spark: SparkSession, sf_dir: str) -> DemoStore:
-    """The filled store for ``sf_dir``, built once per session and reused.
-
-    Reports read stored tables; rebuilding them for every report would time
-    the build, not the report. The frames are persisted (recomputable from
-    their lineage if evicted) and keyed by application id and folder.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
-    if key not in _BUILT:
-        # read by the id assignment, the sales facts and both forecast runs
-        long = sales_daily(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-        items = store.upsert_items(None, item_metadata(long)).persist(StorageLevel.MEMORY_AND_DISK)
-        sales = store.sales_records(long, items)
-        hist = forecast_history(long, items).persist(StorageLevel.MEMORY_AND_DISK)
-        _BUILT[key] = DemoStore(long, items, sales, hist)
-    return _BUILT[key]
-
-
-def clear_demo_stores() -> None:
-    """Release every memoised fixture store (unpersist its frames)."""
-    for st in _BUILT.values():
-        for df in (st.sales_long, st.items, st.forecasts):
-            df.unpersist()
-    _BUILT.clear()
+    return DemoStore(spark, sf_dir)
+
+
+def fill_store(spark: SparkSession, sf_dir: str, root: str) -> store.ParquetStore:
+    """Write the same tables through :class:`ParquetStore` under ``root``."""
+    st = store.ParquetStore(spark, root)
+    long = sales_daily(spark, sf_dir)
+    st.upsert_items(item_metadata(long))
+    st.upsert_sales(long)
+    for ts, back, models in RUNS:
+        train = train_test_split(long, back).filter("is_train").drop("is_train")
+        for model in models:
+            st.append_forecasts(baseline_forecasts(train, DEFAULT.horizon, DEFAULT, models=(model,)),
+                                model, ts)
+    return st

@@ -66,15 +66,18 @@ def evaluate(features: DataFrame, cfg: ForecastConfig = DEFAULT):
 def train_production(features: DataFrame, cfg: ForecastConfig = DEFAULT) -> BO.BoostedModels:
     """Point + interval model on all but the last ``test_days`` days of each
     series; the held-out days drive early stopping (as in the original)."""
+    features = BO.with_scale(features)
     split = FO.train_test_split(features, cfg.test_days)
-    cols = FE.feature_names(cfg)
+    cols = BO.model_columns(cfg)
+    # the interval is calibrated on the last days of the training part
+    tail = BO.with_validation_tail(split.filter("is_train"), cfg.test_days, "__tail")
     with ThreadPoolExecutor(max_workers=2) as pool:
         point = pool.submit(BO.fit_point, split.withColumn("__valid", ~F.col("is_train")),
                             cfg, cols, "__valid")
-        interval = pool.submit(BO.fit_interval_model, split.filter("is_train"), cfg, cols)
-        tree, leaves = interval.result()
-        model, n_trees = point.result()
-        return BO.BoostedModels(model, tree, leaves, cols, n_trees=n_trees)
+        interval = pool.submit(BO.fit_interval_model, tail, cfg, cols, "__tail")
+        fitted = interval.result()
+        model, rounds = point.result()
+        return BO.BoostedModels(model, fitted, cols, rounds=rounds)
 
 
 def series_fingerprint(features: DataFrame) -> str:
@@ -98,7 +101,7 @@ def load_or_train(features: DataFrame, cfg: ForecastConfig, model_path: str | No
     models = train_production(features, cfg)
     if model_path:
         models.series = series
-        BO.save_models(models, model_path)
+        BO.save_models(models, model_path, spark)
     return models
 
 

@@ -1,14 +1,12 @@
-"""Spark schemas of the long sales frame and the three stored tables."""
+"""Spark schemas of the stored tables; every write is cast to them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SALES_LONG = T.StructType([
-    T.StructField("date", T.DateType(), False),
-    T.StructField("drug_code", T.StringType(), False),
-    T.StructField("quantity_sold", T.IntegerType(), False),
-])
+MONEY = T.DecimalType(10, 2)
 
 DRUGS = T.StructType([
     T.StructField("id", T.LongType(), False),
@@ -19,14 +17,13 @@ DRUGS = T.StructType([
 ])
 
 SALES_DAILY = T.StructType([
+    T.StructField("id", T.LongType(), False),
     T.StructField("drug_id", T.LongType(), False),
     T.StructField("date", T.DateType(), False),
     T.StructField("quantity_sold", T.IntegerType(), False),
     T.StructField("created_at", T.TimestampNTZType(), True),
 ])
 
-MONEY = T.DecimalType(10, 2)
-
 FORECASTS_DAILY = T.StructType([
     T.StructField("id", T.LongType(), False),
     T.StructField("drug_id", T.LongType(), False),
@@ -39,10 +36,9 @@ FORECASTS_DAILY = T.StructType([
     T.StructField("created_at", T.TimestampNTZType(), True),
 ])
 
-FORECAST_OUTPUT = T.StructType([
-    T.StructField("drug_code", T.StringType(), False),
-    T.StructField("date", T.DateType(), False),
-    T.StructField("predicted_demand", T.DoubleType(), True),
-    T.StructField("lower_ci", T.DoubleType(), True),
-    T.StructField("upper_ci", T.DoubleType(), True),
-])
+TABLES = {"drugs": DRUGS, "sales_daily": SALES_DAILY, "forecasts_daily": FORECASTS_DAILY}
+
+
+def conform(df: DataFrame, table: str) -> DataFrame:
+    """The columns of a stored table, in its order and types."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[table].fields])

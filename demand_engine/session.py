@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -21,7 +21,11 @@ _SESSION_CONF = {
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "demand_engine", extra_conf: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with AQE on, UTC time zone and no UI."""
+    """Build (or reuse) a session with AQE on, UTC time zone and no UI.
+
+    ``spark.checkpoint.dir`` is taken from the Spark configuration; on a
+    cluster it names shared storage.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -33,27 +37,29 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder.
-
-    On a cluster the folder is named by ``spark.checkpoint.dir`` and is shared
-    storage; it is read, never replaced. Only a local-mode session without the
-    setting (tests, the bench) gets a fresh folder of its own under /tmp.
-    """
+    """The folder named by ``spark.checkpoint.dir`` (shared storage on a
+    cluster). It is read, never replaced; without it the caller cannot go on."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if configured:
+    if sc.getCheckpointDir() is None and configured:
         sc.setCheckpointDir(configured)
-        return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; a cluster run needs a shared checkpoint folder")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-ckpt-", dir="/tmp"))
-    return sc.getCheckpointDir()
+    current = configured or sc.getCheckpointDir()
+    if not current:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return current.rstrip("/")
+
+
+def write_once(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    """Write a frame to the shared folder and read it back: later uses neither
+    repeat the work before it nor depend on an executor that held it. The
+    files are removed when the application ends."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/frame-{uuid.uuid4().hex}"
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return spark.read.schema(df.schema).parquet(path)

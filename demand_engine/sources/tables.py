@@ -63,6 +63,14 @@ def wide_sales(spark: SparkSession, sf_dir: str, series: str = "p_type") -> Data
             .agg(F.first("quantity_sold")))
 
 
+def fill_missing_days(sales: DataFrame) -> DataFrame:
+    """Every day between the first and last of each series; missing days are 0."""
+    span = sales.groupBy("drug_code").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    days = span.select("drug_code", F.explode(F.sequence("a", "b")).alias("date"))
+    return (days.join(sales, ["drug_code", "date"], "left")
+            .select("date", "drug_code", F.coalesce("quantity_sold", F.lit(0)).alias("quantity_sold")))
+
+
 SALES_SQL = """sales_daily AS (
   SELECT p_type AS drug_code, CAST(l_shipdate AS DATE) AS date,
          CAST(TRUNC(SUM(l_quantity)) AS INTEGER) AS quantity_sold

@@ -24,7 +24,7 @@ def load_raw_sales(spark: SparkSession, path: str, schema: T.StructType | str |
         return spark.read.csv(path, header=True, inferSchema=True)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
-            raise FileNotFoundError(f"Sales data CSV not found at {path}") from exc
+            raise FileNotFoundError(f"no sales file under {path}") from exc
         raise
 
 

@@ -15,7 +15,7 @@ CFG = replace(DEFAULT, gbt_max_iter=5, gbt_max_depth=3, quantile_min_instances=2
 
 @pytest.fixture(scope="module")
 def feats(multi_sales):
-    return FE.engineer_features(multi_sales.filter("drug_code IN ('GAPS', 'FULL')"), CFG).cache()
+    return BO.with_scale(FE.engineer_features(multi_sales.filter("drug_code IN ('GAPS', 'FULL')"), CFG)).cache()
 
 
 @pytest.fixture(scope="module")
@@ -23,35 +23,42 @@ def models(feats):
     return BO.train_models(feats, CFG)
 
 
-def test_ensemble_column_equals_model_transform(feats, models):
-    data = BO.assembler(models.feature_cols).transform(feats)
-    out = models.point.transform(data).withColumn(
-        "expr", BO.ensemble_column(models.point, models.feature_cols))
-    assert out.select(F.max(F.abs(F.col("expr") - F.col("prediction")))).first()[0] < 1e-9
-    scored = BO.predict(models, feats).join(
-        out.select("drug_code", "date", F.greatest(F.lit(0.0), "prediction").alias("p")), ["drug_code", "date"])
-    assert scored.select(F.max(F.abs(F.col("p") - F.col("predicted_demand")))).first()[0] < 1e-9
+def test_first_trees_are_the_prefix_of_the_ensemble(feats, models):
+    data = BO.assembled(feats, models.feature_cols)
+    cut = BO.first_trees(models.point, 3)
+    assert cut.getNumTrees == 3 and models.point.getNumTrees == 5
+    weights, trees = models.point.treeWeights, models.point.trees
+    out = data.withColumn("y", F.lit(0.0))
+    for i in range(3):
+        t = trees[i].setPredictionCol(f"t{i}").setFeaturesCol("features")
+        out = t.transform(out).withColumn("y", F.col("y") + weights[i] * F.col(f"t{i}"))
+    out = cut.transform(out)
+    assert out.select(F.max(F.abs(F.col("y") - F.col("prediction")))).first()[0] < 1e-9
 
 
-def test_leaf_index_column_follows_the_tree(feats, models):
-    data = BO.assembler(models.feature_cols).transform(feats)
-    out = models.tree.transform(data).withColumn(
-        "leaf", BO.leaf_index_column(models.tree, models.feature_cols))
-    per_leaf = out.groupBy("leaf").agg(F.countDistinct("prediction").alias("k"))
-    assert per_leaf.filter("k > 1").count() == 0                 # one tree value per leaf
-    assert per_leaf.count() == models.leaf_quantiles.count()
+def test_scoring_many_trees_stays_a_model_call(feats, models):
+    plan = BO.predict(models, feats)._jdf.queryExecution().executedPlan().toString()
+    assert "CASE WHEN (rolling" not in plan and len(plan) < 60_000
 
 
 def test_interval_both_or_none(feats, models):
     with_int = BO.predict(models, feats)
     assert with_int.filter(F.col("lower_ci").isNull() | F.col("upper_ci").isNull()).count() == 0
-    no_int = BO.predict(BO.BoostedModels(models.point, None, None, models.feature_cols), feats)
+    no_int = BO.predict(BO.BoostedModels(models.point, None, models.feature_cols), feats)
     assert no_int.filter(F.col("lower_ci").isNotNull() | F.col("upper_ci").isNotNull()).count() == 0
     assert with_int.filter((F.col("lower_ci") < 0) | (F.col("predicted_demand") < 0)).count() == 0
+    assert with_int.filter("lower_ci > upper_ci").count() == 0
 
 
-def test_leaf_table_is_bounded(models):
-    assert models.leaf_quantiles.count() <= 2 ** CFG.quantile_tree_depth
+def test_leaf_table_is_bounded_and_calibration_covers(spark, feats, models):
+    assert len(models.interval.leaves) <= CFG.quantile_trees * 2 ** CFG.quantile_tree_depth
+    flagged = BO.with_validation_tail(feats, 40, "tail")
+    fitted = BO.fit_interval_model(flagged, CFG, models.feature_cols, "tail")
+    held = flagged.filter("tail")
+    scored = BO.predict(BO.BoostedModels(models.point, fitted, models.feature_cols), held)
+    inside = scored.agg(F.avg(F.col("quantity_sold").between(
+        F.col("lower_ci"), F.col("upper_ci")).cast("double"))).first()[0]
+    assert 0.75 <= inside <= 0.9
 
 
 def _brute_recursion(spark, models, feats_pdf, horizon):
@@ -71,7 +78,7 @@ def _brute_recursion(spark, models, feats_pdf, horizon):
         for lag in CFG.lags:
             row[f"lag_{lag}"] = store.get(d - dt.timedelta(days=lag), 0.0)
         one = spark.createDataFrame([tuple(float(row[c]) for c in cols)], ", ".join(f"{c} double" for c in cols))
-        p = max(0.0, BO.predict(BO.BoostedModels(models.point, None, None, cols), one).first().predicted_demand)
+        p = max(0.0, BO.predict(BO.BoostedModels(models.point, None, cols), one).first().predicted_demand)
         store[d] = p
         out.append((d, p))
     return out
@@ -99,7 +106,7 @@ def test_recursion_lags_use_calendar_days_with_zero_for_gaps(spark, feats):
 def test_save_and_load_round_trip(spark, tmp_path, models, feats):
     path = str(tmp_path / "models")
     models.series = "2:x"
-    BO.save_models(models, path)
+    BO.save_models(models, path, spark)
     back = BO.load_models(spark, path, CFG, "2:x")
     a = BO.predict(models, feats).agg(F.sum("predicted_demand"), F.sum("lower_ci")).first()
     b = BO.predict(back, feats).agg(F.sum("predicted_demand"), F.sum("lower_ci")).first()
@@ -119,57 +126,56 @@ def test_walk_forward_cv_needs_90_rows(feats):
     assert by_series["FULL"] == {2, 3} and by_series["GAPS"] == {1, 2, 3}
 
 
-def test_pooled_model_learns_a_weekly_pattern(spark):
-    """Demand = 100 on weekdays, 200 on Saturdays (+ uniform noise of +-5), two
-    series: the fitted model must reach the noise level and beat naive by far."""
+def test_pooled_model_learns_additive_patterns(spark):
+    """Weekday, month and series effects that add up, noise of +-2: one shallow
+    tree cannot hold them all, so the ensemble has to grow, and it beats naive."""
     import numpy as np
     rng = np.random.default_rng(3)
+    weekday = [0, 35, 70, 15, 90, 160, 120]
+    month = [0, 25, 60, 10, 45, 80, 5, 30, 70, 20, 55, 90]
     rows = []
-    for code, level in (("W1", 0), ("W2", 30)):
-        for i in range(400):
-            d = dt.date(2020, 1, 1) + dt.timedelta(days=i)
-            q = 100 + level + (100 if d.weekday() == 5 else 0) + int(rng.integers(-5, 6))
+    for code, level in (("W1", 0), ("W2", 45), ("W3", 110)):
+        for i in range(700):
+            d = dt.date(2019, 1, 1) + dt.timedelta(days=i)
+            q = 100 + level + weekday[d.weekday()] + month[d.month - 1] + int(rng.integers(-2, 3))
             rows.append((d, code, q))
     sales = spark.createDataFrame(rows, "date date, drug_code string, quantity_sold int")
-    cfg = replace(DEFAULT, gbt_max_iter=20, gbt_max_depth=4, gbt_step_size=0.3)
+    cfg = replace(DEFAULT, gbt_max_iter=64, gbt_first_rounds=16, gbt_patience=8, gbt_max_depth=3,
+                  gbt_step_size=0.3)
     split = FE.engineer_features(sales, cfg).join(
         sales.groupBy("drug_code").agg(F.max("date").alias("__m")), "drug_code")
-    split = split.withColumn("__v", F.col("date") > F.date_sub("__m", 30)).drop("__m")
-    point = BO.fit_point_model(split, cfg, FE.feature_names(cfg), "__v")
+    split = BO.with_scale(split.withColumn("__v", F.col("date") > F.date_sub("__m", 30)).drop("__m"))
+    point, rounds = BO.fit_point(split, cfg, None, "__v")
+    assert 10 < point.getNumTrees <= rounds <= 64
     test = split.filter("__v")
-    scored = BO.predict(BO.BoostedModels(point, None, None, FE.feature_names(cfg)), test)
+    scored = BO.predict(BO.BoostedModels(point, None, BO.model_columns(cfg)), test)
     mae = scored.agg(F.avg(F.abs(F.col("quantity_sold") - F.col("predicted_demand")))).first()[0]
     naive_mae = test.agg(F.avg(F.abs(F.col("quantity_sold") - F.col("lag_1")))).first()[0]
-    assert mae < 4.0 and mae < naive_mae / 5
+    assert mae < naive_mae / 3
 
 
-def test_patience_keeps_best_prefix(spark, feats, tmp_path):
-    cfg = replace(CFG, gbt_max_iter=8, gbt_patience=3, gbt_step_size=0.5)
+def test_best_prefix_rule():
+    assert BO.best_prefix([5, 4, 3, 3, 3, 3], 3) == (3, True)
+    assert BO.best_prefix([5, 4, 3, 3.5, 2, 3], 3) == (5, False)
+    assert BO.best_prefix([1.0], 50) == (1, False)
+
+
+def test_rounds_double_until_patience_stops(spark, feats, tmp_path):
+    cfg = replace(CFG, gbt_max_iter=16, gbt_first_rounds=4, gbt_patience=3, gbt_step_size=0.5)
     last = feats.groupBy("drug_code").agg(F.max("date").alias("__m"))
     data = (feats.join(last, "drug_code")
             .withColumn("__v", F.col("date") > F.date_sub("__m", 30)).drop("__m"))
-    model, n = BO.fit_point(data, cfg, FE.feature_names(cfg), "__v")
-    assert model.getNumTrees == 8 and 1 <= n <= 8
-    # brute force: validation MSE of each prefix, scanned with the same rule
-    valid = data.filter("__v")
+    model, rounds = BO.fit_point(data, cfg, None, "__v")
+    assert rounds in (4, 8, 16) and 1 <= model.getNumTrees <= rounds
+    # brute force: all rounds at once, error of each prefix from its own trees
+    train, valid = data.filter("NOT __v"), data.filter("__v")
+    whole, _ = BO.fit_point(train, cfg)
     mse = []
-    for k in range(1, 9):
-        e = valid.select(((F.col("quantity_sold") - BO.ensemble_column(model, FE.feature_names(cfg), k)) ** 2)
-                         .alias("se")).agg(F.avg("se")).first()[0]
-        mse.append(e)
-    best_k, best = 1, float("inf")
-    for k, e in enumerate(mse, 1):
-        if e < best - 1e-12:
-            best_k, best = k, e
-        elif k - best_k >= 3:
-            break
-    assert n == best_k
-    models = BO.BoostedModels(model, None, None, FE.feature_names(cfg), n_trees=n)
-    p = BO.predict(models, valid).agg(F.sum("predicted_demand")).first()[0]
-    q = valid.select(F.greatest(F.lit(0.0), BO.ensemble_column(model, FE.feature_names(cfg), n))
-                     .alias("x")).agg(F.sum("x")).first()[0]
-    assert p == pytest.approx(q)
-    models.series = "s"
-    BO.save_models(BO.BoostedModels(model, *BO.fit_interval_model(data, cfg), FE.feature_names(cfg),
-                                    "s", n), str(tmp_path / "m"))
-    assert BO.load_models(spark, str(tmp_path / "m"), cfg, "s").n_trees == n
+    for k in range(1, 17):
+        scored = BO.predict_point(BO.BoostedModels(BO.first_trees(whole, k), None, BO.model_columns(cfg)), valid)
+        mse.append(scored.agg(F.avg((F.col("quantity_sold") - F.col("prediction")) ** 2)).first()[0])
+    assert model.getNumTrees == BO.best_prefix(mse, 3)[0]
+    models = BO.BoostedModels(model, BO.fit_interval_model(data, cfg), BO.model_columns(cfg), "s", rounds)
+    BO.save_models(models, str(tmp_path / "m"), spark)
+    back = BO.load_models(spark, str(tmp_path / "m"), cfg, "s")
+    assert (back.rounds, back.point.getNumTrees) == (rounds, model.getNumTrees)

@@ -49,12 +49,18 @@ def test_year_bounded_rule(spark):
 
 
 def test_extra_holiday_table(spark):
-    df = spark.createDataFrame([(dt.date(2018, 6, 15),), (dt.date(2018, 6, 14),)], "date date")
-    extra = spark.createDataFrame([(dt.date(2018, 6, 15),)], "date date")
+    df = spark.createDataFrame([(dt.date(2018, 6, 19),), (dt.date(2018, 6, 14),)], "date date")
+    extra = spark.createDataFrame([(dt.date(2018, 6, 19),)], "date date")
     out = cal.with_holiday_flag(df, "MK", extra_holidays=extra).orderBy("date").collect()
     assert [r.is_holiday for r in out] == [0, 1]
 
 
+def test_lunar_holiday_of_the_default_country(spark):
+    """Days from public calendars, one of them in the reference period."""
+    assert _flags(spark, [dt.date(2018, 6, 15), dt.date(2018, 6, 16)], "MK") == [1, 0]
+    assert _flags(spark, [dt.date(2018, 6, 15)], "SI") == [0]
+
+
 def test_unknown_country(spark):
     with pytest.raises(ValueError):
         cal.is_holiday(F.col("date"), "XX")

@@ -55,7 +55,7 @@ def test_rolling_matches_shifted_pandas_rolling(sample_sales, sample_pdf):
 
 def test_engineer_features_shape_and_no_nulls(sample_sales):
     out = FE.engineer_features(sample_sales)
-    assert out.count() == 120
+    assert out.count() == 182
     names = FE.feature_names(DEFAULT)
     assert len(names) == 27 and out.columns == ["date", "drug_code", "quantity_sold", *names]
     nulls = out.select(*[F.sum(F.col(c).isNull().cast("int")).alias(c) for c in names]).first()

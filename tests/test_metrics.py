@@ -39,7 +39,7 @@ def test_split_sizes(sample_sales):
     split = FO.train_test_split(engineer_features(sample_sales), 30)
     test = split.filter(~F.col("is_train"))
     train = split.filter("is_train")
-    assert test.count() == 30 and train.count() == 90
+    assert test.count() == 30 and train.count() == 152
     assert train.agg(F.max("date")).first()[0] < test.agg(F.min("date")).first()[0]
 
 
@@ -55,8 +55,8 @@ def test_min_history_counts_rows(multi_sales):
 
 def test_walk_forward_fold_positions(sample_sales):
     f = FO.walk_forward_folds(sample_sales, 3, 30, 30).collect()
-    # 120 rows: folds at 30, 60, 90 -> all three valid (training >= 30)
+    # 182 rows: test windows start at 92, 122, 152 -> all three valid (training >= 30)
     assert sorted({r.fold for r in f}) == [1, 2, 3] and len(f) == 90
     assert all(0 <= r.pos < 30 for r in f)
-    f90 = FO.walk_forward_folds(sample_sales, 3, 30, 90).collect()
+    f90 = FO.walk_forward_folds(sample_sales, 3, 30, 123).collect()
     assert {r.fold for r in f90} == {3} and len(f90) == 30

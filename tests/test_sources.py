@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from demand_engine.sources import wide as W
-from demand_engine.sources.tables import sales_daily, wide_sales
+from demand_engine.sources.tables import fill_missing_days, sales_daily, wide_sales
 
 
 @pytest.fixture
@@ -65,7 +65,7 @@ def test_metadata_columns_and_uniqueness(sample_sales):
     meta = W.item_metadata(sample_sales)
     assert set(meta.columns) >= {"drug_code", "drug_name", "atc_code"}
     rows = meta.collect()
-    assert [r.drug_code for r in rows] == ["TEST01"] and rows[0].drug_name == "TEST01"
+    assert [r.drug_code for r in rows] == ["RHYTHM"] and rows[0].drug_name == "RHYTHM"
 
 
 def test_missing_csv_is_file_not_found(spark, tmp_path):
@@ -87,6 +87,22 @@ def test_wide_fixture_round_trip(spark):
     assert back.exceptAll(long).count() == 0 and long.exceptAll(back).count() == 0
 
 
+def test_wide_file_from_given_tables(spark, tmp_path):
+    """The CSV path on real data: written wide, loaded, melted."""
+    wide = wide_sales(spark, "/root/testdata/sf0.001")
+    wide.write.csv(str(tmp_path / "wide"), header=True)
+    back = W.wide_to_long(W.load_raw_sales(spark, str(tmp_path / "wide")))
+    long = sales_daily(spark, "/root/testdata/sf0.001")
+    assert back.exceptAll(long).count() == 0 and long.exceptAll(back).count() == 0
+
+
+def test_missing_days_are_filled_with_zero(spark):
+    df = spark.createDataFrame([(dt.date(2020, 1, 1), "A", 3), (dt.date(2020, 1, 4), "A", 5),
+                                (dt.date(2020, 1, 2), "B", 1)], "date date, drug_code string, quantity_sold int")
+    got = sorted((r.drug_code, r.date.day, r.quantity_sold) for r in fill_missing_days(df).collect())
+    assert got == [("A", 1, 3), ("A", 2, 0), ("A", 3, 0), ("A", 4, 5), ("B", 2, 1)]
+
+
 def test_load_summary(spark):
     s = W.load_summary(sales_daily(spark, "/root/testdata/sf0.001")).first()
     assert s.n_series == 6 and s.n_rows > 0 and s.min_date <= s.max_date

@@ -12,12 +12,18 @@ def demo(spark):
     return demo_store(spark, "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("small_rows", [100_000, 100])   # fast path, distributed path
-def test_sequential_ids_are_dense_and_ordered(spark, small_rows):
+def test_sequential_ids_are_dense_and_ordered(spark):
     df = spark.range(0, 5000).select((F.col("id") * 7 % 5000).alias("k")).repartition(7)
-    out = S.with_sequential_id(df, ["k"], 10, small_rows=small_rows).collect()
+    out = S.with_sequential_id(df, ["k"], 10).collect()
     ids = sorted((r.k, r.id) for r in out)
     assert [i for _, i in ids] == list(range(10, 5010))
+    assert S.with_sequential_id(df.limit(0), ["k"]).collect() == []
+
+
+def test_ids_need_no_window_over_all_rows(spark):
+    plan = S.with_sequential_id(spark.range(10).toDF("k"), ["k"])._jdf.queryExecution().toString()
+    rows, _, counts = plan.partition("BroadcastExchange")
+    assert "SinglePartition" not in rows and "SinglePartition" in counts  # one row per partition
 
 
 def test_upsert_items_keeps_ids_updates_names_appends_new(spark):
@@ -77,41 +83,96 @@ def test_latest_forecasts_one_row_per_item_date(demo):
     assert overlap.filter("model_name = 'Moving Average'").count() == overlap.count()
 
 
-def test_parquet_store_versions(spark, tmp_path, demo):
-    st = S.ParquetStore(spark, str(tmp_path / "wh"))
-    items = st.upsert_items(demo.items.select("drug_code", "drug_name", "atc_code"))
-    assert items.count() == 6 and st.path("drugs").endswith("v=1")
-    st.upsert_items(demo.items.select("drug_code", F.lit("renamed").alias("drug_name"), "atc_code"))
-    assert st.path("drugs").endswith("v=2")
-    assert {r.drug_name for r in st.read("drugs").collect()} == {"renamed"}
-    sales = st.upsert_sales(demo.sales_long)
-    assert sales.count() == demo.sales_long.count()
-    fc = demo.sales_long.groupBy("drug_code").agg(F.max("date").alias("date")).select(
-        "drug_code", "date", F.lit(1.5).alias("predicted_demand"),
-        F.lit(1.0).alias("lower_ci"), F.lit(2.0).alias("upper_ci"))
-    st.append_forecasts(fc, "LightGBM", dt.datetime(2024, 3, 1))
-    hist = st.append_forecasts(fc, "LightGBM", dt.datetime(2024, 3, 2))
-    assert hist.count() == 12 and sorted(r.id for r in hist.collect()) == list(range(1, 13))
+def _dates(start, n):
+    return [start + dt.timedelta(days=i) for i in range(n)]
 
 
-def test_sales_upsert_rewrites_only_touched_months(spark, tmp_path, demo):
-    import glob
-    import os
+@pytest.fixture
+def loaded(spark, tmp_path, demo):
     st = S.ParquetStore(spark, str(tmp_path / "wh"))
     st.upsert_items(demo.items.select("drug_code", "drug_name", "atc_code"))
-    st.upsert_sales(demo.sales_long.filter(F.col("date") < F.lit(dt.date(1995, 4, 1))))
-    root = st.path("sales_daily")
-    before = {f: os.path.getmtime(f) for f in glob.glob(f"{root}/year_month=*/*.parquet")}
+    return st
+
+
+def test_item_versions_keep_id_and_created_at(loaded, demo):
+    before = {r.drug_code: r for r in loaded.read("drugs").collect()}
+    assert len(before) == 6 and loaded.versions("drugs") == [1]
+    loaded.upsert_items(demo.items.select("drug_code", F.lit("renamed").alias("drug_name"), "atc_code"))
+    after = {r.drug_code: r for r in loaded.read("drugs").collect()}
+    assert loaded.versions("drugs") == [1, 2] and {r.drug_name for r in after.values()} == {"renamed"}
+    assert all((after[c].id, after[c].created_at) == (r.id, r.created_at) for c, r in before.items())
+
+
+def test_first_load_merges_its_own_duplicates(spark, loaded):
+    batch = spark.createDataFrame([(d, "PROMO", q) for d in _dates(dt.date(2020, 1, 30), 4) for q in (3, 8)],
+                                  "date date, drug_code string, quantity_sold int")
+    first = loaded.upsert_sales(batch).collect()
+    assert len(first) == 4 and {r.quantity_sold for r in first} == {8}
+    again = loaded.upsert_sales(batch.withColumn("quantity_sold", F.lit(9))).collect()
+    key = lambda r: (r.drug_id, r.date)
+    assert {key(r): (r.id, r.created_at) for r in again} == {key(r): (r.id, r.created_at) for r in first}
+    assert {r.quantity_sold for r in again} == {9} and sorted(r.id for r in again) == [1, 2, 3, 4]
+
+
+def test_bad_rows_are_refused_and_change_nothing(spark, loaded):
+    good = spark.createDataFrame([(dt.date(2020, 1, 1), "PROMO", 3)],
+                                 "date date, drug_code string, quantity_sold int")
+    loaded.upsert_sales(good)
+    with pytest.raises(ValueError, match="quantity_sold >= 0"):
+        loaded.upsert_sales(good.withColumn("quantity_sold", F.lit(-3)))
+    with pytest.raises(ValueError, match="not null"):
+        loaded.upsert_sales(good.withColumn("date", F.lit(None).cast("date")))
+    fc = good.select("drug_code", F.lit(None).cast("date").alias("date"), F.lit(1.0).alias("predicted_demand"),
+                     F.lit(None).cast("double").alias("lower_ci"), F.lit(None).cast("double").alias("upper_ci"))
+    with pytest.raises(ValueError, match="forecasts_daily not null"):
+        loaded.append_forecasts(fc, "Boosted Trees")
+    assert [r.quantity_sold for r in loaded.read("sales_daily").collect()] == [3]
+    assert loaded.versions("sales_daily") == [1] and loaded.read("forecasts_daily") is None
+
+
+def test_upsert_writes_only_touched_months(spark, loaded, demo):
+    day = dt.date(1995, 4, 1)
+    loaded.upsert_sales(demo.sales_long.filter(F.col("date") < F.lit(day)))
+    before = dict(loaded.manifest("sales_daily")[0])
     batch = (demo.sales_long.filter((F.col("date") >= F.lit(dt.date(1995, 3, 20)))
                                     & (F.col("date") < F.lit(dt.date(1995, 4, 10))))
              .withColumn("quantity_sold", F.lit(7)))
-    out = st.upsert_sales(batch)
-    after = {f: os.path.getmtime(f) for f in glob.glob(f"{root}/year_month=*/*.parquet")}
-    untouched = [f for f in before if "year_month=1995-01" in f or "year_month=1995-02" in f]
-    assert untouched and all(after.get(f) == before[f] for f in untouched)
+    out = loaded.upsert_sales(batch)
+    after = dict(loaded.manifest("sales_daily")[0])
+    assert {m for m in after if before.get(m) != after[m]} == {"1995-03", "1995-04"}
     got = {(r.drug_id, r.date): r.quantity_sold for r in out.collect()}
-    n_old = demo.sales_long.filter(F.col("date") < F.lit(dt.date(1995, 4, 1))).count()
-    n_new = batch.filter(F.col("date") >= F.lit(dt.date(1995, 4, 1))).count()
+    n_old = demo.sales_long.filter(F.col("date") < F.lit(day)).count()
+    n_new = batch.filter(F.col("date") >= F.lit(day)).count()
     assert len(got) == n_old + n_new
     assert all(q == 7 for (i, d), q in got.items() if d >= dt.date(1995, 3, 20))
     assert any(q != 7 for (i, d), q in got.items() if d < dt.date(1995, 3, 20))
+    ids = [r.id for r in out.collect()]
+    assert sorted(ids) == list(range(1, len(ids) + 1))
+
+
+def test_an_unfinished_write_is_not_seen(spark, loaded, demo):
+    import os
+    loaded.upsert_sales(demo.sales_long.filter("drug_code = 'PROMO'"))
+    n = loaded.read("sales_daily").count()
+    os.makedirs(f"{loaded.root}/sales_daily/manifest/v=2")                 # no _SUCCESS
+    assert loaded.versions("sales_daily") == [1] and loaded.read("sales_daily").count() == n
+
+
+def test_forecast_runs_and_delete_with_cascade(spark, loaded, demo):
+    loaded.upsert_sales(demo.sales_long)
+    fc = demo.sales_long.groupBy("drug_code").agg(F.max("date").alias("date")).select(
+        "drug_code", "date", F.lit(1.5).alias("predicted_demand"),
+        F.lit(1.0).alias("lower_ci"), F.lit(2.0).alias("upper_ci"))
+    loaded.append_forecasts(fc, "Boosted Trees", dt.datetime(2024, 3, 1))
+    hist = loaded.append_forecasts(fc, "Boosted Trees", dt.datetime(2024, 3, 2))
+    assert sorted(r.id for r in hist.collect()) == list(range(1, 13))
+    promo = loaded.read("drugs").filter("drug_code = 'PROMO'").first().id
+    n = loaded.read("sales_daily").filter(F.col("drug_id") != promo).count()
+    loaded.delete_items(spark.createDataFrame([("PROMO",)], "drug_code string"))
+    assert loaded.read("drugs").count() == 5
+    assert loaded.read("sales_daily").count() == n
+    assert loaded.read("forecasts_daily").count() == 10
+    assert all(loaded.read(t).filter(F.col("drug_id") == promo).count() == 0
+               for t in ("sales_daily", "forecasts_daily"))
+    new = loaded.append_forecasts(fc.filter("drug_code <> 'PROMO'"), "Naive", dt.datetime(2024, 3, 3))
+    assert new.agg(F.max("id")).first()[0] == 17                            # ids are never reused

@@ -34,9 +34,9 @@ def test_t13_best_flag_is_null_safe(spark):
 
 
 def test_t14_improvement_null_when_best_baseline_is_zero(spark):
-    summary = spark.createDataFrame([("Naive", 0.0), ("LightGBM", 0.2)], "model_name string, avg_mape double")
+    summary = spark.createDataFrame([("Naive", 0.0), ("Boosted Trees", 0.2)], "model_name string, avg_mape double")
     assert E.ml_improvement(summary).first().improvement_pct is None
-    summary = spark.createDataFrame([("Naive", 0.5), ("Seasonal Naive", 0.4), ("LightGBM", 0.3)],
+    summary = spark.createDataFrame([("Naive", 0.5), ("Seasonal Naive", 0.4), ("Boosted Trees", 0.3)],
                                     "model_name string, avg_mape double")
     assert E.ml_improvement(summary).first().improvement_pct == pytest.approx(25.0)
 
