@@ -108,7 +108,7 @@ def test_awkward_documents(spark):
     assert [s.split(":")[0] for s in spans.split(",")][:4] == ["email", "ip", "card", "phone"]
     out = pii.redacted(docs, model).collect()
     assert next(r.text for r in out if r.doc_id == 18) == \
-        "12345 [PHONE] mail me: [EMAIL], [IP] [CARD]"
+        "12345 [PHONE] mail me: [EMAIL], [IP], [CARD]"
     assert next(r.text for r in out if r.doc_id == 1) is None
     assert pii.fit(docs.limit(0)).weights == {}
     assert pii.find_all(docs.limit(0), model).collect() == []
