@@ -48,7 +48,7 @@ MIN_PRECISION = 0.5
 SIGNIFICANCE = 0.01
 #: Lengths of word beginnings that count as evidence beside the whole word.
 BEGINNINGS = (4, 5, 6, 7)
-CACHE = 400_000
+CACHE = 150_000
 
 # Letters that a character is commonly written for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
