@@ -153,7 +153,9 @@ def _text_factors(docs: DataFrame, window: int, seed_words: int) -> tuple[DataFr
               .agg(F.collect_set("at").alias("at")).join(texts, ["owner", "sub"]))
     asked = docs.join(wanted, ["k1", "k2"], "left").select("doc_id", "text", "owner", "sub", "at")
     phrases = _phrases(asked, window, seed_words)
-    index = phrases.groupBy("phrase").agg(F.min(F.struct("owner", "sub", "pos")).alias("ref"))
+    index = (phrases.groupBy("phrase")
+             .agg(F.min(F.struct("owner", "sub", "pos")).alias("ref"), F.max("owner").alias("last"))
+             .filter("ref.owner < last").drop("last"))  # phrases that can answer at all
     hits = phrases.join(index, "phrase").filter(F.col("ref.owner") < F.col("owner")).select(
         "owner", "sub", "pos", "ref")
     return texts, _parse(hits, window)
