@@ -7,7 +7,8 @@ shuffled by the hash of the word, so all copies of a word meet in one
 partition, where each distinct word is encoded exactly once; its ids travel
 back to the blocks that asked for it, and each block puts the ids in the order
 of its positions. A word counts once per block however often it occurs, so
-frequent words are no hot keys; what is shuffled is dictionaries, not tokens.
+frequent words are no hot keys; what is shuffled is dictionaries and compressed
+word numbers, not rows of tokens.
 
 Decoding joins ids with the table of token bytes. That table is the rank file
 itself (50,256 entries here, fixed by the file and independent of the data).
@@ -32,10 +33,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, map_stream, materialize
+from .common import doc_texts, map_stream
 
 #: Characters of text in one block (a longer text makes a block of its own).
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 6_000_000
+#: Compression level of what is shuffled.
+LEVEL = 3
 
 
 @lru_cache(maxsize=4)
@@ -62,32 +65,33 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
-    """One row per block: its documents, positions, and a dictionary per bucket.
-
-    ``words`` holds, for each bucket that has any, the words of that bucket
-    (newline-free framing: lengths, then bytes); ``slots`` their numbers.
-    """
+    """One row per block: its documents, the word number at every position, and
+    its distinct words by bucket. Words are numbered by falling frequency;
+    ``slots`` are the numbers of the words in the order of the buckets."""
     def run(batches):
         findall = regex.compile(pattern).findall
-        squeeze = zstandard.ZstdCompressor(level=1)
-
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
         sequence = itertools.count(TaskContext.get().partitionId() << 32)
 
         def emit(ids, counts, parts, numbers):
-            words = [w.encode() for w in numbers]
+            positions, words = np.concatenate(parts), list(numbers)
+            by_rank = np.argsort(-np.bincount(positions, minlength=len(words)), kind="stable")
+            rank = np.empty(len(words), np.int64)
+            rank[by_rank] = np.arange(len(words))
+            words = [words[i].encode() for i in by_rank.tolist()]
             owner = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words),
                                 dtype=np.int64, count=len(words))
-            order = np.argsort(owner, kind="stable")
-            cuts = np.flatnonzero(np.diff(owner[order])) + 1
+            slots = np.argsort(owner, kind="stable")
             dictionary = []
-            for slots in np.split(order, cuts) if len(order) else []:
-                chosen = [words[i] for i in slots.tolist()]
-                lengths = np.fromiter(map(len, chosen), dtype=np.uint32, count=len(chosen))
-                dictionary.append({"bucket": int(owner[slots[0]]), "slots": _pack(slots, squeeze),
-                                   "lengths": _pack(lengths, squeeze),
-                                   "bytes": squeeze.compress(b"".join(chosen))})
-            positions = np.concatenate(parts)
-            return ([next(sequence)], [ids], [counts], [_pack(positions, squeeze)], [dictionary])
+            for part in np.split(slots, np.flatnonzero(np.diff(owner[slots])) + 1):
+                chosen = [words[i] for i in part.tolist()]
+                if chosen:
+                    lengths = np.fromiter(map(len, chosen), dtype=np.uint32, count=len(chosen))
+                    dictionary.append({"bucket": int(owner[part[0]]),
+                                       "lengths": _pack(lengths, squeeze),
+                                       "bytes": squeeze.compress(b"".join(chosen))})
+            return ([next(sequence)], [ids], [counts], [_pack(rank[positions], squeeze)],
+                    [_pack(slots, squeeze)], [dictionary])
 
         fresh = lambda: ([], [], [], defaultdict(itertools.count().__next__))
         ids, counts, parts, numbers = fresh()
@@ -108,8 +112,22 @@ def _blocks(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
             yield emit(ids, counts, parts, numbers)
 
     return map_stream(docs, run, "block long, doc_ids array<long>, counts array<int>, "
-                      "positions binary, words array<struct<bucket:int,slots:binary,"
-                      "lengths:binary,bytes:binary>>")
+                      "positions binary, slots binary, "
+                      "words array<struct<bucket:int,lengths:binary,bytes:binary>>")
+
+
+def _words(blocks: DataFrame) -> DataFrame:
+    """A row per block and bucket. A map over whole rows, not an explode of one
+    column: it reads the blocks' shuffle as it is, so that the reassembly can use
+    the same shuffle again."""
+    def run(batches):
+        for block, *_, words in batches:
+            rows = [(b, w["bucket"], w["lengths"], w["bytes"]) for b, ws in zip(block, words)
+                    for w in ws]
+            if rows:
+                yield tuple(map(list, zip(*rows)))
+
+    return map_stream(blocks, run, "block long, bucket int, lengths binary, bytes binary")
 
 
 def _encode_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
@@ -117,9 +135,9 @@ def _encode_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
     once, and answer every block's list of words with the ids."""
     def run(batches):
         encode = _word_encoder(ranks.value, pattern)
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=LEVEL)
         known: dict[bytes, list[int]] = {}
-        for blocks, slots, lengths, blobs in batches:
+        for blocks, buckets, lengths, blobs in batches:
             counts, flat = [], []
             for length, blob in zip(lengths, blobs):
                 raw = zstandard.ZstdDecompressor().decompress(blob)
@@ -134,9 +152,9 @@ def _encode_words(words: DataFrame, ranks, pattern: str) -> DataFrame:
                 counts.append(_pack(np.fromiter(map(len, answer), np.uint32, len(answer)), squeeze))
                 flat.append(_pack(np.fromiter(itertools.chain.from_iterable(answer), np.uint32),
                                   squeeze))
-            yield blocks, slots, counts, flat
+            yield blocks, buckets, counts, flat
 
-    return map_stream(words, run, "block long, slots binary, n_ids binary, ids binary")
+    return map_stream(words, run, "block long, bucket int, n_ids binary, ids binary")
 
 
 def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -146,16 +164,16 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _reassemble(blocks: DataFrame) -> DataFrame:
-    def one(doc_ids, counts, positions, answers):
-        slots = [_unpack(a["slots"]) for a in answers or []]
-        n_ids = [_unpack(a["n_ids"]).astype(np.int64) for a in answers or []]
+    def one(doc_ids, counts, positions, slots, answers):
+        answers = sorted(answers or [], key=lambda a: a["bucket"])
         flat = (np.concatenate([_unpack(a["ids"]) for a in answers]) if answers
                 else np.zeros(0, "<u4"))
-        slot = np.concatenate(slots) if slots else np.zeros(0, np.int64)
-        n = np.concatenate(n_ids) if n_ids else np.zeros(0, np.int64)
+        n = (np.concatenate([_unpack(a["n_ids"]) for a in answers]).astype(np.int64) if answers
+             else np.zeros(0, np.int64))
+        slot = _unpack(slots)
         starts, lengths = np.zeros(len(slot), np.int64), np.zeros(len(slot), np.int64)
         starts[slot], lengths[slot] = np.cumsum(n) - n, n
-        at = _unpack(positions) if sum(counts) else np.zeros(0, np.uint32)
+        at = _unpack(positions)
         done = 0
         for doc_id, count in zip(doc_ids, counts):
             words = at[done:done + count]
@@ -165,7 +183,8 @@ def _reassemble(blocks: DataFrame) -> DataFrame:
 
     def run(batches):
         for columns in batches:
-            for row in zip(*columns):
+            _, doc_ids, counts, positions, slots, _, answers = columns
+            for row in zip(doc_ids, counts, positions, slots, answers):
                 out = list(one(*row))
                 for at in range(0, len(out), 500):
                     yield tuple(map(list, zip(*out[at:at + 500])))
@@ -177,16 +196,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``(doc_id, n_tokens, ids)``; ``ids`` are little-endian unsigned 32-bit."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(path))  # as large as the rank file, no more
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = materialize(_blocks(doc_texts(docs), pattern, buckets))
-    words = (blocks.select("block", F.explode("words").alias("w"))
-             .select("block", "w.*").repartition("bucket")
-             .select("block", "slots", "lengths", "bytes"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _blocks(doc_texts(docs), pattern, partitions).repartition(partitions, "block")
+    words = _words(blocks).repartition("bucket")
     answers = (_encode_words(words, ranks, pattern)
-               .groupBy("block").agg(F.collect_list(F.struct("slots", "n_ids", "ids")).alias("a")))
-    return _reassemble(blocks.select("block", "doc_ids", "counts", "positions")
-                       .join(answers, "block", "left")
-                       .select("doc_ids", "counts", "positions", "a"))
+               .groupBy("block").agg(F.collect_list(F.struct("bucket", "n_ids", "ids")).alias("a")))
+    return _reassemble(blocks.join(answers, "block", "left")
+                       .select(*blocks.columns, "a"))  # every column: the shuffle is used again
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
