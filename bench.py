@@ -53,6 +53,7 @@ def main() -> None:
         t0 = time.perf_counter()
         _run(QUERIES[name](spark, SF_DIR))
         times[name] = round(time.perf_counter() - t0, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
 
     def forecasting_run(series: str) -> float:
         t0 = time.perf_counter()
@@ -71,6 +72,7 @@ def main() -> None:
     t0 = time.perf_counter()
     store = fill_store(spark, SF_DIR, root)
     times["store_build"] = round(time.perf_counter() - t0, 3)
+    print("store_build", times["store_build"], file=sys.stderr, flush=True)
     items, sales, fc = (store.read(t) for t in ("drugs", "sales_daily", "forecasts_daily"))
     for name, report in (("risk_ranking", lambda: R.risk_ranking(items, fc)),
                          ("item_stats", lambda: R.item_stats(items, sales, fc, AS_OF)),
@@ -81,6 +83,7 @@ def main() -> None:
         times[f"report_{name}"] = round(time.perf_counter() - t0, 3)
     total = forecasting_run("p_type")                 # 6 item series
     times["forecasting_run"] = total
+    print("forecasting_run", total, file=sys.stderr, flush=True)
     # same run keyed by supplier: ~1,000 series (~160x the series, ~36x the rows at sf0.1)
     times["forecasting_run_many_series"] = forecasting_run("l_suppkey")
     sf = os.path.basename(SF_DIR.rstrip("/")).replace("sf", "")
