@@ -16,6 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Rows of an Arrow batch that are Python objects at a time.
+ROWS_AT_ONCE = 500
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -99,12 +103,15 @@ def map_stream(df: DataFrame, fn: Callable[[Iterator[list]], Iterator[tuple]], s
     out_type = T.StructType.fromDDL(schema)
 
     def columns(batch):
-        return [c.to_numpy(zero_copy_only=False) if arrays else c.to_pylist()
-                for c in batch.columns]
+        if arrays:
+            yield [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            return
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):  # bounds the Python objects alive
+            yield [c.to_pylist() for c in batch.slice(at, ROWS_AT_ONCE).columns]
 
     def run(batches):
         arrow = to_arrow_schema(out_type)
-        for cols in fn(columns(b) for b in batches):
+        for cols in fn(part for b in batches for part in columns(b)):
             arrays = [pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
