@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import doc_texts, map_stream
 
 #: Characters of text in one block (a longer text makes a block of its own).
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 5_000_000
 #: Compression level of what is shuffled.
 LEVEL = 3
 

@@ -48,7 +48,7 @@ MIN_PRECISION = 0.5
 SIGNIFICANCE = 0.01
 #: Lengths of word beginnings that count as evidence beside the whole word.
 BEGINNINGS = (4, 5, 6, 7)
-CACHE = 150_000
+CACHE = 100_000
 
 # Letters that a character is commonly written for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
@@ -285,11 +285,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches):
         restore = Restorer(characters.value)
-        for ids, batch, toxic in batches:
-            words = [restore.words(t) for t in batch]
-            yield ([_sketch_key(t) for t in batch], ids, toxic,
-                   [sorted({e for w in found for e in evidence_of(w)}) for found in words],
-                   [list(found.elements()) for found in words])
+        for columns in batches:
+            for at in range(0, len(columns[0]), 25):  # a text's evidence is larger than the text
+                ids, batch, toxic = (c[at:at + 25] for c in columns)
+                words = [restore.words(t) for t in batch]
+                yield ([_sketch_key(t) for t in batch], ids, toxic,
+                       [sorted({e for w in found for e in evidence_of(w)}) for found in words],
+                       [list(found.elements()) for found in words])
 
     votes = map_stream(texts, run, "key long, doc_id long, toxic int, evidence array<string>, "
                                    "words array<string>")
