@@ -18,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of an Arrow batch that are Python objects at a time.
 ROWS_AT_ONCE = 500
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +65,14 @@ def ship_code() -> None:
             cloudpickle.register_pickle_by_value(module)
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Arrow batches of texts hold ``BATCH_ROWS`` rows at most (the default of
+    10,000 documents is tens of megabytes in the JVM and again in Python)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Sent:
     """A broadcast value of one of this subpackage's classes."""
 
@@ -84,6 +94,7 @@ class Sent:
 def column_function(fn: Callable, returns: str):
     """A column function from ``fn``, a function of one pandas series."""
     ship_code()
+    _small_batches(SparkSession.active())
     return F.pandas_udf(fn, returns)
 
 
@@ -100,6 +111,8 @@ def map_stream(df: DataFrame, fn: Callable[[Iterator[list]], Iterator[tuple]], s
     """A partition at a time: ``fn`` gets an iterator of column lists (numpy
     arrays with ``arrays``) and yields tuples of output columns."""
     ship_code()
+    if not arrays:
+        _small_batches(df.sparkSession)
     out_type = T.StructType.fromDDL(schema)
 
     def columns(batch):
