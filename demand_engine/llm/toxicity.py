@@ -3,12 +3,16 @@
 Language model: character trigrams counted over the texts of all documents
 (26 letters, one class for other letters, word boundary).
 
-Channel: a token that carries noise (digits or symbols among letters, a letter
-repeated three times or more, letters spaced out one by one) is turned into a
-lattice: each character stands for itself, for the letters it is used for, for a
-word break or for nothing, each at a fixed cost. Viterbi decoding over the
-lattice under the language model restores the most likely text. Tokens without
-noise have a lattice of one path and are left as they are.
+Channel: a token that carries noise (digits or symbols, a letter repeated three
+times or more, letters spaced out one by one, with or without marks between
+them) is turned into a lattice: each character stands for itself, for the letters
+it is used for, for a word break or for nothing, each at a fixed cost. Viterbi
+decoding over the lattice under the language model restores the most likely text,
+whatever the token's length and however few plain letters it has (so a number is
+read as letters too; whether such a word is evidence is learned like any other).
+The parts of a token between marks that stand for no letter count as words beside
+its decoding, so words joined by ``_``, ``.`` or ``-`` are not lost.
+Tokens without noise have a lattice of one path and are left as they are.
 
 Scoring: the labelled documents (a bounded sample, one of each set of documents
 with the same smallest shingle hash, so that copies do not vote twice) give each
@@ -29,9 +33,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -49,6 +53,8 @@ SIGNIFICANCE = 0.01
 #: Lengths of word beginnings that count as evidence beside the whole word.
 BEGINNINGS = (4, 5, 6, 7)
 CACHE = 100_000
+#: Longer tokens are decoded each time they are met, not remembered.
+REMEMBERED = 40
 
 # Letters that a character is commonly written for.
 STANDS_FOR = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
@@ -113,46 +119,59 @@ def _symbol(ch: str) -> int:
     return ord(ch) - 96 if "a" <= ch <= "z" else 27 if ch.isalpha() else 0
 
 
+def _readings(ch: str, n: int) -> list[tuple[str, float]]:
+    """The readings of ``n`` (3: or more) equal characters, with their costs."""
+    if ch.isalpha():
+        return ([(ch, 0.0)] if n == 1 else [(ch * 2, 0.0), (ch, COST_SINGLE)] if n == 2
+                else [(ch, 0.0), (ch * 2, COST_DOUBLE)])
+    lost = COST_DIGIT_LOST if ch.isdigit() else 0.0
+    readings = [("", COST_DROP + lost), (" ", COST_BREAK + lost)]
+    for letter in STANDS_FOR.get(ch, ""):
+        readings.append((letter, COST_SUBSTITUTE))
+        if n > 1:
+            readings.append((letter * 2, COST_SUBSTITUTE + (n > 2) * COST_DOUBLE))
+    return readings
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """The readings of each run of equal characters, with their costs."""
-    columns = []
-    for ch, run in groupby(token):
-        n = len(list(run))
-        if ch.isalpha():
-            columns.append([(ch, 0.0)] if n == 1
-                           else [(ch * 2, 0.0), (ch, COST_SINGLE)] if n == 2
-                           else [(ch, 0.0), (ch * 2, COST_DOUBLE)])
-            continue
-        lost = COST_DIGIT_LOST if ch.isdigit() else 0.0
-        readings = [("", COST_DROP + lost), (" ", COST_BREAK + lost)]
-        for letter in STANDS_FOR.get(ch, ""):
-            readings.append((letter, COST_SUBSTITUTE))
-            if n > 1:
-                readings.append((letter * 2, COST_SUBSTITUTE + (n > 2) * COST_DOUBLE))
-        columns.append(readings)
-    return columns
-
-
-def viterbi(columns: list[list[tuple[str, float]]], model: np.ndarray) -> str:
-    """The cheapest path through a lattice under the character model."""
-    states = {(0, 0): (0.0, "")}
-    for readings in [*columns, [(" ", 0.0)]]:
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+    runs = [(ch, min(sum(1 for _ in run), 3)) for ch, run in groupby(token)]
+    readings = {run: _readings(*run) for run in set(runs)}
+    return [readings[run] for run in runs]
+
+
+def viterbi(columns: Iterable[list[tuple[str, float]]], model: np.ndarray) -> str:
+    """The cheapest path through a lattice under the character model. Paths are
+    chains of back-pointers that share their beginnings: time and memory are
+    linear in the number of columns."""
+    states = {(0, 0): (0.0, None)}
+    for readings in chain(columns, [[(" ", 0.0)]]):
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in states.items():
             for out, extra in readings:
                 x, y, total = a, b, cost + extra
                 for ch in out:
                     s = _symbol(ch)
                     if s or y:  # no second boundary in a row
-                        total += model[x, y, s]
+                        total += model.item(x, y, s)
                         x, y = y, s
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = total, text + out
+                    after[x, y] = total, (path, out) if out else path
         states = after
-    return min(states.values())[1].strip()
+    lowest = min(cost for cost, _ in states.values())
+    return min(_spelled(path) for cost, path in states.values() if cost == lowest).strip()
+
+
+def _spelled(path: tuple | None) -> str:
+    outs = []
+    while path:
+        path, out = path
+        outs.append(out)
+    return "".join(reversed(outs))
 
 
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
+_JOINT = re.compile("(?:[^\\w'’`´" + re.escape("".join(STANDS_FOR)) + "]|_)+")
 
 
 class Restorer:
@@ -175,10 +194,13 @@ class Restorer:
             if noisy == plain or len(set(core.removeprefix(plain))) == 1 and len(core) > len(plain) + 1:
                 return (plain,)
             core = noisy
-        if sum(c.isalpha() for c in core) < 2 or len(core) > 40:
-            return (plain,) if plain.isalpha() else ()
-        restored = viterbi(lattice(core), self.model).split()
-        return tuple(dict.fromkeys([*restored, plain] if plain.isalpha() else restored))
+        restored = Counter(viterbi(lattice(core), self.model).split())
+        parts = _JOINT.split(core)
+        if len(parts) > 1 and max(map(len, parts)) > 1:  # words joined by marks, perhaps
+            restored |= Counter(w for part in parts if part for w in self.token(part))
+        if plain.isalpha():
+            restored |= Counter([plain])
+        return tuple(restored.elements())
 
     def words(self, text: str) -> Counter[str]:
         if len(self.seen) > CACHE:
@@ -188,20 +210,27 @@ class Restorer:
         for token, n in Counter(tokens).items():
             words = seen.get(token)
             if words is None:
-                words = seen[token] = self.token(token)
+                words = self.token(token)
+                if len(token) <= REMEMBERED:
+                    seen[token] = words
             for word in words:
                 found[word] += n
         spaced: list[str] = []
+        letters = 0
         for token in [*tokens, ""]:
-            core = token.strip(_EDGE + "*-_") if len(token) < 4 else token
-            if len(core) == 1:
+            core = token.strip(_EDGE + "*-_")
+            if len(core) == 1 and len(token) < 4:
                 spaced.append(core)
-            else:
-                if len(spaced) > 2:
-                    columns = [c for ch in spaced for c in
-                               ([("", 0.0), (" ", COST_SPACED)], *lattice(ch))]
+                letters += 1
+            elif token and not core:  # marks alone do not end a run
+                if spaced:
+                    spaced.append(token)
+            elif spaced:
+                if letters > 2:
+                    columns = (c for part in spaced for c in
+                               ([("", 0.0), (" ", COST_SPACED)], *lattice(part)))
                     found.update(viterbi(columns, self.model).split())
-                spaced = []
+                spaced, letters = [], 0
         return found
 
 

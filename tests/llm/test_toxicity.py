@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -44,6 +45,30 @@ def test_noise_is_taken_out(model):
     assert set(restore.words("Thing, of the “thin” ones.")) == {"thing", "of", "the", "thin", "ones"}
 
 
+def test_every_noisy_token_is_decoded(model):
+    restore = toxicity.Restorer(model.characters)
+    joined = restore.words("you_are_a_stupid_idiot_and_a_worthless_clown")
+    assert {"stupid", "idiot", "worthless", "clown"} <= set(joined)
+    for mark in "_.-":
+        text = mark.join(["the", "stupid", "idiot"] * 500)
+        assert restore.words(text)["idiot"] > 400, mark
+    for noisy, word in (("stu" + 40 * "u" + "pid", "stupid"), ("1d107", "idiot"), ("1d1o7", "idiot")):
+        assert word in restore.words(f"of {noisy} the"), noisy
+    assert "".join(restore.words("a55")).isalpha()  # as or ass, as the model says
+    for spaced in ("s - t - u - p - i - d", "s t - u p ... i d", "s -- t _ u _ p _ i _ d"):
+        assert "stupid" in restore.words(f"you {spaced} there"), spaced
+    assert not restore.words("- -- ... - ---")
+
+
+def test_long_tokens_cost_linear_memory(model):
+    columns = toxicity.lattice("i1" * 200_000)
+    tracemalloc.start()
+    text = toxicity.viterbi(columns, model.characters)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(text) >= 200_000 and peak < 200e6
+
+
 def test_held_out_documents(spark, sf_medium):
     labels = {r.doc_id: r.toxic for r in read_table(spark, sf_medium, "labels").collect()}
     got = queries.op6_toxicity(spark, sf_medium).collect()
