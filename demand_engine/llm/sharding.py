@@ -10,7 +10,11 @@ a group larger than ``1 / UNITS`` of a shard's share in any dimension is an item
 of its own (there are at most 3 * UNITS * shards of those), all other groups are
 dealt by their hash to ``UNITS * shards`` bundles, each an item. A group larger
 than a whole shard cannot stay together: its rows are cut by the hash of their
-doc_id into pieces of about half a shard's share. Item sizes are summed by Spark;
+doc_id into pieces of about half a shard's share. Rows that repeat both text and
+doc_id (or have none) and are together larger than ``1 / UNITS`` of a share are cut,
+and dealt to runs, by their number in the written table instead: they are
+interchangeable, so which of them goes where depends on the files, the counts only
+by chance. Item sizes are summed by Spark;
 at most 4 * UNITS * shards rows plus the pieces reach the driver and go back as
 the assignment table.
 
@@ -96,13 +100,23 @@ def shard_rows(docs: DataFrame, shards: int = 40, units: int = UNITS) -> DataFra
                                          "slot long")
     share = np.array([max(total[d], 1) / shards for d in _DIMENSIONS])
     largest = F.greatest(*[F.col(d) / float(s) for d, s in zip(_DIMENSIONS, share)])
-    big = (rows.groupBy("group").agg(*sums).filter(largest > 1 / units)  # <= 3 * units * shards
-           .select("group", F.when(largest > 1, F.ceil(largest * 2)).otherwise(1).cast("long")
-                   .alias("pieces")))
+    big = materialize(
+        rows.groupBy("group").agg(*sums).filter(largest > 1 / units)  # <= 3 * units * shards
+        .select("group", F.when(largest > 1, F.ceil(largest * 2)).otherwise(1).cast("long")
+                .alias("pieces")))
+    repeated = (rows.join(F.broadcast(big), "group").groupBy("group", "doc_id").agg(*sums)
+                .filter((largest > 1 / units) & (F.col("rows") > 1))  # <= 3 * units * shards
+                .select(F.col("group").alias("g"), F.col("doc_id").alias("d"),
+                        F.lit(True).alias("again")))
+    numbered = (rows.withColumn("at", F.monotonically_increasing_id())
+                .join(F.broadcast(big), "group", "left")
+                .join(F.broadcast(repeated), (F.col("group") == F.col("g"))
+                      & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+                .withColumn("deal", F.when(F.col("again"), F.xxhash64("at"))))
     bundle = F.pmod(F.xxhash64(F.lit(3), F.col("group")), F.lit(units * shards))
-    piece = F.pmod(F.xxhash64("doc_id"), F.col("pieces"))
-    items = materialize(rows.join(F.broadcast(big), "group", "left").select(
-        "doc_id", "size", "text_crc32", "tokens",
+    piece = F.pmod(F.coalesce("deal", F.xxhash64("doc_id")), F.col("pieces"))
+    items = materialize(numbered.select(
+        "doc_id", "size", "text_crc32", "tokens", "deal",
         F.when(F.col("pieces").isNull(), F.struct(bundle.alias("a"), F.lit(-1).cast("long").alias("b")))
         .otherwise(F.struct(F.col("group").alias("a"), piece.alias("b"))).alias("item")))
     sizes = items.groupBy("item").agg(*sums).orderBy("item").collect()
@@ -111,7 +125,8 @@ def shard_rows(docs: DataFrame, shards: int = 40, units: int = UNITS) -> DataFra
                                  "item struct<a:long,b:long>, shard int")
     placed = items.join(F.broadcast(plan), "item").select(
         "doc_id", "size", "text_crc32", "shard",
-        F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(RUNS)).cast("int").alias("run"))
+        F.pmod(F.when(F.col("deal").isNotNull(), F.xxhash64(F.lit(5), "deal"))
+               .otherwise(F.xxhash64("doc_id", "text_crc32")), F.lit(RUNS)).cast("int").alias("run"))
     placed = materialize(placed)
     before = W.partitionBy("shard").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
     offsets = (placed.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n"))

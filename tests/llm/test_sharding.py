@@ -51,6 +51,17 @@ def test_a_group_larger_than_a_shard_is_cut_evenly(spark):
     assert load.max() / load.min() < 1.02
 
 
+def test_repeated_rows_and_copies_without_doc_id_are_cut_evenly(spark):
+    for doc_id in (7, None):
+        texts = [(doc_id, "copied text " * 20)] * 3000 + [(5000 + i, f"own text {i} " * 20)
+                                                          for i in range(6000)]
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+        out = sharding.shard_rows(docs, 10).collect()
+        check(out, texts, 10)
+        load = np.bincount([r.shard for r in out], weights=[r.size for r in out], minlength=10)
+        assert load.max() / load.min() < 1.02
+
+
 def test_pack_prefers_room_in_the_scarce_dimension():
     shard = sharding.pack(np.array([[0.9, 0.1], [0.1, 0.9], [0.1, 0.85], [0.85, 0.1]]), 2)
     assert shard[0] != shard[3] or shard[1] != shard[2]
