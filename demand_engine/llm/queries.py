@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, pii, secrets, sharding, simhash, sketch, substring, toxicity
+from . import (align, bpe, decontaminate, exact, langid, merkle, pii, secrets, sharding, simhash,
+               sketch, substring, toxicity)
 from .common import fold_of, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,107 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.regexp_count("base", F.lit(f"(^|,){kind}:")).cast("long").alias(f"n_{kind}")
                     for kind in secrets.BASE_KINDS],
         F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+@register
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.deduplicate(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept",
+                        F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLE_SQL["op11_exact_dedup"] = r"""
+WITH normal AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_points,
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+SELECT doc_id, first_value(doc_id) OVER longest AS keep_id,
+       count(*) OVER (PARTITION BY t) AS group_size,
+       row_number() OVER longest = 1 AS kept, sha256(t) AS text_sha256
+FROM normal WINDOW longest AS (PARTITION BY t ORDER BY n_points DESC, doc_id)
+"""
+
+
+@register
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return align.linked_counts(read_table(spark, sf_dir, "documents"),
+                               public_tokenizers.path("byte_bpe_50k.json"),
+                               public_tokenizers.path("piece_bpe_32k.model"),
+                               public_tokenizers.PATTERN)
+
+
+@register
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    changed = [F.translate("text", "\n", "") if f == "text" else F.col(f) for f in merkle.FIELDS]
+    hit = fold_of(F.col("doc_id"), 2) == 0
+    rows = merkle.manifest(docs, {"tampered": F.when(hit, merkle.leaf_hash(changed))})
+    rows = merkle.refolded(rows.withColumn("met", F.coalesce("tampered", "leaf")), "met")
+    return rows.select(
+        "doc_id", *[F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")],
+        F.sha2(F.lower(F.hex("witness")).cast("binary"), 256).alias("proof_sha256"),
+        F.lower(F.hex("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"))
+
+
+ORACLE_SQL["op13_merkle_manifest"] = r"""
+WITH RECURSIVE field AS (
+  SELECT doc_id, source, text, CAST(doc_id AS VARCHAR) AS a, source AS b, lang AS c,
+         CAST(n_chars AS VARCHAR) AS d FROM documents),
+leaf AS (
+  SELECT doc_id, source, concat(
+           coalesce(strlen(a) || ':' || a, '-'), coalesce(strlen(b) || ':' || b, '-'),
+           coalesce(strlen(c) || ':' || c, '-'), coalesce(strlen(d) || ':' || d, '-')) AS head,
+         text, replace(text, chr(10), '') AS changed FROM field),
+hashed AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(changed) || ':' || changed, '-')) AS tampered,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+         -- CRC-32, bit by bit; its complement is even where the register is odd
+         list_reduce(list_concat([4294967295], list_transform(
+             str_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, z: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) & 1 = 1
+           AS even
+  FROM leaf),
+level AS (
+  SELECT source, 0 AS lvl, list(leaf ORDER BY pos) AS nodes FROM hashed GROUP BY source
+  UNION ALL
+  SELECT source, lvl + 1, list_transform(range(1, len(nodes) + 1, 3),
+           lambda i: sha256(array_to_string(nodes[i:i + 2], '')))
+  FROM level WHERE len(nodes) > 1),
+top AS (
+  SELECT source, nodes[1] AS subroot,
+         row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS spos
+  FROM level WHERE len(nodes) = 1),
+above AS (
+  SELECT 0 AS lvl, list(subroot ORDER BY spos) AS nodes FROM top
+  UNION ALL
+  SELECT lvl + 1, list_transform(range(1, len(nodes) + 1, 3),
+           lambda i: sha256(array_to_string(nodes[i:i + 2], '')))
+  FROM above WHERE len(nodes) > 1),
+height AS (SELECT source, max(lvl) AS h FROM level GROUP BY source),
+step AS (
+  SELECT source, lvl, nodes FROM level WHERE len(nodes) > 1
+  UNION ALL
+  SELECT h.source, h.h + above.lvl, above.nodes FROM above, height h WHERE len(above.nodes) > 1),
+walk AS (
+  SELECT doc_id, hashed.source, 0 AS lvl, pos, spos, h, '' AS proof,
+         CASE WHEN even THEN tampered ELSE leaf END AS node
+  FROM hashed JOIN top ON hashed.source IS NOT DISTINCT FROM top.source
+  JOIN height ON hashed.source IS NOT DISTINCT FROM height.source
+  UNION ALL
+  SELECT doc_id, w.source, w.lvl + 1, CASE WHEN w.lvl + 1 = h THEN spos ELSE pos // 3 END, spos, h,
+         proof || array_to_string(list_filter(nodes[pos // 3 * 3 + 1:pos // 3 * 3 + 3],
+                                              lambda x, i: i <> pos % 3 + 1), ''),
+         sha256(array_to_string(list_transform(nodes[pos // 3 * 3 + 1:pos // 3 * 3 + 3],
+                                               lambda x, i: CASE WHEN i = pos % 3 + 1 THEN node
+                                                                 ELSE x END), ''))
+  FROM (SELECT * REPLACE (CASE WHEN lvl = 0 AND h = 0 THEN spos ELSE pos END AS pos) FROM walk) w
+  JOIN step s ON w.source IS NOT DISTINCT FROM s.source AND w.lvl = s.lvl)
+SELECT w.doc_id, leaf, subroot, nodes[1] AS root, sha256(proof) AS proof_sha256,
+       node AS folded_root, node = nodes[1] AS verified
+FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lvl DESC) = 1) w
+JOIN hashed USING (doc_id) JOIN top ON hashed.source IS NOT DISTINCT FROM top.source
+JOIN above ON len(above.nodes) = 1
+"""
