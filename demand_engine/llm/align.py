@@ -53,10 +53,11 @@ from .bpe import _pack, _ragged, _unpack
 from .common import doc_texts, map_stream, materialize
 
 #: Characters of text in one batch of the alignment, and in one block of the counts.
-BATCH_CHARS = 500_000
+BATCH_CHARS = 1_500_000
 BLOCK_CHARS = 4_000_000
 SPACE = "▁"
-_CUT = re.compile(r"(?<=\S)(?= )")
+#: Spaces and what follows, up to a space after a character that is not white space.
+_PIECE = re.compile(r" +[^ ]*(?:(?<=\s) +[^ ]*)*")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -90,6 +91,8 @@ class Tokenizers:
             raise ValueError("a piece holds a space inside; texts cannot be cut at spaces")
         self._bytes_b = [bytes([int(p[3:5], 16)]) if self._b.is_byte(i)
                          else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        ids = range(max(len(self._len_a), len(pieces)))
+        self.texts = np.array([[f"{i}{mark}" for mark in ",|;"] for i in ids], object)
         self._lone_space = pieces.index(SPACE)
         self._len_b = np.fromiter(map(len, self._bytes_b), np.int64, len(pieces))
 
@@ -154,7 +157,7 @@ def overlaps(start_a: np.ndarray, start_b: np.ndarray) -> tuple[np.ndarray, np.n
 def tokens_of(texts: list[str], tokenizers: Tokenizers):
     """Flat ids of both sides and the ends of each document's tokens."""
     numbers: dict[str, int] = defaultdict(itertools.count().__next__)
-    parts = [np.fromiter(map(numbers.__getitem__, _CUT.split(" " + t) if t else ()), np.int64)
+    parts = [np.fromiter(map(numbers.__getitem__, _PIECE.findall(" " + t) if t else ()), np.int64)
              for t in texts]
     pieces = list(numbers)
     ids_a = tokenizers.a(pieces)
@@ -185,19 +188,17 @@ def align_batch(texts: list[str], tokenizers: Tokenizers) -> Aligned:
                    np.searchsorted(group_a, ends_a, side="right"))
 
 
-def group_texts(found: Aligned) -> Iterator[str]:
-    """``a1,a2|b1;a3|b2,b3`` of each document, '' without tokens."""
-    # one text per token with the mark that follows it; the sides' runs are then interleaved
-    marks_a, marks_b = np.full(len(found.a), ","), np.full(len(found.b), ",")
-    marks_a[found.group_a - 1], marks_b[found.group_b - 1] = "|", ";"
-    text_a = np.array([f"{i}{m}" for i, m in zip(found.a.tolist(), marks_a.tolist())], object)
-    text_b = np.array([f"{i}{m}" for i, m in zip(found.b.tolist(), marks_b.tolist())], object)
-    every = np.empty(len(text_a) + len(text_b), object)
-    before_b = np.searchsorted(found.group_a, np.arange(1, len(found.a) + 1))  # groups before
-    ends_b = np.concatenate([[0], found.group_b])
-    every[np.arange(len(text_a)) + ends_b[before_b]] = text_a
-    group_of_b = np.searchsorted(found.group_b, np.arange(1, len(found.b) + 1))
-    every[np.arange(len(text_b)) + found.group_a[group_of_b] if len(text_b) else []] = text_b
+def group_texts(found: Aligned, texts: np.ndarray) -> Iterator[str]:
+    """``a1,a2|b1;a3|b2,b3`` of each document, '' without tokens; ``texts`` has every
+    id with each mark after it."""
+    # every token's text with the mark that follows it; a group's A tokens, then its B tokens
+    sizes_a, sizes_b = (np.diff(np.concatenate([[0], x])) for x in (found.group_a, found.group_b))
+    mark_a, mark_b = np.zeros(len(found.a), np.int64), np.zeros(len(found.b), np.int64)
+    mark_a[found.group_a - 1], mark_b[found.group_b - 1] = 1, 2
+    every = np.empty(len(found.a) + len(found.b), object)
+    every[np.arange(len(found.a)) + np.repeat(found.group_b - sizes_b, sizes_a)] = \
+        texts[found.a, mark_a]
+    every[np.arange(len(found.b)) + np.repeat(found.group_a, sizes_b)] = texts[found.b, mark_b]
     start = 0
     for end in (found.ends_a + found.ends_b).tolist():
         yield "".join(every[start:end].tolist())[:-1]
@@ -236,7 +237,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, pattern: str) -> Dat
             yield (ids, [found.a[a[i]:a[i + 1]] for i in range(len(ids))],
                    [found.b[b[i]:b[i + 1]] for i in range(len(ids))],
                    [[{"a": x, "b": y} for x, y in pairs.tolist()] for pairs in links],
-                   list(group_texts(found)))
+                   list(group_texts(found, tokenizers.texts)))
 
     return map_stream(doc_texts(docs), run, "doc_id long, a_ids array<int>, b_ids array<int>, "
                       "links array<struct<a:int,b:int>>, groups string")
@@ -280,7 +281,7 @@ def _blocks(docs: DataFrame, files, pattern: str) -> DataFrame:
                        for x in (found.ends_a, found.ends_b, found.cuts)]
             links = np.bincount(found.doc, minlength=len(ids)).tolist()
             digests = [hashlib.sha256(t.encode()).hexdigest() if t else ""
-                       for t in group_texts(found)]
+                       for t in group_texts(found, tokenizers.texts)]
             rows += [{"doc_id": i, "n_a": x, "n_b": y, "n_groups": g, "n_links": k,
                       "groups_sha256": d}
                      for i, x, y, g, k, d in zip(ids, *per_doc, links, digests)]

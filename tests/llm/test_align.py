@@ -121,7 +121,7 @@ def test_overlaps_of_any_cuts(cuts):
 def test_tokens_of_any_text_as_the_libraries(text):
     found = align.align_batch([text], TOKENIZERS)
     a, b, _, groups = brute_one(text)
-    assert (found.a.tolist(), found.b.tolist(), *align.group_texts(found)) == (a, b, groups)
+    assert (found.a.tolist(), found.b.tolist(), *align.group_texts(found, TOKENIZERS.texts)) == (a, b, groups)
 
 
 with open(BYTES, "rb") as _a, open(PIECES, "rb") as _b:
