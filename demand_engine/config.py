@@ -44,18 +44,20 @@ class ForecastConfig:
     # leaves (depth 5; the original allows 31), early stop on a validation set.
     gbt_max_iter: int = 1000
     gbt_patience: int = 50
-    # Rounds of the first fit; doubled until the patience rule stops (or the
-    # maximum is reached). Not less than the patience, else the rule cannot act.
-    gbt_first_rounds: int = 64
+    # Rounds of one fit. Further chunks of as many rounds are fitted on the residuals
+    # of those before until the patience rule stops (or the maximum is reached).
+    gbt_chunk_rounds: int = 50
     gbt_max_depth: int = 5
     gbt_step_size: float = 0.05
     gbt_subsampling_rate: float = 0.8
     gbt_feature_subset: str = "0.9"
     gbt_seed: int = 42
-    # Interval model: quantiles in the leaves of a small forest.
-    quantile_trees: int = 8
-    quantile_tree_depth: int = 5
-    quantile_min_instances: int = 100
+    # Interval models: pinball boosting, one small tree a round, for each bound.
+    quantile_rounds: int = 40
+    quantile_step: float = 0.2
+    quantile_patience: int = 5
+    quantile_tree_depth: int = 4
+    quantile_min_instances: int = 50
     # Recursion: checkpoint the state frame every n steps to cut lineage.
     checkpoint_every: int = 5
     extra: dict = field(default_factory=dict)

@@ -456,9 +456,23 @@ def q_boosted_fit_summary(spark, sf):
 
 @register("leaf_quantiles")
 def q_leaf_quantiles(spark, sf):
-    split = FO.train_test_split(_features(spark, sf), DEFAULT.test_days).filter("is_train")
-    model = BO.fit_interval_model(split, DEFAULT)
-    return spark.createDataFrame(model.leaves, "tree int, leaf int, lower_q double, upper_q double")
+    table = BO.training_table(_features(spark, sf), DEFAULT)
+    model = BO.fit_interval_model(BO.part_of(table, "interval"), DEFAULT, None, "__valid")
+    rows = [(name, *leaf) for name, side in (("lower", model.lower), ("upper", model.upper))
+            for leaf in side.leaves]
+    return spark.createDataFrame(rows, "bound string, tree int, leaf int, value double")
+
+
+@register("pinball_leaves_stand_in")
+def q_pinball_leaves(spark, sf):
+    """One round's leaf values, with series and weekday as the leaf and last week's
+    value as the bound so far."""
+    f = _features(spark, sf).withColumn("leaf", F.concat_ws("/", "drug_code", "day_of_week"))
+    error = (F.col("quantity_sold") - F.col("lag_7")).cast("double")
+    low, high = (BO.leaf_quantiles(f, "leaf", error, a).withColumnRenamed("value", name)
+                 for a, name in ((DEFAULT.interval_alpha_low, "lower_value"),
+                                 (DEFAULT.interval_alpha_high, "upper_value")))
+    return low.join(high, "leaf")
 
 
 def _predicted(spark, sf, series="p_type"):

@@ -50,31 +50,31 @@ def eligible_features(sales: DataFrame, cfg: ForecastConfig = DEFAULT) -> DataFr
                           cfg.min_history_days)
 
 
-def evaluate(features: DataFrame, cfg: ForecastConfig = DEFAULT):
+def evaluate(features: DataFrame, cfg: ForecastConfig = DEFAULT, table: DataFrame | None = None):
     """(baseline cv, boosted cv) on the same positional folds.
 
     Baselines need 30 training rows per fold, the boosted model 90; as in the
     original, only series with at least one boosted fold enter the comparison.
     """
-    boosted_folds = BO.walk_forward_validate(features, cfg)
+    boosted_folds = BO.walk_forward_validate(features, cfg, table=table)
     boosted = BO.boosted_cv_summary(boosted_folds)
     base = B.evaluate_baselines_cv(features, cfg.cv_folds, cfg.test_days, cfg)
     base = base.join(boosted.select("drug_code"), "drug_code", "left_semi")
     return base, boosted
 
 
-def train_production(features: DataFrame, cfg: ForecastConfig = DEFAULT) -> BO.BoostedModels:
-    """Point + interval model on all but the last ``test_days`` days of each
-    series; the held-out days drive early stopping (as in the original)."""
-    features = BO.with_scale(features)
-    split = FO.train_test_split(features, cfg.test_days)
+def train_production(features: DataFrame, cfg: ForecastConfig = DEFAULT,
+                     table: DataFrame | None = None) -> BO.BoostedModels:
+    """Point + interval models on all but the last ``test_days`` days of each
+    series; the held-out days drive early stopping of the point model (as in the
+    original), the last days of the training part that of the bounds."""
+    if table is None:
+        table = BO.training_table(features, cfg)
     cols = BO.model_columns(cfg)
-    # the interval is calibrated on the last days of the training part
-    tail = BO.with_validation_tail(split.filter("is_train"), cfg.test_days, "__tail")
     with ThreadPoolExecutor(max_workers=2) as pool:
-        point = pool.submit(BO.fit_point, split.withColumn("__valid", ~F.col("is_train")),
-                            cfg, cols, "__valid")
-        interval = pool.submit(BO.fit_interval_model, tail, cfg, cols, "__tail")
+        point = pool.submit(BO.fit_point, BO.part_of(table, "production"), cfg, cols, "__valid")
+        interval = pool.submit(BO.fit_interval_model, BO.part_of(table, "interval"), cfg, cols,
+                               "__valid")
         fitted = interval.result()
         model, rounds = point.result()
         return BO.BoostedModels(model, fitted, cols, rounds=rounds)
@@ -90,7 +90,7 @@ def series_fingerprint(features: DataFrame) -> str:
 
 
 def load_or_train(features: DataFrame, cfg: ForecastConfig, model_path: str | None,
-                  retrain: bool) -> BO.BoostedModels:
+                  retrain: bool, table: DataFrame | None = None) -> BO.BoostedModels:
     spark = features.sparkSession
     series = series_fingerprint(features) if model_path else None
     if model_path and not retrain:
@@ -98,7 +98,7 @@ def load_or_train(features: DataFrame, cfg: ForecastConfig, model_path: str | No
             return BO.load_models(spark, model_path, cfg, series)
         except FileNotFoundError:
             pass
-    models = train_production(features, cfg)
+    models = train_production(features, cfg, table)
     if model_path:
         models.series = series
         BO.save_models(models, model_path, spark)
@@ -112,10 +112,11 @@ def run_forecast(sales: DataFrame, cfg: ForecastConfig = DEFAULT, store: Parquet
         store.upsert_items(item_metadata(sales))
         store.upsert_sales(sales)
     features = eligible_features(sales, cfg).persist(StorageLevel.MEMORY_AND_DISK)
-    # evaluation fits and production fits are independent jobs: run them together
+    # evaluation fits and production fits are independent jobs over one training table
+    table = BO.training_table(features, cfg)
     with ThreadPoolExecutor(max_workers=2) as pool:
-        evaluated = pool.submit(evaluate, features, cfg)
-        trained = pool.submit(load_or_train, features, cfg, model_path, retrain)
+        evaluated = pool.submit(evaluate, features, cfg, table)
+        trained = pool.submit(load_or_train, features, cfg, model_path, retrain, table)
         base_cv, boosted_cv = evaluated.result()
         models = trained.result()
     # three reports read the CV tables (one row per series and model): keep them

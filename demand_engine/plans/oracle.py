@@ -449,6 +449,15 @@ FROM (SELECT e.drug_code, e.idx, CAST({NF} + 1 - k AS INTEGER) AS fold, e.n - k
       FROM enough e, range(1, {NF} + 1) f(k))
 WHERE start >= {DEFAULT.min_history_days} AND idx < start + {T}
 GROUP BY ALL"""
+    q["pinball_leaves_stand_in"] = _with(SALES_SQL, POS, eligible) + f"""
+SELECT leaf, max(error) FILTER (WHERE r = greatest(1, ceil({DEFAULT.interval_alpha_low} * m))) AS lower_value,
+       max(error) FILTER (WHERE r = ceil({DEFAULT.interval_alpha_high} * m)) AS upper_value
+FROM (SELECT leaf, error, row_number() OVER (PARTITION BY leaf ORDER BY error) AS r,
+             count(*) OVER (PARTITION BY leaf) AS m
+      FROM (SELECT e.drug_code || '/' || (isodow(e.date) - 1) AS leaf,
+                   CAST(e.quantity_sold - coalesce(b.quantity_sold, 0) AS DOUBLE) AS error
+            FROM enough e LEFT JOIN enough b ON b.drug_code = e.drug_code AND b.idx = e.idx - 7))
+GROUP BY leaf"""
     last_known = """ends AS (SELECT drug_code, max(date) AS last FROM enough GROUP BY 1)"""
     steps = f"""steps AS (SELECT e.*, unnest(range(1, {H} + 1)) AS i FROM ends e)"""
     # lag 1 repeats the last value; lag 7 repeats the last seven days (0 if missing)
