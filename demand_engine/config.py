@@ -46,7 +46,7 @@ class ForecastConfig:
     gbt_patience: int = 50
     # Rounds of one fit. Further chunks of as many rounds are fitted on the residuals
     # of those before until the patience rule stops (or the maximum is reached).
-    gbt_chunk_rounds: int = 50
+    gbt_chunk_rounds: int = 30
     gbt_max_depth: int = 5
     gbt_step_size: float = 0.05
     gbt_subsampling_rate: float = 0.8

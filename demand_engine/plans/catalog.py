@@ -11,6 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,9 @@ from ..sources import store as S
 from ..sources import tables as TB
 from ..sources import wide as W
 from . import reports as R
-from .fixture import demo_store
-from .forecast_run import eligible_features, evaluate, train_production
+from .fixture import RUN_1, demo_store
+from .forecast_run import (eligible_features, evaluate, forecast_through_store,
+                           train_production)
 
 # Parameters of the parameterised report queries.
 FILTER_CODE = "PROMO"
@@ -300,6 +302,104 @@ def q_store_delete(spark, sf):
         "drug_id", "drug_code", "date", "quantity_sold")
 
 
+@register("store_created_at")
+def q_store_created_at(spark, sf):
+    """After a second batch: rows by whether their created_at is the first write's (known
+    keys keep it, new keys get that of their own batch)."""
+    st = _scratch_store(spark)
+    st.upsert_items(W.item_metadata(_sales(spark, sf)))
+    first = st.upsert_sales(_old_sales(spark, sf)).agg(F.max("created_at")).first()[0]
+    new = TB.line_counts_daily(spark, sf).filter(F.col("date") >= F.lit(SALES_NEW_FROM))
+    rows = st.upsert_sales(new).withColumn("from_first_write", F.col("created_at") <= F.lit(first))
+    return rows.groupBy("drug_id", "from_first_write").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("created_at").alias("n_stamped"),
+        F.countDistinct("created_at").alias("n_stamps"))
+
+
+@register("json_round_trip")
+def q_json_round_trip(spark, sf):
+    """Latest forecasts written as JSON records and read back."""
+    latest = S.latest_forecasts(demo_store(spark, sf).forecasts)
+    path = f"{ensure_checkpoint_dir(spark)}/json-{uuid.uuid4().hex}"
+    S.write_json(latest, path)
+    return spark.read.schema(latest.schema).json(path)
+
+
+@register("csv_ingest")
+def q_csv_ingest(spark, sf):
+    """The wide table as CSV with some broken lines, loaded again: the long rows."""
+    good, _ = W.load_wide_csv(spark, _wide_csv(spark, sf))
+    return W.wide_to_long(good)
+
+
+@register("csv_rejected")
+def q_csv_rejected(spark, sf):
+    """Of the same file: the lines that were turned away, by reason."""
+    _, rejected = W.load_wide_csv(spark, _wide_csv(spark, sf))
+    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+def _wide_csv(spark, sf):
+    """Wide sales as CSV text; every 40th day of the year has a letter in place of its
+    first number, every 41st no readable date."""
+    wide = TB.wide_sales(spark, sf)
+    first, *others = [c for c in wide.columns if c != "datum"]
+    day, date = F.dayofyear("datum"), F.col("datum").cast("string")
+    text = wide.select(
+        F.when(day % 41 == 0, F.concat(F.lit("day "), date)).otherwise(date).alias("datum"),
+        F.when(day % 40 == 0, F.lit("x")).otherwise(F.col(first).cast("string")).alias(first),
+        *others)
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    text.write.option("header", True).csv(path)
+    return path
+
+
+@register("registered_forecaster")
+def q_registered_forecaster(spark, sf):
+    """A user's forecaster (the mean of the history, one deviation wide) through the
+    registry and the plan of the built-in ones."""
+    def mean(stats, pos, cfg):
+        return (stats["hist_mean"], stats["hist_mean"] - stats["hist_std"],
+                stats["hist_mean"] + stats["hist_std"])
+
+    B.register_forecaster("History Mean", mean)
+    try:
+        return round_doubles(B.baseline_forecasts(_sales(spark, sf), DEFAULT.horizon,
+                                                  models=["History Mean"]))
+    finally:
+        B.unregister_forecaster("History Mean")
+
+
+@register("model_reload")
+def q_model_reload(spark, sf):
+    """Change of each prediction and bound when the models are saved and loaded again."""
+    cfg = replace(DEFAULT, gbt_max_iter=4, gbt_chunk_rounds=2, quantile_rounds=3)
+    feats = _features(spark, sf)
+    table = BO.training_table(feats, cfg)
+    models = train_production(feats, cfg, table)
+    path = f"{ensure_checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    BO.save_models(models, path, spark)
+    held = table.filter("production = 'valid'").select("drug_code", "date", "features")
+    before = BO.predict(models, held)
+    columns = ("predicted_demand", "lower_ci", "upper_ci")
+    after = BO.predict(BO.load_models(spark, path, cfg), held).withColumnsRenamed(
+        {c: f"__{c}" for c in columns})
+    return before.join(after, ["drug_code", "date"]).select(
+        "drug_code", "date", *[F.abs(F.col(c) - F.col(f"__{c}")).alias(f"{c}_change") for c in columns])
+
+
+@register("forecasting_run_stand_in")
+def q_forecasting_run_stand_in(spark, sf):
+    """The whole run through a store, with last week's value as the model."""
+    st = _scratch_store(spark)
+    forecast_through_store(_sales(spark, sf), lambda df: df.withColumn("prediction", F.col("lag_7")),
+                           st, "Last Week", RUN_1)
+    stored = st.read("forecasts_daily")
+    return stored.join(st.read("drugs").select(F.col("id").alias("drug_id"), "drug_code"), "drug_id").select(
+        "drug_id", "drug_code", "forecast_date", "run_timestamp", "predicted_demand", "lower_ci",
+        "upper_ci", "model_name")
+
+
 @register("sales_with_ids")
 def q_sales_with_ids(spark, sf):
     return demo_store(spark, sf).sales

@@ -9,6 +9,7 @@ all read it); the caller releases it with ``result.features.unpersist()``.
 from __future__ import annotations
 
 import datetime as _dt
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -105,6 +106,18 @@ def load_or_train(features: DataFrame, cfg: ForecastConfig, model_path: str | No
     return models
 
 
+def forecast_through_store(sales: DataFrame, predictor: Callable[[DataFrame], DataFrame],
+                           store: ParquetStore, model_name: str, run_timestamp: _dt.datetime,
+                           cfg: ForecastConfig = DEFAULT) -> DataFrame:
+    """Load sales, build features, forecast recursively and append the run, with any
+    function that adds a ``prediction`` column in place of a fitted model."""
+    store.upsert_items(item_metadata(sales))
+    store.upsert_sales(sales)
+    steps = RC.recurse(predictor, eligible_features(sales, cfg), cfg.horizon, cfg)
+    forecasts = steps.select("drug_code", "date", *BO.bounded_prediction(F.col("__point")))
+    return store.append_forecasts(forecasts, model_name, run_timestamp)
+
+
 def run_forecast(sales: DataFrame, cfg: ForecastConfig = DEFAULT, store: ParquetStore | None = None,
                  model_path: str | None = None, retrain: bool = False,
                  run_timestamp: _dt.datetime | None = None) -> RunResult:

@@ -340,6 +340,27 @@ UNION ALL
 SELECT CAST((SELECT max(id) FROM was) + row_number() OVER (ORDER BY drug_id, date) AS BIGINT),
        drug_id, date, quantity_sold
 FROM batch b WHERE NOT EXISTS (SELECT 1 FROM was w WHERE w.drug_id = b.drug_id AND w.date = b.date)"""
+    q["store_created_at"] = loaded + f""", was AS (
+  SELECT i.id AS drug_id, s.date FROM sales_daily s JOIN items i ON i.drug_code = s.drug_code
+  WHERE s.date <= DATE '{C.SALES_OLD_UNTIL}'),
+batch AS (
+  SELECT i.id AS drug_id, l.date FROM line_counts l JOIN items i ON i.drug_code = l.drug_code
+  WHERE l.date >= DATE '{C.SALES_NEW_FROM}')
+SELECT drug_id, from_first_write, count(*) AS n_rows, count(*) AS n_stamped, CAST(1 AS BIGINT) AS n_stamps
+FROM (SELECT drug_id, true AS from_first_write FROM was
+      UNION ALL SELECT drug_id, false FROM batch b
+      WHERE NOT EXISTS (SELECT 1 FROM was w WHERE w.drug_id = b.drug_id AND w.date = b.date))
+GROUP BY ALL"""
+    readable = "dayofyear(date) % 40 <> 0 AND dayofyear(date) % 41 <> 0"
+    q["csv_ingest"] = s + f"""SELECT date, drug_code, quantity_sold FROM sales_daily WHERE {readable}"""
+    q["csv_rejected"] = s + f"""SELECT CASE WHEN dayofyear(date) % 40 = 0 THEN 'unreadable line'
+  ELSE 'unreadable date' END AS reason, count(*) AS n_lines
+FROM (SELECT DISTINCT date FROM sales_daily WHERE NOT ({readable})) GROUP BY ALL"""
+    q["registered_forecaster"] = s + f"""SELECT drug_code, 'History Mean' AS model_name,
+  CAST(last + CAST(i AS INTEGER) AS DATE) AS date, {_r('m', 'predicted_demand')},
+  {_r('m - d', 'lower_ci')}, {_r('m + d', 'upper_ci')}
+FROM (SELECT drug_code, max(date) AS last, avg(quantity_sold) AS m, stddev_samp(quantity_sold) AS d
+      FROM sales_daily GROUP BY 1), range(1, {H} + 1) t(i)"""
     q["store_delete"] = loaded + f"""SELECT i.id AS drug_id, s.drug_code, s.date, s.quantity_sold
 FROM sales_daily s JOIN items i ON i.drug_code = s.drug_code WHERE s.drug_code <> '{C.DELETED_CODE}'"""
     st = _with(*STORE)
@@ -362,6 +383,8 @@ WHERE drug_id NOT IN (SELECT id FROM items WHERE drug_code = '{C.DELETED_CODE}')
   SELECT *, row_number() OVER (PARTITION BY drug_id, forecast_date ORDER BY run_timestamp DESC, id) AS rn
   FROM forecasts) WHERE rn = 1"""
 
+    q["json_round_trip"] = q["latest_forecasts"]
+
     # reports
     view = """SELECT i.drug_code, i.drug_name, s.date, s.quantity_sold
 FROM sales s JOIN items i ON s.drug_id = i.id"""
@@ -449,6 +472,10 @@ FROM (SELECT e.drug_code, e.idx, CAST({NF} + 1 - k AS INTEGER) AS fold, e.n - k
       FROM enough e, range(1, {NF} + 1) f(k))
 WHERE start >= {DEFAULT.min_history_days} AND idx < start + {T}
 GROUP BY ALL"""
+    q["model_reload"] = _with(SALES_SQL, POS, eligible) + f"""SELECT drug_code, date,
+  CAST(0 AS DOUBLE) AS predicted_demand_change, CAST(0 AS DOUBLE) AS lower_ci_change,
+  CAST(0 AS DOUBLE) AS upper_ci_change
+FROM enough e WHERE date > (SELECT max(date) FROM enough x WHERE x.drug_code = e.drug_code) - {T}"""
     q["pinball_leaves_stand_in"] = _with(SALES_SQL, POS, eligible) + f"""
 SELECT leaf, max(error) FILTER (WHERE r = greatest(1, ceil({DEFAULT.interval_alpha_low} * m))) AS lower_value,
        max(error) FILTER (WHERE r = ceil({DEFAULT.interval_alpha_high} * m)) AS upper_value
@@ -468,6 +495,15 @@ SELECT s.drug_code, CAST(s.last + CAST(s.i AS INTEGER) AS DATE) AS date,
 FROM steps s LEFT JOIN enough e
   ON e.drug_code = s.drug_code AND e.idx >= e.n - {max(DEFAULT.lags)}
  AND e.date = s.last - CAST({lag} - 1 - (s.i - 1) % {lag} AS INTEGER)"""
+    q["forecasting_run_stand_in"] = _with(SALES_SQL, ITEMS, POS, eligible, last_known, steps) + f"""
+SELECT i.id AS drug_id, s.drug_code, CAST(s.last + CAST(s.i AS INTEGER) AS DATE) AS forecast_date,
+       TIMESTAMP '{RUN_1}' AS run_timestamp,
+       CAST(coalesce(e.quantity_sold, 0) AS DECIMAL(10, 2)) AS predicted_demand,
+       CAST(NULL AS DECIMAL(10, 2)) AS lower_ci, CAST(NULL AS DECIMAL(10, 2)) AS upper_ci,
+       'Last Week' AS model_name
+FROM steps s JOIN items i ON i.drug_code = s.drug_code LEFT JOIN enough e
+  ON e.drug_code = s.drug_code AND e.idx >= e.n - {max(DEFAULT.lags)}
+ AND e.date = s.last - CAST(7 - 1 - (s.i - 1) % 7 AS INTEGER)"""
     q["bounded_predictions"] = _with(SALES_SQL) + f"""SELECT drug_code, date,
   greatest(0, p) AS predicted_demand,
   CASE WHEN both_known THEN greatest(0, p - abs(spread)) END AS lower_ci,

@@ -299,13 +299,19 @@ class ParquetStore:
          .write.mode("errorifexists").json(f"{self.root}/{table}/manifest/v={version}"))
 
     def _write(self, table: str, df: DataFrame, part: Column | None) -> list[tuple[str, str]]:
-        """Write new data folders, one per part; their manifest entries."""
+        """Write new data folders, one per part; their manifest entries.
+
+        Rows are rebalanced by part first: a part's rows meet in one task and make one
+        file, and adaptive execution splits a part larger than the advisory
+        partition size over several tasks (one file each).
+        """
         base = f"{self.root}/{table}/data/{uuid.uuid4().hex}"
         out = conform(df, table)
         if part is None:
             out.write.parquet(base)
             return [("", base)]
-        out.withColumn("part", part).write.partitionBy("part").parquet(base)
+        (out.withColumn("part", part).hint("rebalance", "part")
+         .write.partitionBy("part").parquet(base))
         names = [st.getPath().getName() for st in self._fs.listStatus(self._Path(base))]
         return [(n[5:], f"{base}/{n}") for n in sorted(names) if n.startswith("part=")]
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import write_once
+
 # Accepted date column names (first match wins, exact case) and
 # the non-item numeric columns that a wide sales file may carry.
 DATE_COLUMN_CANDIDATES = ("datum", "date", "Date")
@@ -28,6 +30,39 @@ def load_raw_sales(spark: SparkSession, path: str, schema: T.StructType | str |
         raise
 
 
+def load_wide_csv(spark: SparkSession, path: str,
+                  date_format: str = "yyyy-MM-dd") -> tuple[DataFrame, DataFrame]:
+    """(readable lines, rejected lines) of a wide CSV with header.
+
+    Every column but the date and the known non-item columns is an item and read as
+    a number; nothing is inferred, so one bad field neither fails the load nor turns
+    its item into text. A line with a field that is no number (or too many fields)
+    is rejected as ``unreadable line``, one without a date in ``date_format`` as
+    ``unreadable date``; ``rejected`` has the line as it stood and the reason. The
+    files are read once.
+    """
+    try:
+        names = spark.read.csv(path, header=True).columns
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc):
+            raise FileNotFoundError(f"no sales file under {path}") from exc
+        raise
+    date_col = detect_date_column(names)
+    text = {date_col, *NON_ITEM_COLUMNS}
+    schema = T.StructType([T.StructField(c, T.StringType() if c in text else T.DoubleType())
+                           for c in names] + [T.StructField("__line", T.StringType())])
+    rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE",
+                          columnNameOfCorruptRecord="__line")
+    day = F.try_to_timestamp(F.col(f"`{date_col}`"), F.lit(date_format)).cast("date")
+    reason = F.when(F.col("__line").isNotNull(), "unreadable line").when(
+        F.col("__day").isNull(), "unreadable date")
+    rows = write_once(rows.withColumn("__day", day).withColumn("reason", reason))
+    good = rows.filter("reason IS NULL").select(*[
+        F.col("__day").alias(c) if c == date_col else F.col(f"`{c}`") for c in names])
+    line = F.coalesce("__line", F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in names]))
+    return good, rows.filter("reason IS NOT NULL").select(line.alias("line"), "reason")
+
+
 def detect_date_column(columns: list[str]) -> str:
     for name in DATE_COLUMN_CANDIDATES:
         if name in columns:

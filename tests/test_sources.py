@@ -114,3 +114,17 @@ def test_csv_with_schema_and_date_pattern(spark, tmp_path):
     raw = W.load_raw_sales(spark, str(p), schema="datum string, A int")
     got = sorted((str(r.date), r.quantity_sold) for r in W.wide_to_long(raw, "MM/dd/yyyy").collect())
     assert got == [("2020-01-31", 5), ("2020-02-01", 6)]
+
+
+def test_bad_lines_are_rejected_with_a_reason(spark, tmp_path):
+    p = tmp_path / "wide.csv"
+    p.write_text("Date,A,B,Year\n2020-01-01,1,2.9,2020\n2020-01-02,x,3,2020\nyesterday,4,5,2020\n"
+                 "2020-01-04,6,,2020\n2020-01-05,7,8,2020,9\n")
+    good, rejected = W.load_wide_csv(spark, str(p))
+    long = sorted((str(r.date), r.drug_code, r.quantity_sold) for r in W.wide_to_long(good).collect())
+    assert long == [("2020-01-01", "A", 1), ("2020-01-01", "B", 2), ("2020-01-04", "A", 6)]
+    assert sorted((r.reason, r.line.split(",")[0]) for r in rejected.collect()) == [
+        ("unreadable date", "yesterday"), ("unreadable line", "2020-01-02"),
+        ("unreadable line", "2020-01-05")]
+    with pytest.raises(FileNotFoundError):
+        W.load_wide_csv(spark, str(tmp_path / "nope.csv"))

@@ -176,3 +176,29 @@ def test_forecast_runs_and_delete_with_cascade(spark, loaded, demo):
                for t in ("sales_daily", "forecasts_daily"))
     new = loaded.append_forecasts(fc.filter("drug_code <> 'PROMO'"), "Naive", dt.datetime(2024, 3, 3))
     assert new.agg(F.max("id")).first()[0] == 17                            # ids are never reused
+
+
+def test_a_part_is_one_file_and_a_large_one_is_split(spark, tmp_path):
+    """50 shuffle partitions: files per month at most bytes / target + 1."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",
+                                             "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        store = S.ParquetStore(spark, str(tmp_path / "s"))
+        rows = spark.range(60_000).repartition(50).select(
+            F.col("id"), (F.col("id") % 7).alias("drug_id"),
+            F.expr("date_add(date'2020-01-01', CAST(id % 60 AS INT))").alias("date"),
+            F.lit(1).alias("quantity_sold"), F.lit(None).cast("timestamp_ntz").alias("created_at"))
+        month = F.date_format("date", "yyyy-MM")
+        import pathlib
+
+        def files(entries):
+            return {part: len(list(pathlib.Path(path.removeprefix("file:")).glob("part-*"))) for part, path in entries}
+
+        assert files(store._write("sales_daily", rows, month)) == {"2020-01": 1, "2020-02": 1}
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+        split = files(store._write("sales_daily", rows, month))
+        assert all(1 < n <= 30_000 * 40 // 200_000 + 1 for n in split.values()), split
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
