@@ -19,7 +19,7 @@ are reduced to a spanning forest before they leave the task; equal fingerprints
 are folded before the search. Components are taken on the forests.
 
 Cases: null or empty text: fingerprint zero, linked like any other. Repeated
-rows and doc_ids are kept row by row. A row without doc_id gets the component of
+rows and doc_ids are judged row by row. A row without doc_id gets the component of
 its fingerprint, or null if no row with a doc_id has that fingerprint.
 """
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_texts, map_columns, map_stream, materialize
+from .common import doc_texts, map_columns, map_stream, materialize, text_key
 from .components import connected_components
 
 #: (first bit, bits, radius) of each segment, for distance 4.
@@ -65,9 +65,12 @@ def simhash(text: str, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` per row; ``fp`` is the signed view of the 64 bits."""
-    return map_columns(doc_texts(docs), lambda ids, texts: (
-        ids, [simhash(t, shingle, seed) for t in texts]), "doc_id long, fp long")
+    """``(doc_id, k1, k2, fp)`` per row; ``fp`` is the signed view of the 64 bits, ``k1``
+    and ``k2`` stand for the text."""
+    texts = doc_texts(docs).select("doc_id", "text", *text_key(F.col("text")))
+    return map_columns(texts, lambda ids, texts, k1, k2: (
+        ids, k1, k2, [simhash(t, shingle, seed) for t in texts]),
+        "doc_id long, k1 long, k2 long, fp long")
 
 
 def _segment(first: int, bits: int) -> str:
@@ -180,23 +183,38 @@ def links(reps: DataFrame, distance: int = 4, segments=SEGMENTS, cell: int = CEL
                       arrays=True)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4,
-                    seed: int = 42) -> DataFrame:
-    """``(doc_id, fp, component_id)``, one row per row of ``docs``."""
-    fps = materialize(fingerprints(docs, shingle, seed))
+def _components(fps: DataFrame, distance: int) -> DataFrame:
+    """``(fp, component_id)`` of every fingerprint that a row with a doc_id has."""
     reps = materialize(fps.filter("doc_id IS NOT NULL").groupBy("fp")
                        .agg(F.min("doc_id").alias("node")))
     found = connected_components(links(reps, distance))
-    named = reps.join(found, "node", "left").select(
+    return reps.join(found, "node", "left").select(
         "fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4,
+                    seed: int = 42) -> DataFrame:
+    """``(doc_id, fp, component_id)``, one row per row of ``docs``."""
+    fps = materialize(fingerprints(docs, shingle, seed).select("doc_id", "fp"))
+    return fps.join(_components(fps, distance), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row
-    whose doc_id names it (one of them, should that doc_id be repeated). Rows
-    without doc_id cannot be named and stay."""
-    stay = (near_duplicates(docs, shingle, distance).filter("doc_id = component_id")
-            .select("doc_id").distinct())
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    """The rows of ``docs`` without near-duplicates: of each component one row, with the
+    doc_id that names it. Rows are told apart by doc_id and text, so different
+    documents under one doc_id are judged each by its own fingerprint; of several in
+    one component the text with the smallest key stays, of repeated rows any one.
+    Rows without doc_id go if a row with one has their fingerprint; else one row
+    of each fingerprint stays."""
+    fps = materialize(fingerprints(docs, shingle))
+    judged = fps.join(_components(fps, distance), "fp", "left")
+    stay = (judged.filter("doc_id = component_id OR component_id IS NULL")
+            .groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+            .agg(F.min(F.struct("k1", "k2")).alias("k"))
+            .select(F.col("component_id").alias("__id"), F.col("k.k1").alias("__s1"),
+                    F.col("k.k2").alias("__s2")))
+    k1, k2 = text_key(F.coalesce(F.col("text"), F.lit("")))
+    keyed = docs.withColumns({"__k1": k1, "__k2": k2})
+    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__k1") == F.col("__s1"))
+                      & (F.col("__k2") == F.col("__s2")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__k1", "__k2"]).select(*docs.columns)

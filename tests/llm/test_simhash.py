@@ -110,7 +110,38 @@ def test_keep_one(spark):
     docs = documents(spark)
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(ids) - {None})  # one per doc_id
-    assert 10 in ids and not {11, 12, 13, 2, 3} & set(ids) and None in ids and 1 in ids
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    component = {(i, t): c for (i, t), c in zip(
+        [x for x in TEXTS if x[0] is not None],
+        brute_rows([(i, brute_fingerprint(t)) for i, t in TEXTS if i is not None]))}
+    named = [x for x in got if x[0] is not None]
+    # one row of every component, under the doc_id that names it; texts sharing an id are two
+    assert sorted(component[x] for x in named) == sorted(set(component.values()))
+    assert all(component[x] == x[0] for x in named)
+    assert len([x for x in got if x[0] is None]) == 1
     assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def brute_rows(fps):
+    """The component of each row, rows linked by their fingerprints."""
+    by_fp = {}
+    for i, fp in fps:
+        by_fp[fp] = min(by_fp.get(fp, i), i)
+    component = brute_components([(k, fp) for k, fp in enumerate(by_fp)])
+    name = {}
+    for k, fp in enumerate(by_fp):
+        name[component[k]] = min(name.get(component[k], by_fp[fp]), by_fp[fp])
+    at = {fp: name[component[k]] for k, fp in enumerate(by_fp)}
+    return [at[fp] for _, fp in fps]
+
+
+def test_keep_one_with_repeated_ids(spark):
+    """(4, a) (5, a) (5, b): the copy under 5 goes, the other text under 5 stays."""
+    a, b = ("a text of its own " * 9, "something unrelated to it altogether, " * 9)
+    rows_ = [(4, a), (5, a), (5, b), (5, b), (6, b + "x"), (None, b), (None, "no id " * 9),
+             (None, "no id " * 9)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    kept = sorted(map(tuple, simhash.keep_one(docs).collect()), key=repr)
+    want = [(4, a), (5, b), (None, "no id " * 9)]
+    near = brute_components([(0, brute_fingerprint(b)), (1, brute_fingerprint(b + "x"))])[1] == 0
+    assert kept == sorted(want + ([] if near else [(6, b + "x")]), key=repr)
