@@ -163,7 +163,15 @@ def _ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def _reassemble(blocks: DataFrame) -> DataFrame:
+def _decoder(ranks):
+    """ids (little-endian bytes) -> text bytes, by the token-byte table."""
+    table = {rank: token for token, rank in ranks.value.items()}
+    return lambda ids: b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def _reassemble(blocks: DataFrame, ranks=None) -> DataFrame:
+    """Each block's ids in the order of its positions; with ``ranks`` decoded as well,
+    in the same pass (a second one would need another Python worker per task)."""
     def one(doc_ids, counts, positions, slots, answers):
         answers = sorted(answers or [], key=lambda a: a["bucket"])
         flat = (np.concatenate([_unpack(a["ids"]) for a in answers]) if answers
@@ -182,18 +190,22 @@ def _reassemble(blocks: DataFrame) -> DataFrame:
             yield doc_id, len(ids), ids.astype("<u4").tobytes()
 
     def run(batches):
+        decoded = _decoder(ranks) if ranks else None
         for columns in batches:
             _, doc_ids, counts, positions, slots, _, answers = columns
             for row in zip(doc_ids, counts, positions, slots, answers):
-                out = list(one(*row))
-                for at in range(0, len(out), 500):
-                    yield tuple(map(list, zip(*out[at:at + 500])))
+                rows = one(*row)
+                while out := list(itertools.islice(rows, 500)):
+                    columns_out = tuple(map(list, zip(*out)))
+                    yield (*columns_out, list(map(decoded, columns_out[2]))) if ranks else columns_out
 
-    return map_stream(blocks, run, "doc_id long, n_tokens long, ids binary")
+    return map_stream(blocks, run, "doc_id long, n_tokens long, ids binary"
+                      + ", decoded binary" * bool(ranks))
 
 
-def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``(doc_id, n_tokens, ids)``; ``ids`` are little-endian unsigned 32-bit."""
+def encode(docs: DataFrame, path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """``(doc_id, n_tokens, ids)``; ``ids`` are little-endian unsigned 32-bit. With
+    ``decoded`` also the bytes that the ids decode to."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(path))  # as large as the rank file, no more
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -202,7 +214,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     answers = (_encode_words(words, ranks, pattern)
                .groupBy("block").agg(F.collect_list(F.struct("bucket", "n_ids", "ids")).alias("a")))
     return _reassemble(blocks.join(answers, "block", "left")
-                       .select(*blocks.columns, "a"))  # every column: the shuffle is used again
+                       .select(*blocks.columns, "a"),  # every column: the shuffle is used again
+                       ranks if decoded else None)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -212,11 +225,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     ranks = encoded.sparkSession.sparkContext.broadcast(load_ranks(path))
 
     def run(batches):
-        table = {rank: token for token, rank in ranks.value.items()}
+        decoded = _decoder(ranks)
         for cols in batches:
-            decoded = [b"".join(map(table.__getitem__, np.frombuffer(b, "<u4").tolist()))
-                       for b in cols[at]]
-            yield (*cols, decoded)
+            yield (*cols, list(map(decoded, cols[at])))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                        for f in encoded.select(*columns).schema)

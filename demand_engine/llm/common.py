@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import pickle
 import sys
 import tempfile
@@ -84,6 +86,10 @@ class Sent:
     def __getstate__(self):
         return {"_broadcast": self._broadcast, "_value": None}
 
+    def forget(self) -> None:
+        """Drop the value; the next use unpacks it again."""
+        self._value = None
+
     @property
     def value(self):
         if self._value is None:
@@ -106,6 +112,17 @@ def map_columns(df: DataFrame, fn: Callable[..., tuple], schema: str) -> DataFra
     return map_stream(df, lambda batches: (out for cols in batches for out in rows(cols)), schema)
 
 
+def tidy() -> None:
+    """Give memory that a finished partition has freed back to the system: a Python
+    worker lives through all stages of an application."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def map_stream(df: DataFrame, fn: Callable[[Iterator[list]], Iterator[tuple]], schema: str,
                arrays: bool = False) -> DataFrame:
     """A partition at a time: ``fn`` gets an iterator of column lists (numpy
@@ -127,6 +144,8 @@ def map_stream(df: DataFrame, fn: Callable[[Iterator[list]], Iterator[tuple]], s
         for cols in fn(part for b in batches for part in columns(b)):
             arrays = [pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        cols = arrays = None
+        tidy()
 
     return df.mapInArrow(run, out_type)
 

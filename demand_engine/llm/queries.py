@@ -24,7 +24,7 @@ def register(fn):
 def bpe_digest(docs: DataFrame) -> DataFrame:
     import public_tokenizers
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    tokens = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    tokens = bpe.encode(docs, path, public_tokenizers.PATTERN, decoded=True)
     return tokens.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                          F.sha2("decoded", 256).alias("decoded_sha256"))
 

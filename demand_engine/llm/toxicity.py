@@ -43,7 +43,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sent, column_function, doc_texts, fold_of, map_stream, materialize
+from .common import (Sent, column_function, doc_texts, fold_of, map_stream, materialize,
+                     tidy)
 
 #: Labelled documents that the evidence is learned from, at most.
 SAMPLE = 10_000
@@ -358,6 +359,9 @@ def scorer(docs: DataFrame, model: Model):
                 known.clear()
             yield pd.Series([model.score(restore.words(t or ""), known) for t in texts],
                             dtype="float64")
+        sent.forget()
+        model = known = restore = texts = None
+        tidy()
 
     return column_function(run, "double")
 
