@@ -19,7 +19,7 @@ the examples' own ratios, is reported as ``format`` unless a base span overlaps
 
 Cases: null or empty text: no spans. Too few examples of a kind (fewer than
 ``FEWEST``): no grammar of that kind. Repeated rows: row by row. All patterns are
-linear in the text.
+linear in the text, whatever the length of its tokens.
 """
 
 from __future__ import annotations
@@ -47,7 +47,9 @@ _ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}+" % MIN_LENGTH)
-_MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z].*[a-z].*[A-Z]")
+_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+#: Lower, upper, lower, upper case in this order; anchored and without a way back.
+_CASES = re.compile(r"[^a-z]*+[a-z][^A-Z]*+[A-Z][^a-z]*+[a-z][^A-Z]*+[A-Z]")
 
 
 def base_matches(text: str) -> Iterator[tuple[str, int, int, str]]:
@@ -64,7 +66,7 @@ def base_matches(text: str) -> Iterator[tuple[str, int, int, str]]:
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     for m in _TOKEN.finditer(text):
-        if _MIXED.search(m[0]):
+        if _LETTER.search(m[0]) and _DIGIT.search(m[0]) or _CASES.match(m[0]):
             yield m.start(), m.end()
 
 

@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 import random
 import re
@@ -83,3 +84,21 @@ def test_awkward_documents(spark):
     assert len(got) == len(TEXTS)
     assert next(r.spans for r in got if r.doc_id == 19) == "assign:0:49,hex:9:49,access:51:71"
     assert secrets.find_all(docs.limit(0), secrets.fit(docs.limit(0))).collect() == []
+
+
+def test_candidates_are_those_of_the_plain_pattern():
+    import itertools
+    mixed = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z].*[a-z].*[A-Z]")
+    for token in map("".join, itertools.product("aB1+", repeat=6)):
+        long = token + "-" * secrets.MIN_LENGTH
+        assert bool(list(secrets.candidates(long))) == bool(mixed.search(long)), token
+
+
+@pytest.mark.parametrize("token", ["7" * 200_000, "a" * 200_000, "A" * 200_000, "+" * 200_000,
+                                   "a" * 100_000 + "B" + "a" * 100_000, "a1" * 100_000, "aB" * 100_000,
+                                   "token=" * 40_000, "token" + " " * 200_000])
+def test_very_long_tokens_take_linear_time(token):
+    import time
+    start = time.process_time()
+    list(secrets.candidates(token)), list(secrets.base_matches(token))
+    assert time.process_time() - start < 1
