@@ -16,7 +16,9 @@ boundary is checked: the next phrase starts a new factor there or the parse
 skips a word. A factor of at least ``window`` words whose reference has a
 smaller doc_id is a duplicate span, and the words of all spans are removed.
 
-Equal texts are folded first: a copy is one factor over its whole length.
+Equal texts are folded first: a copy is one factor over its whole length. The
+phrases of a passage that very many texts share are dealt into cells for their
+look-up, so they do not meet in one task.
 Hashes of windows have 64 bits, text keys 128.
 
 Cases: null or empty text: no words, nothing removed. A row without doc_id is
@@ -153,14 +155,33 @@ def _text_factors(docs: DataFrame, window: int, seed_words: int) -> tuple[DataFr
               .agg(F.collect_set("at").alias("at")).join(texts, ["owner", "sub"]))
     asked = docs.join(wanted, ["k1", "k2"], "left").select("doc_id", "text", "owner", "sub", "at")
     phrases = _phrases(asked, window, seed_words)
-    index = (phrases.groupBy("phrase")
-             .agg(F.min(F.struct("owner", "sub", "pos")).alias("ref"), F.max("owner").alias("last"))
-             .filter("ref.owner < last").drop("last"))  # phrases that can answer at all
-    hits = phrases.join(index, "phrase").filter(F.col("ref.owner") < F.col("owner")).select(
+    index = materialize(
+        phrases.groupBy("phrase")
+        .agg(F.min(F.struct("owner", "sub", "pos")).alias("ref"), F.max("owner").alias("last"),
+             F.count(F.lit(1)).alias("n"))
+        .filter("ref.owner < last").drop("last"))  # phrases that can answer at all
+    hits = _looked_up(phrases, index).filter(F.col("ref.owner") < F.col("owner")).select(
         "owner", "sub", "pos", "ref")
     return texts, _parse(hits, window)
 
 
+def _looked_up(phrases: DataFrame, index: DataFrame) -> DataFrame:
+    """The phrases that the index holds, with their ``ref``. A phrase asked for by more
+    than ``1 / (4 * partitions)`` of all that the index answers is dealt into cells: its
+    askers by their text, its index row into every cell."""
+    cells = 4 * int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = index.agg(F.sum("n")).first()[0] or 0
+    hot = (index.filter(F.col("n") * cells > asked)  # fewer than ``cells`` rows
+           .select("phrase", F.ceil(F.col("n") * cells / F.lit(max(asked, 1))).alias("parts")))
+    hot = F.broadcast(materialize(hot))
+    one = F.lit(0).cast("long")
+    askers = phrases.join(hot, "phrase", "left").withColumn("cell", F.coalesce(
+        F.pmod(F.xxhash64("owner", "sub"), F.col("parts")), one)).drop("parts")
+    answers = index.join(hot, "phrase", "left").select("phrase", "ref", F.explode(F.sequence(
+        one, F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("cell"))
+    return askers.join(answers, ["phrase", "cell"])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return doc_texts(docs).select("doc_id", "text", *text_key(F.col("text")))
 

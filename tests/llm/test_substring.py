@@ -68,3 +68,11 @@ def test_query_on_the_whole_table(spark, sf_small):
 
 def test_empty_table(spark):
     assert substring.remove_repeats(documents(spark).limit(0)).collect() == []
+
+
+def test_a_passage_that_most_texts_share(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts = [(i, f"own{i} " * (i % 4) + passage + f" end{i}" * (i % 3)) for i in range(400)] + \
+        [(1000 + i, " ".join(f"q{i}x{k}" for k in range(60))) for i in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    assert rows(substring.remove_repeats(docs)) == brute(texts, 50)
