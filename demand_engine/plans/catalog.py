@@ -101,6 +101,19 @@ def q_holiday_flag(spark, sf):
         "drug_code", "date", cal.is_holiday(F.col("date"), DEFAULT.holiday_country).alias("is_holiday"))
 
 
+@register("holidays_of_two_countries")
+def q_holidays_of_two_countries(spark, sf):
+    """One frame, two countries: series whose code has an even length sell in the US, the
+    others in Germany."""
+    sales = _sales(spark, sf)
+    years = sales.agg(F.min(F.year("date")).alias("a"), F.max(F.year("date")).alias("b")).first()
+    country = F.when(F.length("drug_code") % 2 == 0, "US").otherwise("DE")
+    where = sales.select("drug_code", country.alias("country")).distinct()
+    table = cal.holiday_calendar(spark, ["US", "DE"], years.a, years.b)
+    return cal.with_country_holidays(sales, where, table).select(
+        "drug_code", "country", "date", "is_holiday")
+
+
 @register("lag_features")
 def q_lag_features(spark, sf):
     return FE.with_order_key(_sales(spark, sf)).select("drug_code", "date", "quantity_sold",

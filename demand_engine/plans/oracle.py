@@ -234,6 +234,20 @@ FROM sales_daily"""
     q["seasonal_indices"] = s + f"SELECT drug_code, date, {SEASON_COLS} FROM sales_daily"
     q["holiday_flag"] = s + (f"SELECT drug_code, date, {holiday_sql('date')} "
                              "AS is_holiday FROM sales_daily")
+    q["holidays_of_two_countries"] = _with(SALES_SQL, """easter AS (
+  SELECT CAST(d AS DATE) AS d FROM (VALUES ('1995-04-16'), ('1996-04-07'), ('1997-03-30'),
+    ('1998-04-12'), ('1999-04-04'), ('2000-04-23'), ('2001-04-15')) t(d))""") + """
+SELECT drug_code, country, date, CAST(CASE
+  WHEN country = 'DE' THEN strftime(date, '%m-%d') IN ('01-01', '05-01', '10-03', '12-25', '12-26')
+    OR date IN (SELECT CAST(d + CAST(o AS INTEGER) AS DATE) FROM easter, (VALUES (-2), (1), (39), (50)) t(o))
+  ELSE strftime(date, '%m-%d') IN ('01-01', '07-04', '11-11', '12-25')
+    OR isodow(date) = 5 AND strftime(date + 1, '%m-%d') IN ('01-01', '07-04', '11-11', '12-25')
+    OR isodow(date) = 1 AND strftime(date - 1, '%m-%d') IN ('01-01', '07-04', '11-11', '12-25')
+    OR isodow(date) = 1 AND (month(date) IN (1, 2) AND day(date) BETWEEN 15 AND 21
+      OR month(date) = 5 AND day(date) > 24 OR month(date) = 9 AND day(date) < 8
+      OR month(date) = 10 AND day(date) BETWEEN 8 AND 14)
+    OR isodow(date) = 4 AND month(date) = 11 AND day(date) BETWEEN 22 AND 28 END AS INTEGER) AS is_holiday
+FROM (SELECT *, CASE WHEN length(drug_code) % 2 = 0 THEN 'US' ELSE 'DE' END AS country FROM sales_daily)"""
     q["lag_features"] = s + "SELECT drug_code, date, quantity_sold, " + ", ".join(
         f"{_lag(n)} AS lag_{n}" for n in DEFAULT.lags) + " FROM sales_daily"
     for stat, fn in ROLL_FN.items():

@@ -77,3 +77,59 @@ def test_seasonal_indices(spark):
     assert allergy[3] == pytest.approx(1.0) and allergy[3] > allergy[9]
     import numpy as np
     assert abs(np.corrcoef(flu, allergy)[0, 1]) < 0.9
+
+
+def _days(spark, country, first, last):
+    return {(str(r.date), r.name) for r in cal.holiday_calendar(spark, [country], first, last).collect()}
+
+
+def test_calendar_anchors_of_the_other_countries(spark):
+    """Public dates, written out by hand."""
+    us = _days(spark, "US", 2020, 2022)
+    for day in ("2021-01-18 Martin Luther King Jr. Day", "2021-05-31 Memorial Day", "2021-09-06 Labor Day",
+                "2021-11-25 Thanksgiving Day", "2021-07-05 Independence Day (observed)",
+                "2021-12-24 Christmas Day (observed)", "2021-12-31 New Year's Day (observed)",
+                "2021-06-19 Juneteenth"):
+        assert tuple(day.split(" ", 1)) in us, day
+    assert not any(d.startswith("2020-06") for d, _ in us)
+    assert len([d for d, _ in _days(spark, "US", 2019, 2019)]) == 10
+    assert {d for d, _ in _days(spark, "DE", 2019, 2019)} == {
+        "2019-01-01", "2019-04-19", "2019-04-22", "2019-05-01", "2019-05-30", "2019-06-10",
+        "2019-10-03", "2019-12-25", "2019-12-26"}
+    assert len(_days(spark, "FR", 2019, 2019)) == 11 and len(_days(spark, "AT", 2019, 2019)) == 13
+    assert ("2019-06-20", "Corpus Christi") in _days(spark, "AT", 2019, 2019)
+
+
+def test_table_and_column_agree(spark):
+    days = spark.sql("SELECT explode(sequence(date'1994-01-01', date'2026-12-31')) AS date")
+    for country in cal.HOLIDAY_RULES:
+        by_rule = {r.date for r in days.filter(cal.is_holiday(F.col("date"), country) == 1).collect()}
+        table = cal.holiday_calendar(spark, [country], 1993, 2027).filter(
+            "date BETWEEN date'1994-01-01' AND date'2026-12-31'")
+        assert {r.date for r in table.collect()} == by_rule, country
+
+
+def test_series_of_two_countries_and_of_none(spark):
+    df = spark.createDataFrame([("a", dt.date(2019, 7, 4)), ("b", dt.date(2019, 7, 4)),
+                                ("b", dt.date(2019, 10, 3)), ("c", dt.date(2019, 1, 1))],
+                               "drug_code string, date date")
+    where = spark.createDataFrame([("a", "US"), ("b", "DE")], "drug_code string, country string")
+    got = cal.with_country_holidays(df, where, cal.holiday_calendar(spark, ["US", "DE"], 2019, 2019))
+    assert {(r.drug_code, r.date.month): r.is_holiday for r in got.collect()} == {
+        ("a", 7): 1, ("b", 7): 0, ("b", 10): 1, ("c", 1): 0}
+
+
+def test_dates_after_the_last_lunar_one_raise(spark):
+    df = spark.createDataFrame([(dt.date(2031, 3, 3),)], "date date")
+    with pytest.raises(Exception, match="listed up to 2030"):
+        df.select(cal.is_holiday(F.col("date"), "MK")).collect()
+    with pytest.raises(ValueError, match="listed up to 2030"):
+        cal.holiday_calendar(spark, ["MK"], 2020, 2031)
+    assert df.select(cal.is_holiday(F.col("date"), "SI")).first()[0] == 0
+
+
+def test_unknown_country_with_a_table(spark):
+    df = spark.createDataFrame([(dt.date(2031, 3, 3),), (dt.date(2031, 3, 4),)], "date date")
+    extra = df.limit(1)
+    out = cal.with_holiday_flag(df, "XX", extra_holidays=extra).orderBy("date").collect()
+    assert [r.is_holiday for r in out] == [1, 0]
