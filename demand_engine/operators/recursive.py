@@ -3,10 +3,11 @@
 Step ``i`` needs the prediction of step ``i-1`` (lag_1), so the horizon is
 sequential; the series are not. The state is one row per series: the last
 known feature row (rolling, external and scale features stay frozen, as in the
-original), and a ``MAP<DATE, DOUBLE>`` value store seeded with the last
-``max(lags)`` actual rows. Each step is a narrow projection of that frame
-(calendar features of the next date, lags looked up in the store by calendar
-day with 0 for a missing day, scoring, store update): no shuffle. Scoring is any
+original), and an array of daily values: the last ``max(lags)`` calendar days up to
+the last date (0 for a day missing among the last ``max(lags)`` rows), then one
+value per step. A lag is a place in that array, fixed by the step, so no day is
+searched for. Each step is a narrow projection of that frame (calendar features of
+the next date, lags, scoring, one value appended): no shuffle. Scoring is any
 function that adds a ``prediction`` column, the fitted ensemble's
 ``transform`` in production. The lineage is cut with a reliable checkpoint every
 ``checkpoint_every`` steps. Intervals never feed the store, so they are scored
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, ForecastConfig
@@ -43,19 +44,19 @@ def initial_state(features: DataFrame, cfg: ForecastConfig = DEFAULT) -> DataFra
     per_day = (tail.withColumn("__dup", F.row_number().over(
         Window.partitionBy("drug_code", "date").orderBy(F.col("idx").desc())))
         .filter("__dup = 1"))
-    return per_day.groupBy("drug_code").agg(
+    known = per_day.groupBy("drug_code").agg(
         F.max("date").alias("last_date"),
         F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("idx")).alias("last"),
         F.map_from_entries(F.collect_list(F.struct(
-            F.col("date"), F.col("quantity_sold").cast("double")))).alias("store"))
+            F.col("date"), F.col("quantity_sold").cast("double")))).alias("by_day"))
+    days = F.sequence(F.date_sub("last_date", k - 1), F.col("last_date"))
+    return known.select("drug_code", "last_date", "last", F.transform(
+        days, lambda d: F.coalesce(F.try_element_at("by_day", d), F.lit(0.0))).alias("values"))
 
 
-def _step_feature_columns(cfg: ForecastConfig, refresh_external: bool) -> list:
-    """Feature columns of forecast day ``date`` (a column of the frame).
-
-    Built once and reused by every step; lags read the value store by
-    calendar day (0 when the day is missing, as a dict ``get`` with default).
-    """
+def _step_feature_columns(cfg: ForecastConfig, refresh_external: bool, step: Column) -> list:
+    """Feature columns of forecast day ``date`` (a column of the frame), the
+    ``step``-th after the last one: lag ``k`` is the value ``k`` days before it."""
     nd = F.col("date")
     time_cols = dict(zip(TIME_FEATURES, cal.time_feature_columns(nd)))
     flu, allergy = cal.seasonal_columns(nd)
@@ -68,8 +69,7 @@ def _step_feature_columns(cfg: ForecastConfig, refresh_external: bool) -> list:
             cols.append(time_cols[c].cast("double").alias(c))
         elif c.startswith("lag_"):
             lag = int(c.split("_")[1])
-            cols.append(F.coalesce(F.try_element_at(F.col("store"), F.date_sub(nd, lag)),
-                                   F.lit(0.0)).alias(c))
+            cols.append(F.get("values", step + (max(cfg.lags) - 1 - lag)).alias(c))
         elif c in external:
             cols.append(external[c].cast("double").alias(c))
         else:
@@ -84,27 +84,28 @@ def recurse(predictor: Callable[[DataFrame], DataFrame], features: DataFrame,
     prediction of each day (``__point``, not below 0) and its feature columns.
 
     ``predictor`` adds a ``prediction`` column to a frame of feature columns.
-    The state carries only the value store (one entry added per step), so a
-    checkpoint writes about one map per series. Once the loop is done the
-    store is final, so the feature row of every step can be rebuilt from it
-    (lags only look back) without carrying it along.
+    The state carries only the daily values (one added per step), so a
+    checkpoint writes one array of ``max(lags)`` + step numbers per series. Once the
+    loop is done they are final, so the feature row of every step can be rebuilt
+    from them (lags only look back) without carrying it along.
     """
     h = horizon or cfg.horizon
     ensure_checkpoint_dir(features.sparkSession)
-    keep = ["drug_code", "last_date", "last", "store"]
-    step_features = _step_feature_columns(cfg, refresh_external)
+    keep = ["drug_code", "last_date", "last", "values"]
     state = initial_state(features, cfg)
     for i in range(1, h + 1):
         x = state.select(*keep, F.date_add("last_date", i).alias("date"))
-        x = predictor(x.select(*keep, "date", *step_features))
-        state = x.select("drug_code", "last_date", "last", F.map_concat("store", F.create_map(
-            "date", F.greatest(F.lit(0.0), "prediction"))).alias("store"))
+        x = predictor(x.select(*keep, "date", *_step_feature_columns(cfg, refresh_external, F.lit(i))))
+        state = x.select("drug_code", "last_date", "last", F.concat("values", F.array(
+            F.greatest(F.lit(0.0), "prediction"))).alias("values"))
         if i % cfg.checkpoint_every == 0 or i == h:
             state = state.checkpoint(eager=True)
+    step = F.col("__step")
     return (state.select(*keep, F.explode(F.sequence(F.lit(1), F.lit(h))).alias("__step"))
-            .select(*keep, F.date_add("last_date", F.col("__step")).alias("date"))
-            .select("drug_code", "date", F.col("store")[F.col("date")].alias("__point"),
-                    *step_features))
+            .select(*keep, step, F.date_add("last_date", step).alias("date"))
+            .select("drug_code", "date",
+                    F.get("values", step + (max(cfg.lags) - 1)).alias("__point"),
+                    *_step_feature_columns(cfg, refresh_external, step)))
 
 
 def forecast_future(models: BoostedModels, features: DataFrame, horizon: int | None = None,
