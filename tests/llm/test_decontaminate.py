@@ -120,3 +120,40 @@ def test_empty_tables(spark):
     assert decontaminate.leaks(docs.limit(0), items).collect() == []
     assert decontaminate.leaks(docs, items.limit(0)).collect() == []
     assert decontaminate.clean(docs, items.limit(0)).count() == docs.count()
+
+
+def test_short_items_are_found_where_a_sentence_is_the_item(spark):
+    docs = documents(spark, [(1, "Well. Forty two!\nend"), (2, "it is forty two here"), (3, "FORTY,  two"),
+                             (4, None), (5, "yes; no yes")])
+    items = bench(spark, [(1, "forty two"), (1, "forty two"), (2, "Yes"), (3, "..."), (None, "no yes")])
+    got = sorted(((r.doc_id, r.item_id, r.covered, r.tiles[0].doc_start) for r in
+                  decontaminate.leaks(docs, items).collect()), key=repr)
+    assert got == sorted([(1, 1, 2, 1), (1, 1, 2, 1), (3, 1, 2, 0), (3, 1, 2, 0), (5, 2, 1, 0),
+                          (5, None, 2, 1)], key=repr)
+    assert [r.doc_id for r in decontaminate.clean(docs, items).select("doc_id").collect()] == [2, 4]
+
+
+def test_blocks_are_bounded_in_every_script(spark):
+    items = [(i, " ".join(f"語{i}の{j}" for j in range(50))) for i in range(40)]
+    items += [(100, "w" * 9000), (101, "x " * 3000)] + [(7, "a b c d e f")] * 500
+    shown = list(decontaminate._seed_tables(bench(spark, items), 5, 400))
+    sizes = [sum(len(w) for w in s.value.words) for s in shown]
+    assert sum(sizes) == 40 * 50 + 3000 + 6 and sorted(sizes)[-2] <= 400
+    found = decontaminate.leaks(documents(spark, [(1, items[3][1] + " " + items[9][1])]),
+                                bench(spark, items), block_words=400).collect()
+    assert sorted(r.item_id for r in found) == [3, 9]
+
+
+def test_common_openings_cost_linear_time(spark):
+    """A text that repeats an opening 200 times against very many items with it."""
+    import time
+    opening = "the answer to this question"
+    text = f"{opening} is " * 200
+    def seconds(n):
+        table = decontaminate.SeedTable(
+            [(i, opening + "".join(f" w{i}x{j}" for j in range(20))) for i in range(n)], 5)
+        start = time.process_time()
+        assert not list(decontaminate._leaks_of(table, 1, text, 0.8))
+        return time.process_time() - start
+    seconds(100)
+    assert seconds(16_000) < 0.5
