@@ -12,7 +12,9 @@ and first names near or in it) and context labelers (what stands next to it).
 Aggregation. Spark counts the vote patterns of all candidates of all texts per
 kind (a bounded table: kinds x 3 ** labelers at most). Expectation-maximisation
 on it estimates each labeler's hit and false-alarm rate and the kind's base rate
-(naive-Bayes label model); the expected labels then train the final classifier, a
+(naive-Bayes label model). What is known beforehand of the validator enters as
+pseudo-candidates, half as many as the candidates of each class, whatever the size
+of the table; its rates are estimated with them like any other's. The expected labels then train the final classifier, a
 logistic regression on span features (shape, length, neighbours, cues) whose
 patterns Spark counts in the same pass.
 
@@ -172,8 +174,10 @@ LABELERS = ("validator", "cue_near", "cue_adjacent", "gazetteer", "against", "ne
 
 #: Kinds whose format can be proved wrong (checksum, range, number of digits).
 VALIDATED = frozenset(("ip", "card", "phone", "account", "identity", "birth"))
-#: Known vote rates of the validator (no, abstain, yes), without and with
-#: personal data: a random candidate passes about one time in ten.
+#: Vote rates of the validator (no, abstain, yes) that are expected beforehand, without
+#: and with personal data (a random candidate passes about one time in ten), and the
+#: weight of this expectation against the candidates' own votes.
+VALIDATOR_SHARE = 0.5
 VALIDATOR = np.array([[0.88, 0.02, 0.10], [0.01, 0.02, 0.97]])
 
 
@@ -239,17 +243,17 @@ def estimate(patterns: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np
     ``patterns``: distinct vote rows, ``n``: how often each occurs. Returns the
     chance that a row with each pattern is personal data, and the vote
     distributions ``[labeler, class, vote + 1]``. Starts from the majority vote, the
-    validator's counted three times; a few pseudo-candidates per class and vote,
-    tilted to labelers that are better
-    than chance, keeps every estimate inside the open interval."""
+    validator's counted three times. A few pseudo-candidates per class and vote, tilted
+    to labelers that are better than chance, keep every estimate inside the open
+    interval; the validator (labeler 0) has ``VALIDATOR_SHARE`` of each class more."""
     one_hot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
     prior = np.tile(np.array([[2.0, 1.0, 0.5], [0.5, 1.0, 2.0]]), (patterns.shape[1], 1, 1))
     post = 1 / (1 + np.exp(-patterns.sum(axis=1) - 2 * patterns[:, 0]))
     for _ in range(rounds):
         soft = np.stack([(1 - post) * n, post * n])                      # class x pattern
         table = np.einsum("cp,plv->lcv", soft, one_hot) + prior
+        table[0] += VALIDATOR_SHARE * soft.sum(axis=1)[:, None] * VALIDATOR
         table /= table.sum(axis=2, keepdims=True)
-        table[0] = VALIDATOR
         rate = (soft[1].sum() + 1) / (n.sum() + 2)
         log = np.einsum("plv,lcv->cp", one_hot, np.log(table))
         new = 1 / (1 + np.exp(np.clip(log[0] + math.log(1 - rate) - log[1] - math.log(rate), -50, 50)))
@@ -260,18 +264,25 @@ def estimate(patterns: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np
 
 
 def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Weighted ridge logistic regression on soft labels (Newton steps)."""
+    """Weighted ridge logistic regression on soft labels (Newton steps, halved while
+    they would raise the loss)."""
     x = np.hstack([np.ones((len(x), 1)), x])
-    n = n / n.sum() * min(n.sum(), 1e4)
     w = np.zeros(x.shape[1])
+
+    def loss(w):
+        z = x @ w
+        return float(n @ (np.logaddexp(0, z) - y * z) + w @ w / 2)
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (n * (p - y)) + w
         hessian = (x.T * (n * p * (1 - p) + 1e-9)) @ x + np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
-        w -= step
+        while np.abs(step).max() >= 1e-8 and loss(w - step) > loss(w):
+            step /= 2
         if np.abs(step).max() < 1e-8:
             break
+        w -= step
     return w
 
 

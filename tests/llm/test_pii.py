@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -83,6 +84,30 @@ def test_em_recovers_reliabilities():
     assert (called == truth).mean() > 0.95
 
 
+@pytest.mark.parametrize("size", [2_000, 200_000])
+def test_em_estimates_the_validator_too(size):
+    """Half as many expected votes as candidates: the estimate lies between, nearer to
+    the data, and alike at every size."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(size) < 0.5
+    hit, false = np.array([0.80, 0.9, 0.9, 0.9]), np.array([0.25, 0.1, 0.1, 0.1])
+    says = np.where(truth[:, None], rng.random((size, 4)) < hit, rng.random((size, 4)) < false)
+    patterns, n = np.unique(np.where(says, 1, -1), axis=0, return_counts=True)
+    _, table = pii.estimate(patterns, n.astype(float))
+    assert abs(table[0, 1, 2] - (0.80 + 0.97 / 2) / 1.5) < 0.04
+    assert abs(table[0, 0, 2] - (0.25 + 0.10 / 2) / 1.5) < 0.04
+
+
+def test_rare_patterns_count_fully_in_large_tables():
+    x = np.array([[0.0], [1.0]])
+    few = pii.logistic(x, np.array([0.001, 0.95]), np.array([1e4, 1e3]))
+    many = pii.logistic(x, np.array([0.001, 0.95]), np.array([1e8, 1e3]))
+    for w in (few, many):
+        assert 1 / (1 + np.exp(-w.sum())) > 0.9
+    sure = pii.logistic(x, np.array([0.0, 1.0]), np.array([1e9, 1e9]))
+    assert np.isfinite(sure).all() and 1 / (1 + np.exp(-sure.sum())) > 0.999
+
+
 def test_further_kinds_and_redaction(spark):
     texts = [(i, f"noise {i} call 246-555-{1000 + i} now, born 12.03.19{10 + i % 80} ok, Mr John Smith "
                  f"spoke, ssn 123-45-{6000 + i}, mail joe{i} at site dot com, version 1.2.{i}, "
