@@ -5,17 +5,21 @@ those that hold are always reported.
 
 Grammar. The distinct credentials among the base matches are the labelled
 examples of their kind (a bounded sample: the ``EXAMPLES`` with the smallest
-hashes among those of at most ``MAX_LENGTH`` characters). Their prefix tree, over character classes, is folded into a
-probabilistic automaton by merging states whose outgoing frequencies are
-statistically compatible (Hoeffding bounds, recursively; ALERGIA). A background
-automaton (one state per preceding class) is estimated from the classes of
-candidate-shaped tokens of all documents.
-
-Decision. Every candidate token of every text (a run of credential characters of
-``MIN_LENGTH`` or more with a digit and a letter, or with mixed case) is scored
-by each kind's automaton against the background; a token whose log likelihood
-ratio per character reaches the threshold, learned as the second percentile of
-the examples' own ratios, is reported as ``format`` unless a base span overlaps it.
+hashes among those of at most ``MAX_LENGTH`` characters). Their prefix tree, over
+character classes, is folded into a probabilistic automaton by merging states whose
+outgoing frequencies are statistically compatible (Hoeffding bounds, recursively;
+ALERGIA). A background automaton (one state per preceding class) is estimated from
+the classes of all candidates of all documents outside base matches.
+
+Decision. Candidates are all runs of credential characters, of the examples' least
+length or more, full stops at their ends aside; no shape is excluded. Each is scored
+by every kind's automaton against the background. It is reported as ``format``,
+unless a base span overlaps it, if for some kind (1) the likelihood ratio outweighs
+the odds against a credential, which are counted: candidates in the corpus for each
+match of the kind; and (2) the log ratio per character reaches the threshold
+learned as the second percentile of the examples' own ratios. An ordinary word is
+as likely under the background, so it fails the first; a short credential whose
+classes many words share cannot be told by its format and fails it too.
 
 Cases: null or empty text: no spans. Too few examples of a kind (fewer than
 ``FEWEST``): no grammar of that kind. Repeated rows: row by row. All patterns are
@@ -26,7 +30,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -39,17 +44,17 @@ MORE_KIND = "format"
 EXAMPLES = 1000
 FEWEST = 8
 ALPHA = 0.05
-MIN_LENGTH = 12
+MIN_LENGTH = 6
 MAX_LENGTH = 512
+#: Tokens whose verdict a task remembers, and their length, at most.
+CACHE = 100_000
+REMEMBERED = 64
 
 _ASSIGN = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"
                      r"([A-Za-z0-9+/_.=-]+)", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}+" % MIN_LENGTH)
-_DIGIT, _LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
-#: Lower, upper, lower, upper case in this order; anchored and without a way back.
-_CASES = re.compile(r"[^a-z]*+[a-z][^A-Z]*+[A-Z][^a-z]*+[a-z][^A-Z]*+[A-Z]")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{%d,}+" % (MIN_LENGTH - 1))
 
 
 def base_matches(text: str) -> Iterator[tuple[str, int, int, str]]:
@@ -66,8 +71,9 @@ def base_matches(text: str) -> Iterator[tuple[str, int, int, str]]:
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     for m in _TOKEN.finditer(text):
-        if _LETTER.search(m[0]) and _DIGIT.search(m[0]) or _CASES.match(m[0]):
-            yield m.start(), m.end()
+        token = m[0].rstrip(".")
+        if len(token) >= MIN_LENGTH:
+            yield m.start(), m.start() + len(token)
 
 
 _CLASS = {}
@@ -82,6 +88,18 @@ def classes(token: str) -> str:
     return "".join(_CLASS.get(c, "o") for c in token)
 
 
+def outside(tokens: Iterable[tuple[int, int]], spans: list[tuple[int, int]]
+            ) -> Iterator[tuple[int, int]]:
+    """The tokens that no span overlaps; both in ascending order of their start."""
+    at, reach, latest = 0, 0, len(spans)
+    for start, end in tokens:
+        while at < latest and spans[at][0] < end:
+            reach = max(reach, spans[at][1])
+            at += 1
+        if reach <= start:
+            yield start, end
+
+
 class Automaton:
     """A probabilistic automaton learned from strings by state merging."""
 
@@ -179,6 +197,8 @@ class Automaton:
 class Model:
     automata: dict[str, Automaton] = field(default_factory=dict)
     thresholds: dict[str, float] = field(default_factory=dict)
+    #: Log of the candidates there are for each match of the kind.
+    odds: dict[str, float] = field(default_factory=dict)
     background: dict[str, dict[str, float]] = field(default_factory=dict)
 
     def _ratio(self, automaton: Automaton, string: str) -> float:
@@ -190,28 +210,50 @@ class Model:
 
     def is_secret(self, token: str) -> bool:
         string = classes(token)
-        return any(self._ratio(a, string) >= self.thresholds[kind]
-                   for kind, a in self.automata.items())
+        for kind, automaton in self.automata.items():
+            ratio = self._ratio(automaton, string)
+            if ratio >= self.thresholds[kind] and ratio * (len(string) + 1) >= self.odds[kind]:
+                return True
+        return False
+
+
+class Scorer:
+    """A model's verdict on tokens; remembers those it has seen."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.seen: dict[str, bool] = {}
+
+    def is_secret(self, token: str) -> bool:
+        verdict = self.seen.get(token)
+        if verdict is None:
+            verdict = self.model.is_secret(token)
+            if len(token) <= REMEMBERED:
+                if len(self.seen) >= CACHE:
+                    self.seen.clear()
+                self.seen[token] = verdict
+        return verdict
 
 
 def _shapes(docs: DataFrame) -> DataFrame:
     """``(kind, what, n)``: credentials of each kind, and transitions of classes
-    in long tokens (kind ``''``)."""
+    in candidates (kind ``''``; ``^`` before the first, ``$`` after the last)."""
     def run(batches):
         for (texts,) in batches:
-            found: dict[tuple[str, str], int] = {}
+            found: Counter[tuple[str, str]] = Counter()
+            tokens: Counter[str] = Counter()
             for text in texts:
                 spans = []
                 for kind, start, end, credential in base_matches(text):
-                    found[kind, credential] = found.get((kind, credential), 0) + 1
+                    found[kind, credential] += 1
                     spans.append((start, end))
-                for m in _TOKEN.finditer(text):
-                    if any(a < m.end() and m.start() < b for a, b in spans):
-                        continue
-                    last = "^"
-                    for ch in classes(m[0]) + "$":
-                        found["", last + ch] = found.get(("", last + ch), 0) + 1
-                        last = ch
+                tokens.update(text[a:b] for a, b in outside(candidates(text), sorted(spans)))
+            strings: Counter[str] = Counter()
+            for token, n in tokens.items():
+                strings[classes(token)] += n
+            for string, n in strings.items():
+                for pair in zip("^" + string, string + "$"):
+                    found["", "".join(pair)] += n
             yield [k for k, _ in found], [w for _, w in found], list(found.values())
 
     return (map_stream(doc_texts(docs).select("text"), run, "kind string, what string, n long")
@@ -227,6 +269,8 @@ def fit(docs: DataFrame, examples: int = EXAMPLES) -> Model:
         total = sum(row.values()) + 13
         model.background[last] = {c: math.log((row.get(c, 0) + 1) / total)
                                   for c in "dxlU+/_=-.o$"}
+    seen = sum(n for p, n in pairs.items() if p[0] == "^")
+    matches = {r.kind: r.n for r in shapes.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     for kind in BASE_KINDS:
         sample = (shapes.filter((F.col("kind") == kind) & (F.length("what") <= MAX_LENGTH))
                   .orderBy(F.xxhash64("what"), "what").limit(examples).collect())
@@ -236,16 +280,17 @@ def fit(docs: DataFrame, examples: int = EXAMPLES) -> Model:
         for r in sample:  # a credential counts once, however often it was copied
             counted[classes(r.what)] = counted.get(classes(r.what), 0) + 1
         model.automata[kind] = Automaton(counted)
+        model.odds[kind] = math.log(max(seen / matches[kind], 1.0))
         ratios = sorted(model._ratio(model.automata[kind], classes(r.what)) for r in sample)
         model.thresholds[kind] = max(ratios[len(ratios) // 50], 0.1)
     return model
 
 
-def find(text: str, model: Model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
+def find(text: str, scorer: Scorer) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     base = sorted(((k, a, b) for k, a, b, _ in base_matches(text)),
                   key=lambda s: (s[1], BASE_KINDS.index(s[0])))
-    more = [(MORE_KIND, a, b) for a, b in candidates(text)
-            if not any(x < b and a < y for _, x, y in base) and model.is_secret(text[a:b])]
+    more = [(MORE_KIND, a, b) for a, b in outside(candidates(text), [(a, b) for _, a, b in base])
+            if scorer.is_secret(text[a:b])]
     return base, more
 
 
@@ -260,8 +305,9 @@ def find_all(docs: DataFrame, model: Model) -> DataFrame:
     sent = Sent(docs.sparkSession, model)
 
     def run(batches):
+        scorer = Scorer(sent.value)
         for ids, texts in batches:
-            found = [find(t, sent.value) for t in texts]
+            found = [find(t, scorer) for t in texts]
             yield ids, [joined(b) for b, _ in found], [joined([*b, *m]) for b, m in found]
 
     return map_stream(doc_texts(docs), run, "doc_id long, base string, spans string")

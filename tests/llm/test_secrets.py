@@ -86,12 +86,57 @@ def test_awkward_documents(spark):
     assert secrets.find_all(docs.limit(0), secrets.fit(docs.limit(0))).collect() == []
 
 
-def test_candidates_are_those_of_the_plain_pattern():
-    import itertools
-    mixed = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z].*[A-Z].*[a-z].*[A-Z]")
-    for token in map("".join, itertools.product("aB1+", repeat=6)):
-        long = token + "-" * secrets.MIN_LENGTH
-        assert bool(list(secrets.candidates(long))) == bool(mixed.search(long)), token
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aB1.-=/ é,"), max_size=40))
+def test_every_run_of_credential_characters_is_a_candidate(text):
+    brute = []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+        start, end = m.start() + len(m[0]) - len(m[0].lstrip(".")), m.end()
+        while end > start and text[end - 1] == ".":
+            end -= 1
+        if end - start >= 6:
+            brute.append((start, end))
+    assert list(secrets.candidates(text)) == brute
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 40), max_size=12), st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)),
+                                                           max_size=6))
+def test_tokens_outside_spans(cuts, spans):
+    cuts = sorted(set(cuts))
+    tokens = list(zip(cuts[::2], cuts[1::2]))
+    spans = sorted((a, a + n) for a, n in spans)
+    assert list(secrets.outside(tokens, spans)) == \
+        [(a, b) for a, b in tokens if not any(x < b and a < y for x, y in spans)]
+
+
+def _credential(rng, form):
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    if form == "short":
+        return pick(lower + lower.upper() + digits, 10)
+    if form == "dotted":
+        return ".".join(pick(lower + lower.upper() + digits + "_-", n) for n in (12, 24, 16))
+    return pick(lower + digits, 20)
+
+
+def test_bare_credentials_of_every_form_are_recalled(spark):
+    """Learned behind a cue, then met bare: 9 of 10 and more are found; of ordinary
+    tokens, none of 3,000 words and at most one in a hundred names with digits."""
+    rng = random.Random(8)
+    syllables = "the in ter na tion al mis un der stand ing coun ter re vo lu ary com put er ful ly".split()
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 5)))
+    forms = ("short", "dotted", "long")
+    texts = [(i, " ".join(word() for _ in range(60)) + f" report-{i}.txt of 2024-0{1 + i % 9}-17, "
+              f"token={_credential(rng, forms[i % 3])}") for i in range(600)]
+    scorer = secrets.Scorer(secrets.fit(documents(spark, texts)))
+    for form in forms:
+        bare = [_credential(rng, form) for _ in range(300)]
+        assert sum(map(scorer.is_secret, bare)) >= 270, form
+    assert not any(map(scorer.is_secret, (word() + word() for _ in range(3000))))
+    names = [f"report-{rng.randint(0, 999)}.txt" for _ in range(200)] + \
+        [f"20{rng.randint(10, 30)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}" for _ in range(200)]
+    assert sum(map(scorer.is_secret, names)) <= 4
 
 
 @pytest.mark.parametrize("token", ["7" * 200_000, "a" * 200_000, "A" * 200_000, "+" * 200_000,
