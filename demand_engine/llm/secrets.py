@@ -46,7 +46,7 @@ FEWEST = 8
 ALPHA = 0.05
 MIN_LENGTH = 6
 MAX_LENGTH = 512
-#: Tokens whose verdict a task remembers, and their length, at most.
+#: Class strings whose verdict a task remembers, and their length, at most.
 CACHE = 100_000
 REMEMBERED = 64
 
@@ -71,21 +71,29 @@ def base_matches(text: str) -> Iterator[tuple[str, int, int, str]]:
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     for m in _TOKEN.finditer(text):
-        token = m[0].rstrip(".")
-        if len(token) >= MIN_LENGTH:
-            yield m.start(), m.start() + len(token)
+        start, end = m.span()
+        if text[end - 1] == ".":
+            end = start + len(m[0].rstrip("."))
+            if end - start < MIN_LENGTH:
+                continue
+        yield start, end
+
+
+class _Classes(dict):
+    def __missing__(self, c: int) -> str:
+        return "o"
 
 
-_CLASS = {}
+_CLASS = _Classes()
 for _c in range(256):
     _ch = chr(_c)
-    _CLASS[_ch] = ("d" if _ch.isdigit() else "x" if _ch in "abcdef" else "l" if _ch.islower()
-                   else "U" if _ch.isupper() else _ch if _ch in "+/_=-." else "o")
+    _CLASS[_c] = ("d" if _ch.isdigit() else "x" if _ch in "abcdef" else "l" if _ch.islower()
+                  else "U" if _ch.isupper() else _ch if _ch in "+/_=-." else "o")
 
 
 def classes(token: str) -> str:
     """One class per character: digits, hex letters, other letters, marks."""
-    return "".join(_CLASS.get(c, "o") for c in token)
+    return token.translate(_CLASS)
 
 
 def outside(tokens: Iterable[tuple[int, int]], spans: list[tuple[int, int]]
@@ -181,16 +189,24 @@ class Automaton:
         self.count = [self.count[s] for s in red]
         self.ends = [self.ends[s] for s in red]
 
-    def log_likelihood(self, string: str) -> float:
-        """Natural log of the probability of the string, smoothed for classes
-        never seen in a state."""
-        at, total = 0, 0.0
-        for ch in string:
-            n = sum(self.count[at].values()) + self.ends[at]
-            total += math.log((self.count[at].get(ch, 0) + 0.01) / (n + 0.13))
-            at = self.next[at].get(ch, 0)
+        self.known: dict[tuple[int, str], tuple[float, int]] = {}
+
+    def _step(self, at: int, ch: str) -> tuple[float, int]:
+        """Natural log of the probability of a class (``$``: the end) in a state,
+        smoothed for classes never seen there, and the state after it."""
         n = sum(self.count[at].values()) + self.ends[at]
-        return total + math.log((self.ends[at] + 0.01) / (n + 0.13))
+        seen = self.ends[at] if ch == "$" else self.count[at].get(ch, 0)
+        step = math.log((seen + 0.01) / (n + 0.13)), self.next[at].get(ch, 0)
+        self.known[at, ch] = step
+        return step
+
+    def log_likelihood(self, string: str) -> float:
+        """Natural log of the probability of the string."""
+        at, total, known = 0, 0.0, self.known
+        for ch in string + "$":
+            log, at = known.get((at, ch)) or self._step(at, ch)
+            total += log
+        return total
 
 
 @dataclass
@@ -199,17 +215,19 @@ class Model:
     thresholds: dict[str, float] = field(default_factory=dict)
     #: Log of the candidates there are for each match of the kind.
     odds: dict[str, float] = field(default_factory=dict)
-    background: dict[str, dict[str, float]] = field(default_factory=dict)
+    #: Log of the chance of a class after another, by the two of them.
+    background: dict[str, float] = field(default_factory=dict)
 
     def _ratio(self, automaton: Automaton, string: str) -> float:
-        last, base = "^", 0.0
-        for ch in string + "$":
-            base += self.background.get(last, {}).get(ch, math.log(1e-3))
-            last = ch
+        known, unseen = self.background, math.log(1e-3)
+        base = sum(known.get(a + b, unseen) for a, b in zip("^" + string, string + "$"))
         return (automaton.log_likelihood(string) - base) / (len(string) + 1)
 
     def is_secret(self, token: str) -> bool:
-        string = classes(token)
+        return self.has_format(classes(token))
+
+    def has_format(self, string: str) -> bool:
+        """The verdict on a token of these classes."""
         for kind, automaton in self.automata.items():
             ratio = self._ratio(automaton, string)
             if ratio >= self.thresholds[kind] and ratio * (len(string) + 1) >= self.odds[kind]:
@@ -218,20 +236,21 @@ class Model:
 
 
 class Scorer:
-    """A model's verdict on tokens; remembers those it has seen."""
+    """A model's verdict on tokens; remembers the class strings it has seen."""
 
     def __init__(self, model: Model):
         self.model = model
         self.seen: dict[str, bool] = {}
 
     def is_secret(self, token: str) -> bool:
-        verdict = self.seen.get(token)
+        string = token.translate(_CLASS)
+        verdict = self.seen.get(string)
         if verdict is None:
-            verdict = self.model.is_secret(token)
-            if len(token) <= REMEMBERED:
+            verdict = self.model.has_format(string)
+            if len(string) <= REMEMBERED:
                 if len(self.seen) >= CACHE:
                     self.seen.clear()
-                self.seen[token] = verdict
+                self.seen[string] = verdict
         return verdict
 
 
@@ -241,16 +260,14 @@ def _shapes(docs: DataFrame) -> DataFrame:
     def run(batches):
         for (texts,) in batches:
             found: Counter[tuple[str, str]] = Counter()
-            tokens: Counter[str] = Counter()
+            strings: Counter[str] = Counter()
             for text in texts:
                 spans = []
                 for kind, start, end, credential in base_matches(text):
                     found[kind, credential] += 1
                     spans.append((start, end))
-                tokens.update(text[a:b] for a, b in outside(candidates(text), sorted(spans)))
-            strings: Counter[str] = Counter()
-            for token, n in tokens.items():
-                strings[classes(token)] += n
+                shape = classes(text)
+                strings.update(shape[a:b] for a, b in outside(candidates(text), sorted(spans)))
             for string, n in strings.items():
                 for pair in zip("^" + string, string + "$"):
                     found["", "".join(pair)] += n
@@ -265,10 +282,9 @@ def fit(docs: DataFrame, examples: int = EXAMPLES) -> Model:
     model = Model()
     pairs = {r.what: r.n for r in shapes.filter("kind = ''").collect()}  # classes squared
     for last in {p[0] for p in pairs}:
-        row = {p[1]: n for p, n in pairs.items() if p[0] == last}
-        total = sum(row.values()) + 13
-        model.background[last] = {c: math.log((row.get(c, 0) + 1) / total)
-                                  for c in "dxlU+/_=-.o$"}
+        total = sum(n for p, n in pairs.items() if p[0] == last) + 13
+        for c in "dxlU+/_=-.o$":
+            model.background[last + c] = math.log((pairs.get(last + c, 0) + 1) / total)
     seen = sum(n for p, n in pairs.items() if p[0] == "^")
     matches = {r.kind: r.n for r in shapes.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     for kind in BASE_KINDS:
@@ -289,8 +305,8 @@ def fit(docs: DataFrame, examples: int = EXAMPLES) -> Model:
 def find(text: str, scorer: Scorer) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     base = sorted(((k, a, b) for k, a, b, _ in base_matches(text)),
                   key=lambda s: (s[1], BASE_KINDS.index(s[0])))
-    more = [(MORE_KIND, a, b) for a, b in outside(candidates(text), [(a, b) for _, a, b in base])
-            if scorer.is_secret(text[a:b])]
+    tokens = outside(candidates(text), [(a, b) for _, a, b in base]) if base else candidates(text)
+    more = [(MORE_KIND, a, b) for a, b in tokens if scorer.is_secret(text[a:b])]
     return base, more
 
 
