@@ -2,9 +2,11 @@
 
 The sketch of a text keeps every hash of a 5-word shingle that falls below a
 fixed fraction of the hash range (and the smallest hash, so that no text with a
-word has an empty sketch). The threshold is the same for all texts, so sketches
-of parts merge by union, and overlaps of a short and a very long text can be
-estimated in either direction: the shingles both keep are a fair sample of the
+word has an empty sketch: a hash above the threshold is there only if it stands
+alone). The threshold is the same for all texts, so sketches of parts merge
+(``merge``: their union, of which hashes above the threshold go unless the least of
+all is one) to the sketch of all their shingles, and overlaps of a short and a very
+long text can be estimated in either direction: the shingles both keep are a fair sample of the
 shingles both have.
 
 ``fingerprint`` is the sorted sketch, 16 hex digits a hash. Likeness is the
@@ -32,9 +34,19 @@ SCALE = 4
 _NO_ID = -(1 << 63)
 
 
+def _bind(value: Column, fn) -> Column:
+    """``fn`` of a value that is evaluated once."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _kept(h: Column, scale: int) -> Column:
+    below = -(1 << 63) + (1 << 64) // scale
+    least = F.filter(F.array(F.array_min(h)), lambda x: x.isNotNull())
+    return F.array_sort(F.array_distinct(F.concat(F.filter(h, lambda x: x < F.lit(below)), least)))
+
+
 def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
     """The sketch of a text as a sorted array of hashes."""
-    below = -(1 << 63) + (1 << 64) // scale
     words = F.filter(F.split(text, r"[\s]+"), lambda w: w != "")
 
     def shingles(h: Column) -> Column:
@@ -43,15 +55,13 @@ def sketch(text: Column, shingle: int = SHINGLE, scale: int = SCALE) -> Column:
         one = F.transform(F.filter(F.array(h), lambda x: F.size(x) > 0), lambda x: F.xxhash64(x))
         return F.when(F.size(h) >= shingle, many).otherwise(one)
 
-    def kept(h: Column) -> Column:
-        least = F.filter(F.array(F.array_min(h)), lambda x: x.isNotNull())
-        return F.array_sort(F.array_distinct(F.concat(F.filter(h, lambda x: x < F.lit(below)), least)))
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return _bind(hashed, lambda h: _bind(shingles(h), lambda many: _kept(many, scale)))
 
-    def bind(value: Column, fn) -> Column:  # evaluates ``value`` once
-        return F.element_at(F.transform(F.array(value), fn), 1)
 
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return bind(hashed, lambda h: bind(shingles(h), kept))
+def merge(a: Column, b: Column, scale: int = SCALE) -> Column:
+    """The sketch of the shingles of two parts from the parts' sketches."""
+    return _bind(F.array_union(a, b), lambda h: _kept(h, scale))
 
 
 def fingerprint(hashes: Column) -> Column:

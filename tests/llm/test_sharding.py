@@ -65,3 +65,32 @@ def test_repeated_rows_and_copies_without_doc_id_are_cut_evenly(spark):
 def test_pack_prefers_room_in_the_scarce_dimension():
     shard = sharding.pack(np.array([[0.9, 0.1], [0.1, 0.9], [0.1, 0.85], [0.85, 0.1]]), 2)
     assert shard[0] != shard[3] or shard[1] != shard[2]
+
+
+def test_packing_as_by_brute_force(monkeypatch):
+    """Each item, largest first, goes where its dot product with what is left is
+    highest, by plain arithmetic on every shard."""
+    monkeypatch.setattr(sharding, "_even_out", lambda size, shard, shards: shard)
+    rng = np.random.default_rng(5)
+    for trial in range(30):
+        n, shards = int(rng.integers(1, 60)), int(rng.integers(1, 7))
+        vectors = rng.integers(1, 1 << 10, (n, 3)) / (1 << 13)  # exact in binary, so ties are ties
+        left = [[1.0] * 3 for _ in range(shards)]
+        want = [0] * n
+        for i in sorted(range(n), key=lambda i: (-max(vectors[i]), i)):
+            room = [sum(v * r for v, r in zip(vectors[i].tolist(), held)) for held in left]
+            want[i] = room.index(max(room))
+            left[want[i]] = [r - v for v, r in zip(vectors[i].tolist(), left[want[i]])]
+        assert sharding.pack(vectors, shards).tolist() == want
+
+
+def test_evening_out_never_widens_the_gap():
+    rng = np.random.default_rng(6)
+    for shards in (2, 5, 40):
+        size = rng.pareto(1.5, 2000) + 0.01
+        before = rng.integers(0, shards, 2000)
+        load = np.bincount(before, weights=size, minlength=shards)
+        after = sharding._even_out(size, before.copy(), shards)
+        moved = np.bincount(after, weights=size, minlength=shards)
+        assert np.ptp(moved) <= np.ptp(load) and np.isclose(moved.sum(), size.sum())
+        assert np.ptp(moved) < max(0.02 * moved.mean(), np.sort(size)[0]) or moved.max() == size.max()

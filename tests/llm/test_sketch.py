@@ -65,3 +65,19 @@ def test_sketches_merge_and_estimate_containment(spark):
 def test_main_path_has_no_python(spark, sf_small):
     plan = queries.op7_sketch(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_merged_sketches_are_those_of_the_union(spark):
+    """Parts that share four words hold every shingle of the whole, short ones and
+    ones without a word included; merging is in any order and nesting."""
+    words = [f"w{i}" for i in range(300)]
+    rows = [(" ".join(words[:n + 4]), " ".join(words[n:]), " ".join(words)) for n in (1, 2, 3, 50, 290)]
+    rows += [(" ".join(words[:m - 1]), " ".join(words[m - 5:m]), " ".join(words[:m])) for m in range(6, 40)]
+    rows += [("", " ".join(words[:n]), " ".join(words[:n])) for n in range(12)]
+    df = spark.createDataFrame(rows, "a string, b string, whole string").select(
+        *[sketch.sketch(c).alias(c) for c in ("a", "b", "whole")])
+    got = df.select("whole", sketch.merge("a", "b").alias("ab"), sketch.merge("b", "a").alias("ba"),
+                    sketch.merge(sketch.merge("a", "b"), "whole").alias("again")).collect()
+    assert any(len(r.whole) == 1 for r in got) and any(len(r.whole) > 50 for r in got)
+    for r in got:
+        assert r.ab == r.whole and r.ba == r.whole and r.again == r.whole
