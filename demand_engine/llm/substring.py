@@ -9,12 +9,19 @@ by two texts enter the index. The index blocks are hash partitions of the
 window phrases; each phrase names its earliest place (smallest doc_id, then
 position).
 
-Parse. A text looks up its phrases in every block that can hold them and is
-factored greedily from left to right: a factor goes on while the next phrase
-continues at the next place of the same reference document. Where it ends, the
-boundary is checked: the next phrase starts a new factor there or the parse
-skips a word. A factor of at least ``window`` words whose reference has a
-smaller doc_id is a duplicate span, and the words of all spans are removed.
+Parse. A text looks up its phrases in every block that can hold them. The places
+it finds fall into stretches of consecutive windows; the references of a stretch
+are the documents that hold the earliest place of one of its windows, each as far
+to both sides of such places as the stretch goes. A stretch is factored greedily
+from left to right: a factor is the longest match of what follows in any of these
+(ties: smallest doc_id). Equal windows have
+the same earliest place, so a reference is compared as its own sequence of earliest
+places, which the parse of the reference already knows in runs; only the runs
+near a match are fetched. Where a factor ends, the boundary is checked: the next
+factor starts at the first window that the factor does not hold, so it may share up
+to ``window - 1`` words with it. A factor of at least ``window`` words whose
+reference has a smaller doc_id is a duplicate span, and the words of all spans are
+removed.
 
 Equal texts are folded first: a copy is one factor over its whole length. The
 phrases of a passage that very many texts share are dealt into cells for their
@@ -122,8 +129,9 @@ def _phrases(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
     return map_stream(docs, run, "phrase long, owner long, sub int, pos int")
 
 
-def _parse(hits: DataFrame, window: int) -> DataFrame:
-    """Greedy factors of each text from its phrases that were found."""
+def _runs(hits: DataFrame) -> DataFrame:
+    """``(owner, sub, start, n, ref)``: the longest runs of phrases of a text whose
+    earliest places follow each other too."""
     order = W.partitionBy("owner", "sub").orderBy("pos")
     goes_on = ((F.col("pos") == F.lag("pos").over(order) + 1)
                & (F.col("ref.owner") == F.lag("ref.owner").over(order))
@@ -133,10 +141,129 @@ def _parse(hits: DataFrame, window: int) -> DataFrame:
     repeated = F.coalesce(F.col("pos") == F.lag("pos").over(order), F.lit(False))
     return (hits.withColumn("repeated", repeated)
             .withColumn("starts", F.when(goes_on | F.col("repeated"), 0).otherwise(1))
-            .withColumn("factor", F.sum("starts").over(order))
-            .filter("NOT repeated").groupBy("owner", "sub", "factor")
-            .agg(F.min("pos").alias("start"), (F.count(F.lit(1)) + (window - 1)).alias("n_words"),
-                 F.min("ref").alias("ref")))
+            .withColumn("run", F.sum("starts").over(order))
+            .filter("NOT repeated").groupBy("owner", "sub", "run")
+            .agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"),
+                 F.min("ref").alias("ref")).drop("run"))
+
+
+def _stretches(runs: DataFrame) -> DataFrame:
+    """The runs with an earlier document as reference, and the stretch ``[lo, hi)`` of
+    consecutive windows that each lies in."""
+    order = W.partitionBy("owner", "sub").orderBy("start")
+    stretch = W.partitionBy("owner", "sub", "stretch")
+    apart = F.coalesce(F.lag(F.col("start") + F.col("n")).over(order) != F.col("start"), F.lit(True))
+    return (runs.filter("ref.owner < owner").withColumn("apart", apart.cast("int"))
+            .withColumn("stretch", F.sum("apart").over(order)).drop("apart")
+            .withColumn("lo", F.min("start").over(stretch))
+            .withColumn("hi", F.max(F.col("start") + F.col("n")).over(stretch))
+            .withColumn("runs", F.count(F.lit(1)).over(stretch)))
+
+
+def _parse(hits: DataFrame, window: int) -> DataFrame:
+    """Greedy factors of each text: ``(owner, sub, start, n_words, ref)``."""
+    runs = materialize(_runs(hits))
+    found = materialize(_stretches(runs))
+    alone = found.filter("runs = 1").select("owner", "sub", "start", "n", "ref")
+    text = ["owner", "sub", "stretch"]
+    wanted = (found.filter("runs > 1")
+              .withColumn("r_owner", F.col("ref.owner")).withColumn("r_sub", F.col("ref.sub"))
+              .groupBy(*text, "r_owner", "r_sub")
+              .agg(F.min(F.col("ref.pos") - F.col("start") + F.col("lo")).alias("r_lo"),
+                   F.max(F.col("ref.pos") - F.col("start") + F.col("hi")).alias("r_hi"),
+                   F.collect_list(F.struct("start", "n", F.col("ref.pos").alias("at"))).alias("own")))
+    wanted = materialize(wanted)
+    keys = ["r_owner", "r_sub"]
+    traces = runs.select(F.col("owner").alias("r_owner"), F.col("sub").alias("r_sub"),
+                         F.col("start").alias("s"), F.col("n").alias("m"), F.col("ref").alias("to"))
+    near = _dealt(wanted.drop("own"), traces, keys, text, wanted.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"))).filter("s < r_hi AND s + m > r_lo")
+    near = near.groupBy(*text, *keys).agg(F.collect_list(F.struct("s", "m", "to")).alias("trace"))
+    whole = wanted.join(near, [*text, *keys], "left").groupBy(*text).agg(F.collect_list(F.struct(
+        *keys, "r_lo", "r_hi", "own", F.coalesce("trace", F.array()).alias("trace"))).alias("refs"))
+
+    def run(batches):
+        for owners, subs, all_refs in batches:
+            out = [(o, b, *f) for o, b, refs in zip(owners, subs, all_refs)
+                   for f in greedy_factors(refs)]
+            if out:
+                *cols, r_owner, r_sub, r_pos = map(list, zip(*out))
+                yield (*cols, [{"owner": o, "sub": b, "pos": p}
+                               for o, b, p in zip(r_owner, r_sub, r_pos)])
+
+    parsed = map_stream(whole.select("owner", "sub", "refs"), run,
+                        "owner long, sub int, start int, n long, "
+                        "ref struct<owner: long, sub: int, pos: int>")
+    return alone.unionByName(parsed).withColumn("n_words", F.col("n") + (window - 1)).drop("n")
+
+
+def greedy_factors(refs: list[dict]) -> list[tuple]:
+    """``(start, n, r_owner, r_sub, r_pos)`` of the factors of one stretch, in windows.
+    ``refs`` are its references: the stretch's runs in each (``own``), and the part of
+    the reference, ``[r_lo, r_hi)``, with its runs that have earlier places (``trace``)."""
+    refs = sorted(refs, key=lambda r: (r["r_owner"], r["r_sub"]))
+    code = {(r["r_owner"], r["r_sub"]): k << 40 for k, r in enumerate(refs)}
+    lo = min(o["start"] for r in refs for o in r["own"])
+    hi = max(o["start"] + o["n"] for r in refs for o in r["own"])
+    text = np.empty(hi - lo, np.int64)
+    for k, r in enumerate(refs):
+        for o in r["own"]:
+            text[o["start"] - lo:o["start"] - lo + o["n"]] = (k << 40) + o["at"] + np.arange(o["n"])
+    best = np.zeros(len(text), np.int64)
+    ref, place = np.zeros((2, len(text)), np.int64)
+    for k, r in enumerate(refs):
+        first = max(r["r_lo"], 0)
+        other = (k << 40) + np.arange(first, r["r_hi"])
+        for t in r["trace"]:
+            a, z = max(t["s"], first), min(t["s"] + t["m"], r["r_hi"])
+            base = code.get((t["to"]["owner"], t["to"]["sub"]))
+            if a < z:
+                other[a - first:z - first] = -1 if base is None else (
+                    base + t["to"]["pos"] - t["s"] + np.arange(a, z))
+        length, at = longest_matches(text, other)
+        longer = length > best
+        best[longer], ref[longer], place[longer] = length[longer], k, first + at[longer]
+    out, q = [], 0
+    while q < len(text):
+        r = refs[ref[q]]
+        out.append((lo + q, int(best[q]), r["r_owner"], r["r_sub"], int(place[q])))
+        q += int(best[q])
+    return out
+
+
+def longest_matches(text: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every position of ``text`` the length and place of its longest match in
+    ``other``: both are ranked together by prefix doubling, a position's longest match
+    begins at one of its neighbours of ``other`` in the order of the suffixes."""
+    n, m = len(text), len(other)
+    both = np.concatenate([text, [-2], other, [-3]])
+    rank = np.unique(both, return_inverse=True)[1].astype(np.int64)
+    ranks, step = [rank], 1
+    while step < len(both) and rank.max() < len(both) - 1:
+        ahead = np.zeros(len(both), np.int64)
+        ahead[:-step] = rank[step:] + 1
+        rank = np.unique(rank * (len(both) + 1) + ahead, return_inverse=True)[1]
+        ranks.append(rank)
+        step *= 2
+    order = np.argsort(rank, kind="stable")
+    theirs = order > n
+    spot = np.arange(len(both))
+    before = np.maximum.accumulate(np.where(theirs, spot, -1))
+    after = np.minimum.accumulate(np.where(theirs, spot, len(both))[::-1])[::-1]
+    mine = np.argsort(order, kind="stable")[:n]
+    length, place = np.zeros((2, n), np.int64)
+    for near in (before[mine], after[mine]):
+        known = (near >= 0) & (near < len(both))
+        start = order[np.where(known, near, 0)]
+        same = np.zeros(n, np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            i, j = np.arange(n) + same, start + same
+            fits = known & (i < len(both)) & (j < len(both))
+            fits[fits] = ranks[k][i[fits]] == ranks[k][j[fits]]
+            same[fits] += 1 << k
+        longer = same > length
+        length[longer], place[longer] = same[longer], start[longer] - n - 1
+    return length, place
 
 
 def _text_factors(docs: DataFrame, window: int, seed_words: int) -> tuple[DataFrame, DataFrame]:
@@ -160,26 +287,29 @@ def _text_factors(docs: DataFrame, window: int, seed_words: int) -> tuple[DataFr
         .agg(F.min(F.struct("owner", "sub", "pos")).alias("ref"), F.max("owner").alias("last"),
              F.count(F.lit(1)).alias("n"))
         .filter("ref.owner < last").drop("last"))  # phrases that can answer at all
-    hits = _looked_up(phrases, index).filter(F.col("ref.owner") < F.col("owner")).select(
-        "owner", "sub", "pos", "ref")
+    hits = _dealt(phrases, index.drop("n"), ["phrase"], ["owner", "sub"],
+                  index.select("phrase", "n")).filter(
+        F.col("ref") != F.struct("owner", "sub", "pos")).select("owner", "sub", "pos", "ref")
     return texts, _parse(hits, window)
 
 
-def _looked_up(phrases: DataFrame, index: DataFrame) -> DataFrame:
-    """The phrases that the index holds, with their ``ref``. A phrase asked for by more
-    than ``1 / (4 * partitions)`` of all that the index answers is dealt into cells: its
-    askers by their text, its index row into every cell."""
-    cells = 4 * int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = index.agg(F.sum("n")).first()[0] or 0
-    hot = (index.filter(F.col("n") * cells > asked)  # fewer than ``cells`` rows
-           .select("phrase", F.ceil(F.col("n") * cells / F.lit(max(asked, 1))).alias("parts")))
+def _dealt(askers: DataFrame, answers: DataFrame, keys: list[str], by: list[str],
+           counts: DataFrame) -> DataFrame:
+    """Inner join on ``keys``. A key asked for by more than ``1 / (4 * partitions)`` of
+    all askers (``counts``: keys, n) is dealt into cells: its askers by the columns
+    ``by``, its answers into every cell."""
+    cells = 4 * int(askers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = counts.agg(F.sum("n")).first()[0] or 0
+    hot = (counts.filter(F.col("n") * cells > asked)  # fewer than ``cells`` rows
+           .select(*keys, F.ceil(F.col("n") * cells / F.lit(max(asked, 1))).alias("parts")))
     hot = F.broadcast(materialize(hot))
     one = F.lit(0).cast("long")
-    askers = phrases.join(hot, "phrase", "left").withColumn("cell", F.coalesce(
-        F.pmod(F.xxhash64("owner", "sub"), F.col("parts")), one)).drop("parts")
-    answers = index.join(hot, "phrase", "left").select("phrase", "ref", F.explode(F.sequence(
-        one, F.coalesce(F.col("parts"), F.lit(1)) - 1)).alias("cell"))
-    return askers.join(answers, ["phrase", "cell"])
+    askers = askers.join(hot, keys, "left").withColumn("cell", F.coalesce(
+        F.pmod(F.xxhash64(*by), F.col("parts")), one)).drop("parts")
+    answers = (answers.join(hot, keys, "left")
+               .withColumn("cell", F.explode(F.sequence(one, F.coalesce("parts", F.lit(1)) - 1)))
+               .drop("parts"))
+    return askers.join(answers, [*keys, "cell"]).drop("cell")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:

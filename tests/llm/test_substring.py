@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from demand_engine.llm import queries, substring
@@ -59,6 +60,91 @@ def test_factors_point_at_equal_words(spark):
             texts[f.ref_doc_id][f.ref_start:f.ref_start + f.n_words]
 
 
+def parsed(texts, window):
+    """Greedy factors by comparing words: ``(doc_id, start, n_words, ref_doc_id)``.
+    ``texts``: one text for each doc_id."""
+    texts = {i: w for i, w in sorted(texts.items())}
+    first = {}
+    for i, words in texts.items():
+        for k in range(len(words) - window + 1):
+            first.setdefault(tuple(words[k:k + window]), (i, k))
+    out = []
+    for i, words in texts.items():
+        owner = [first[tuple(words[k:k + window])] for k in range(len(words) - window + 1)]
+        lo = 0
+        while lo < len(owner):
+            if owner[lo][0] == i:
+                lo += 1
+                continue
+            hi = next((k for k in range(lo, len(owner)) if owner[k][0] == i), len(owner))
+            parts = {}                            # of each reference, in windows
+            for k in range(lo, hi):
+                r, at = owner[k]
+                a, z = parts.get(r, (at, at))
+                parts[r] = min(a, at - k + lo), max(z, at - k + hi)
+            q = lo
+            while q < hi:
+                best = (0, 0)
+                for r, (a, z) in parts.items():
+                    end = min(z + window - 1, len(texts[r]))
+                    for at in range(max(a, 0), end):
+                        n = 0
+                        while (q + n < hi + window - 1 and at + n < end
+                               and words[q + n] == texts[r][at + n]):
+                            n += 1
+                        best = max(best, (n, -r))
+                out.append((i, q, best[0], -best[1]))
+                q += best[0] - window + 1
+            lo = hi
+    return sorted(out)
+
+
+def check_factors(spark, texts, window, seed_words):
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()],
+                                 "doc_id long, text string")
+    found = substring.factors(docs, window=window, seed_words=seed_words).collect()
+    assert sorted((f.doc_id, f.start, f.n_words, f.ref_doc_id) for f in found) == parsed(texts, window)
+    for f in found:
+        assert texts[f.doc_id][f.start:f.start + f.n_words] == \
+            texts[f.ref_doc_id][f.ref_start:f.ref_start + f.n_words]
+    return found
+
+
+def test_a_factor_is_the_longest_match(spark):
+    """Document 1 holds the middle of a passage, 2 all of it: 3 and 4 are one factor each."""
+    p = [f"p{i}" for i in range(200)]
+    texts = {1: p[60:130], 2: p, 3: ["x", "y", "z"] + p, 4: p[60:190] + ["end"],
+             5: ["a"] * 300, 6: ["b"] + ["a"] * 400}
+    found = check_factors(spark, texts, 50, 20)
+    assert {(f.start, f.n_words, f.ref_doc_id) for f in found if f.doc_id == 3} == {(3, 200, 2)}
+    assert {(f.start, f.n_words, f.ref_doc_id) for f in found if f.doc_id == 4} == {(0, 130, 2)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_factors_against_a_plain_parser(spark, seed):
+    rng = random.Random(seed)
+    pool = [rng.choice("abc") for _ in range(90)]
+    texts = {}
+    for i in range(40):
+        words = [f"own{i}"]                       # texts differ from each other
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randint(0, 60)
+            words += pool[at:at + rng.randint(5, 30)] if rng.random() < 0.8 else ["z"]
+        texts[i] = words
+    check_factors(spark, texts, 6, 3)
+
+
+def test_longest_matches_by_comparison():
+    rng = random.Random(5)
+    for _ in range(40):
+        text, other = ([rng.choice((0, 1, 2)) for _ in range(rng.randint(1, 30))] for _ in range(2))
+        length, place = substring.longest_matches(np.array(text), np.array(other))
+        for q in range(len(text)):
+            n = max(k for k in range(len(text) - q + 1)
+                    if any(other[a:a + k] == text[q:q + k] for a in range(len(other) + 1)))
+            assert length[q] == n and other[place[q]:place[q] + n] == text[q:q + n]
+
+
 def test_query_on_the_whole_table(spark, sf_small):
     texts = [(r.doc_id, r.text) for r in read_table(spark, sf_small, "documents").collect()]
     want = sorted(((i, n, g, hashlib.sha256(k.encode()).hexdigest())
