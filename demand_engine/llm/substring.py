@@ -24,8 +24,9 @@ reference has a smaller doc_id is a duplicate span, and the words of all spans a
 removed.
 
 Equal texts are folded first: a copy is one factor over its whole length. The
-phrases of a passage that very many texts share are dealt into cells for their
-look-up, so they do not meet in one task.
+seeds and phrases of a passage that very many texts share, and a reference that very
+many texts ask for, are dealt into cells for their look-up, so they do not meet in
+one task.
 Hashes of windows have 64 bits, text keys 128.
 
 Cases: null or empty text: no words, nothing removed. A row without doc_id is
@@ -130,8 +131,9 @@ def _phrases(docs: DataFrame, window: int, seed_words: int) -> DataFrame:
 
 
 def _runs(hits: DataFrame) -> DataFrame:
-    """``(owner, sub, start, n, ref)``: the longest runs of phrases of a text whose
-    earliest places follow each other too."""
+    """``(owner, sub, start, n, times, ref)``: the longest runs of phrases of a text
+    whose earliest places follow each other too. Where a text repeats itself, equal
+    runs behind each other are one row, ``times`` long."""
     order = W.partitionBy("owner", "sub").orderBy("pos")
     goes_on = ((F.col("pos") == F.lag("pos").over(order) + 1)
                & (F.col("ref.owner") == F.lag("ref.owner").over(order))
@@ -139,12 +141,19 @@ def _runs(hits: DataFrame) -> DataFrame:
                & (F.col("ref.pos") == F.lag("ref.pos").over(order) + 1))
     # a repeated row of documents finds each phrase twice, at the same place
     repeated = F.coalesce(F.col("pos") == F.lag("pos").over(order), F.lit(False))
-    return (hits.withColumn("repeated", repeated)
+    runs = (hits.withColumn("repeated", repeated)
             .withColumn("starts", F.when(goes_on | F.col("repeated"), 0).otherwise(1))
             .withColumn("run", F.sum("starts").over(order))
             .filter("NOT repeated").groupBy("owner", "sub", "run")
             .agg(F.min("pos").alias("start"), F.count(F.lit(1)).alias("n"),
                  F.min("ref").alias("ref")).drop("run"))
+    order = W.partitionBy("owner", "sub").orderBy("start")
+    again = ((F.lag("n").over(order) == F.col("n")) & (F.lag("ref").over(order) == F.col("ref"))
+             & (F.lag("start").over(order) + F.col("n") == F.col("start")))
+    return (runs.withColumn("fresh", F.when(again, 0).otherwise(1))
+            .withColumn("run", F.sum("fresh").over(order)).groupBy("owner", "sub", "run")
+            .agg(F.min("start").alias("start"), F.min("n").alias("n"),
+                 F.count(F.lit(1)).alias("times"), F.min("ref").alias("ref")).drop("run"))
 
 
 def _stretches(runs: DataFrame) -> DataFrame:
@@ -152,12 +161,13 @@ def _stretches(runs: DataFrame) -> DataFrame:
     consecutive windows that each lies in."""
     order = W.partitionBy("owner", "sub").orderBy("start")
     stretch = W.partitionBy("owner", "sub", "stretch")
-    apart = F.coalesce(F.lag(F.col("start") + F.col("n")).over(order) != F.col("start"), F.lit(True))
+    end = F.col("start") + F.col("n") * F.col("times")
+    apart = F.coalesce(F.lag(end).over(order) != F.col("start"), F.lit(True))
     return (runs.filter("ref.owner < owner").withColumn("apart", apart.cast("int"))
             .withColumn("stretch", F.sum("apart").over(order)).drop("apart")
             .withColumn("lo", F.min("start").over(stretch))
-            .withColumn("hi", F.max(F.col("start") + F.col("n")).over(stretch))
-            .withColumn("runs", F.count(F.lit(1)).over(stretch)))
+            .withColumn("hi", F.max(end).over(stretch))
+            .withColumn("runs", F.sum("times").over(stretch)))
 
 
 def _parse(hits: DataFrame, window: int) -> DataFrame:
@@ -169,16 +179,18 @@ def _parse(hits: DataFrame, window: int) -> DataFrame:
     wanted = (found.filter("runs > 1")
               .withColumn("r_owner", F.col("ref.owner")).withColumn("r_sub", F.col("ref.sub"))
               .groupBy(*text, "r_owner", "r_sub")
-              .agg(F.min(F.col("ref.pos") - F.col("start") + F.col("lo")).alias("r_lo"),
+              .agg(F.min(F.col("ref.pos") - F.col("start") - F.col("n") * (F.col("times") - 1)
+                         + F.col("lo")).alias("r_lo"),
                    F.max(F.col("ref.pos") - F.col("start") + F.col("hi")).alias("r_hi"),
-                   F.collect_list(F.struct("start", "n", F.col("ref.pos").alias("at"))).alias("own")))
+                   F.collect_list(F.struct("start", "n", "times", F.col("ref.pos").alias("at")))
+                   .alias("own")))
     wanted = materialize(wanted)
     keys = ["r_owner", "r_sub"]
     traces = runs.select(F.col("owner").alias("r_owner"), F.col("sub").alias("r_sub"),
-                         F.col("start").alias("s"), F.col("n").alias("m"), F.col("ref").alias("to"))
+                         F.col("start").alias("s"), F.col("n").alias("m"), "times", F.col("ref").alias("to"))
     near = _dealt(wanted.drop("own"), traces, keys, text, wanted.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"))).filter("s < r_hi AND s + m > r_lo")
-    near = near.groupBy(*text, *keys).agg(F.collect_list(F.struct("s", "m", "to")).alias("trace"))
+        F.count(F.lit(1)).alias("n"))).filter("s < r_hi AND s + m * times > r_lo")
+    near = near.groupBy(*text, *keys).agg(F.collect_list(F.struct("s", "m", "times", "to")).alias("trace"))
     whole = wanted.join(near, [*text, *keys], "left").groupBy(*text).agg(F.collect_list(F.struct(
         *keys, "r_lo", "r_hi", "own", F.coalesce("trace", F.array()).alias("trace"))).alias("refs"))
 
@@ -204,22 +216,24 @@ def greedy_factors(refs: list[dict]) -> list[tuple]:
     refs = sorted(refs, key=lambda r: (r["r_owner"], r["r_sub"]))
     code = {(r["r_owner"], r["r_sub"]): k << 40 for k, r in enumerate(refs)}
     lo = min(o["start"] for r in refs for o in r["own"])
-    hi = max(o["start"] + o["n"] for r in refs for o in r["own"])
+    hi = max(o["start"] + o["n"] * o["times"] for r in refs for o in r["own"])
     text = np.empty(hi - lo, np.int64)
     for k, r in enumerate(refs):
         for o in r["own"]:
-            text[o["start"] - lo:o["start"] - lo + o["n"]] = (k << 40) + o["at"] + np.arange(o["n"])
+            long = o["n"] * o["times"]
+            text[o["start"] - lo:o["start"] - lo + long] = (
+                (k << 40) + o["at"] + np.arange(long) % o["n"])
     best = np.zeros(len(text), np.int64)
     ref, place = np.zeros((2, len(text)), np.int64)
     for k, r in enumerate(refs):
         first = max(r["r_lo"], 0)
         other = (k << 40) + np.arange(first, r["r_hi"])
         for t in r["trace"]:
-            a, z = max(t["s"], first), min(t["s"] + t["m"], r["r_hi"])
+            a, z = max(t["s"], first), min(t["s"] + t["m"] * t["times"], r["r_hi"])
             base = code.get((t["to"]["owner"], t["to"]["sub"]))
             if a < z:
                 other[a - first:z - first] = -1 if base is None else (
-                    base + t["to"]["pos"] - t["s"] + np.arange(a, z))
+                    base + t["to"]["pos"] + (np.arange(a, z) - t["s"]) % t["m"])
         length, at = longest_matches(text, other)
         longer = length > best
         best[longer], ref[longer], place[longer] = length[longer], k, first + at[longer]
@@ -276,9 +290,12 @@ def _text_factors(docs: DataFrame, window: int, seed_words: int) -> tuple[DataFr
              .select("owner", "sub", F.explode(F.arrays_zip("seeds", "at")).alias("s"))
              .select("owner", "sub", F.col("s.seeds").alias("seed"), F.col("s.at").alias("at")))
     who = F.struct("owner", "sub")
-    shared = (seeds.groupBy("seed").agg(F.min(who).alias("a"), F.max(who).alias("b"))
-              .filter("a <> b").select("seed"))
-    wanted = (seeds.join(shared, "seed").groupBy("owner", "sub")
+    shared = materialize(
+        seeds.groupBy("seed").agg(F.min(who).alias("a"), F.max(who).alias("b"),
+                                  F.count(F.lit(1)).alias("n"))
+        .filter("a <> b").select("seed", "n"))
+    wanted = (_dealt(seeds, shared.select("seed"), ["seed"], ["owner", "sub"], shared)
+              .groupBy("owner", "sub")
               .agg(F.collect_set("at").alias("at")).join(texts, ["owner", "sub"]))
     asked = docs.join(wanted, ["k1", "k2"], "left").select("doc_id", "text", "owner", "sub", "at")
     phrases = _phrases(asked, window, seed_words)

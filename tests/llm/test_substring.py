@@ -114,7 +114,8 @@ def test_a_factor_is_the_longest_match(spark):
     """Document 1 holds the middle of a passage, 2 all of it: 3 and 4 are one factor each."""
     p = [f"p{i}" for i in range(200)]
     texts = {1: p[60:130], 2: p, 3: ["x", "y", "z"] + p, 4: p[60:190] + ["end"],
-             5: ["a"] * 300, 6: ["b"] + ["a"] * 400}
+             5: ["a"] * 300, 6: ["b"] + ["a"] * 400, 7: p[:60] * 7, 8: ["c"] + p[:60] * 5 + ["d"],
+             9: p[150:] + p[:60] * 9}
     found = check_factors(spark, texts, 50, 20)
     assert {(f.start, f.n_words, f.ref_doc_id) for f in found if f.doc_id == 3} == {(3, 200, 2)}
     assert {(f.start, f.n_words, f.ref_doc_id) for f in found if f.doc_id == 4} == {(0, 130, 2)}
